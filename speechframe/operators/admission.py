@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechframe.operators.ordered import HOT_ROWS, prefix_scan
+from speechframe.operators.ordered import HOT_ROWS, Hot, prefix_scan
 
 MAX_PENDING = 200
 MAX_BYTES = 100 * 1024 * 1024
@@ -19,7 +19,7 @@ def active_at(
     intervals: DataFrame,
     *,
     request: str = "request_id",
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """``(request_id, active)``: open intervals ``[start, end)`` (microseconds) at each request's
     ``us``, by one scan per day over changes and requests; intervals that open at the very

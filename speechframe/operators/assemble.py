@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from speechframe.functions.language import normalise_language
 from speechframe.functions.timing import seconds
-from speechframe.operators.ordered import with_slices
+from speechframe.operators.ordered import Hot, measure, with_slices
 
 PART_ROWS = 100_000
 
@@ -18,7 +18,7 @@ def assemble_text(
     segments: DataFrame,
     keys: Sequence[str] = ("recording_id",),
     *,
-    part_rows: int | None = PART_ROWS,
+    part_rows: int | None | Hot = PART_ROWS,
 ) -> DataFrame:
     """Full text and ordered segments per recording.
 
@@ -26,7 +26,7 @@ def assemble_text(
     ``part_rows`` segments comes out as several rows, numbered by ``part`` in time order, so no
     row grows without bound; joined in order (with a space) the parts are the whole text.
     """
-    sliced = with_slices(segments, keys, "start", hot_rows=part_rows)
+    sliced = with_slices(segments, keys, "start", measure(segments, keys, "start", part_rows))
     entry = F.struct(
         "start",
         F.coalesce("channel", F.lit(0)).alias("ch"),

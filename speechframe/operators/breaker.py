@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechframe.functions.timing import epoch_us
-from speechframe.operators.ordered import HOT_ROWS, Machine, fold_states
+from speechframe.operators.ordered import HOT_ROWS, Hot, Machine, fold_states
 
 
 class Breaker(Machine):
@@ -42,7 +42,7 @@ def breaker_timeline(
     reset_s: int,
     ok: str = "ok",
     tie: str = "seq",
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """What the breaker would do with each attempt: ``state`` it meets, whether the call is
     ``admitted``, and ``failures`` in a row after it (0 while open). Refused calls change nothing;

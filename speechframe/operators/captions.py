@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from speechframe.functions import timing
 from speechframe.functions.text import tokens
 from speechframe.operators.assemble import PART_ROWS
-from speechframe.operators.ordered import prefix_scan, with_slices
+from speechframe.operators.ordered import Hot, measure, prefix_scan, with_slices
 
 WIDTH = 42
 MAX_LINES = 2
@@ -132,21 +132,19 @@ def _line_sum(lines: Column, field: str) -> Column:
 
 
 def number_cues(
-    cues: DataFrame, keys: Sequence[str] = ("recording_id",), *, part_rows: int | None = PART_ROWS
+    cues: DataFrame, keys: Sequence[str] = ("recording_id",), *, part_rows: int | None | Hot = PART_ROWS
 ) -> DataFrame:
     """Cue numbers per recording by start; ``part`` splits very long recordings (see
     :func:`assemble_text`)."""
-    return (
-        prefix_scan(
-            cues,
-            keys,
-            ["start_ms", "ord", "cue"],
-            {"number": ("count", F.lit(1), True)},
-            hot_rows=part_rows,
-        )
-        .withColumnRenamed("_slice", "part")
-        .drop("_hot")
+    hot = measure(cues, keys, "start_ms", part_rows)
+    numbered = prefix_scan(
+        with_slices(cues, keys, "start_ms", hot),
+        keys,
+        ["start_ms", "ord", "cue"],
+        {"number": ("count", F.lit(1), True)},
+        hot_rows=hot,
     )
+    return numbered.withColumnRenamed("_slice", "part").drop("_hot")
 
 
 def _document(lines: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -161,12 +159,12 @@ def render_text(
     segments: DataFrame,
     keys: Sequence[str] = ("recording_id",),
     *,
-    part_rows: int | None = PART_ROWS,
+    part_rows: int | None | Hot = PART_ROWS,
 ) -> DataFrame:
     """``(keys, part, body)``: one labelled line per non-empty segment."""
-    rows = with_slices(
-        segments.where(F.col("text") != ""), keys, "start", hot_rows=part_rows
-    ).withColumnRenamed("_slice", "part")
+    spoken = segments.where(F.col("text") != "")
+    hot = measure(spoken, keys, "start", part_rows)
+    rows = with_slices(spoken, keys, "start", hot).withColumnRenamed("_slice", "part")
     line = F.concat(timing.speaker_label(F.col("channel")), F.col("text"), F.lit("\n"))
     return _document(
         rows.withColumn("_line", line).withColumn("_ch", F.coalesce("channel", F.lit(0))),
@@ -181,7 +179,7 @@ def render_srt(
     *,
     width: int = WIDTH,
     max_lines: int = MAX_LINES,
-    part_rows: int | None = PART_ROWS,
+    part_rows: int | None | Hot = PART_ROWS,
 ) -> DataFrame:
     cues = number_cues(
         caption_cues(segments, keys, width=width, max_lines=max_lines), keys, part_rows=part_rows
@@ -204,7 +202,7 @@ def render_vtt(
     recordings: DataFrame | None = None,
     width: int = WIDTH,
     max_lines: int = MAX_LINES,
-    part_rows: int | None = PART_ROWS,
+    part_rows: int | None | Hot = PART_ROWS,
 ) -> DataFrame:
     """With ``recordings`` (their keys), recordings without segments get the bare header."""
     cues = number_cues(

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from speechframe.functions.align import alignment, char_errors
 from speechframe.functions.text import wer_text
-from speechframe.operators.ordered import HOT_ROWS, prefix_scan
+from speechframe.operators.ordered import HOT_ROWS, Hot, prefix_scan
 
 SEAM_TOLERANCE_S = 1.0
 
@@ -48,7 +48,7 @@ def boundaries(
     keys: Sequence[str] = ("recording_id",),
     order: Sequence[str] = ("index",),
     *,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """Distinct seams ``(keys, t)``: where one chunk ends and where the next begins."""
     following = prefix_scan(
@@ -68,7 +68,7 @@ def near_seams(
     keys: Sequence[str],
     tolerance: float,
     *,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """Add ``near`` to spans ``(keys, start, end, ...)``: a seam ``t`` with
     ``t - tolerance <= end`` and ``start <= t + tolerance`` exists.
@@ -100,7 +100,7 @@ def seam_coverage(
     tolerance: float,
     duration: str = "duration",
     *,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """Length within ``tolerance`` of a seam, overlaps counted once, clipped to
     ``[0, duration]``; ``seams`` carries ``duration`` per row."""

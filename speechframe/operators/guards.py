@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from speechframe.functions.text import guard_key, is_boilerplate, strip
 from speechframe.functions.timing import clamp, seconds
-from speechframe.operators.ordered import prefix_scan, without_slices
+from speechframe.operators.ordered import Hot, measure, prefix_scan, without_slices
 
 NO_SPEECH = 0.6
 LOGPROB = -1.0
@@ -76,7 +76,7 @@ def guard_reasons(
     no_speech: float = NO_SPEECH,
     logprob: float = LOGPROB,
     compression: float = COMPRESSION,
-    hot_rows: int | None = None,
+    hot_rows: int | None | Hot = None,
 ) -> DataFrame:
     """Add ``reason`` (NULL = kept), decided per chunk in time order.
 
@@ -101,13 +101,14 @@ def guard_reasons(
         .withColumn("_cand", F.col("_pre").isNull() & ~F.col("_known"))
     )
     candidate = F.when(F.col("_cand"), text)
+    hot = measure(staged, keys, order[0], hot_rows)
     before = prefix_scan(
-        staged, keys, order, {"_prev": ("last", candidate, False)}, hot_rows=hot_rows
+        staged, keys, order, {"_prev": ("last", candidate, False)}, hot_rows=hot
     )
     changed = (F.col("_cand") & ~text.eqNullSafe(F.col("_prev"))).cast("bigint")
-    runs = prefix_scan(before, keys, order, {"_run": ("sum", changed, True)}, hot_rows=hot_rows)
+    runs = prefix_scan(before, keys, order, {"_run": ("sum", changed, True)}, hot_rows=hot)
     counted = prefix_scan(
-        runs, [*keys, "_run"], order, {"_same": ("count", candidate, False)}, hot_rows=hot_rows
+        runs, [*keys, "_run"], order, {"_same": ("count", candidate, False)}, hot_rows=hot
     )
     repeats = F.when(text.eqNullSafe(F.col("_prev")), F.col("_same")).otherwise(0)
     reason = (

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from speechframe.operators.ordered import HOT_ROWS, prefix_scan
+from speechframe.operators.ordered import HOT_ROWS, Hot, prefix_scan
 from speechframe.schema import ERROR_CODES
 
 ACTIVE = ("queued", "processing")
@@ -262,7 +262,7 @@ def asof_duplicate(
     *,
     pos: str = "us",
     keys: Sequence[str] = ("api_key_id", "request_fingerprint"),
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """Most recent non-failed job with the same key and fingerprint created before each request.
 
@@ -288,7 +288,7 @@ def shard(df: DataFrame, key: str, shards: int) -> DataFrame:
 
 
 def concurrency(
-    intervals: DataFrame, *, start: str = "start", end: str = "end", hot_rows: int | None = HOT_ROWS
+    intervals: DataFrame, *, start: str = "start", end: str = "end", hot_rows: int | None | Hot = HOT_ROWS
 ) -> DataFrame:
     """Number of open intervals after every change, ``(us, active)``. Times are microseconds.
 

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speechframe.functions.timing import epoch_us
-from speechframe.operators.ordered import HOT_ROWS, prefix_scan, rows_of
+from speechframe.operators.ordered import HOT_ROWS, Hot, measure, prefix_scan, rows_of
 
 CONTROL = ("create", "claim", "complete", "fail", "release")
 NEW = {"status": None, "worker_id": None, "lease": None, "attempts": 0}
@@ -94,7 +94,7 @@ def event_outcomes(
     *,
     lease_s: int,
     max_attempts: int,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """Outcome of every event of ``(job_id, ts, seq, event, worker_id)``, with the job's status,
     owner and attempts after it."""
@@ -102,13 +102,14 @@ def event_outcomes(
         "job_id", epoch_us(F.col("ts")).alias("us"), "seq", "event", "worker_id"
     )
     control = F.col("event").isin(*CONTROL)
+    hot = measure(rows, ["job_id"], "us", hot_rows)
     beats = (
         prefix_scan(
             rows.where(control | (F.col("event") == "heartbeat")),
             ["job_id"],
             ["us", "seq"],
             {"_run": ("count", F.when(control, 1), False)},
-            hot_rows=hot_rows,
+            hot_rows=hot,
         )
         .where(~control)
         .groupBy("job_id", "_run", "worker_id")
@@ -123,7 +124,7 @@ def event_outcomes(
     writes = rows.where(~control).withColumn("outcome", F.lit(None).cast("string"))
     both = decided.withColumn("_own", state).unionByName(writes, allowMissingColumns=True)
     scanned = prefix_scan(
-        both, ["job_id"], ["us", "seq"], {"_at": ("last", F.col("_own"), True)}, hot_rows=hot_rows
+        both, ["job_id"], ["us", "seq"], {"_at": ("last", F.col("_own"), True)}, hot_rows=hot
     )
     fenced = F.coalesce(
         (F.col("_at.status_after") == "processing")
@@ -211,7 +212,7 @@ def stalls(
     *,
     timeout_us: int,
     order: tuple[str, ...] = ("us", "seq"),
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """Rows whose key stays silent for at least ``timeout_us`` before its next row: where an
     undisturbed message would be delivered again."""

@@ -1,8 +1,9 @@
 """Ordered work per key that survives a hot key.
 
-A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here a key with more than
-``hot_rows`` rows is cut into slices along its order, every slice is scanned on its own, and
-the slices are stitched with small per-slice summaries:
+A plain ``Window.partitionBy(key)`` sends a whole key to one task. Here keys of more than
+``hot_rows`` rows are found first (:func:`measure`, one aggregate job). Without any, the plan is
+the plain one. Otherwise a hot key is cut into slices along its order, every slice is scanned on
+its own, and the slices are stitched with small per-slice summaries:
 
 * :func:`with_slices`  marks the slices (ordinary keys keep the single slice 0);
 * :func:`prefix_scan`  running sum / max / count / last value over the whole key;
@@ -10,11 +11,14 @@ the slices are stitched with small per-slice summaries:
 
 What is broadcast has a bound that does not depend on skew: at most ``rows / hot_rows`` hot keys
 exist, and together they have at most ``OVERSPLIT * rows / hot_rows + hot keys`` slices.
+On the sliced path inputs that are read twice are checkpointed, so a chain of scans stays linear.
 """
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -37,16 +41,39 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     return condition
 
 
-def with_slices(
-    df: DataFrame, keys: Sequence[str], pos: str, *, hot_rows: int | None = HOT_ROWS
-) -> DataFrame:
-    """Add ``_slice`` and ``_hot``. Slices of a hot key are equal ranges of the numeric
-    column ``pos``, so they depend on the data only and a retried task sees the same ones.
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder the cluster names; only a session without one gets its own."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
 
-    ``hot_rows=None`` is for keys whose size is bounded by construction (one chunk, one text).
-    """
+
+@dataclass(frozen=True)
+class Hot:
+    """Hot keys of a table: ``stats`` is None if there are none. ``width`` is the number of key
+    columns they were found by; a scan by further keys is sliced by the same ones."""
+
+    stats: DataFrame | None
+    width: int = 0
+
+
+NO_HOT = Hot(None)
+
+
+def measure(
+    df: DataFrame, keys: Sequence[str], pos: str, hot_rows: int | None | Hot = HOT_ROWS
+) -> Hot:
+    """Find keys of more than ``hot_rows`` rows, with their range of the numeric column ``pos``.
+
+    ``None`` is for keys whose size is bounded by construction (one chunk, one text). An earlier
+    result is passed through: it stays valid for tables derived from ``df`` that have no more
+    rows per key and positions in the same range."""
+    if isinstance(hot_rows, Hot):
+        return hot_rows
     if hot_rows is None:
-        return df.withColumn(_HOT, F.lit(False)).withColumn(_SLICE, F.lit(0).cast("long"))
+        return NO_HOT
     stats = (
         df.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
         .agg(
@@ -57,7 +84,16 @@ def with_slices(
         .where(F.col("_hn") > hot_rows)
         .withColumn("_parts", F.ceil(F.col("_hn") / F.lit(float(hot_rows))) * OVERSPLIT)
     )
-    pairs = [(k, f"_h{i}") for i, k in enumerate(keys)]
+    return NO_HOT if stats.isEmpty() else Hot(cut_lineage(stats), len(keys))
+
+
+def with_slices(df: DataFrame, keys: Sequence[str], pos: str, hot: Hot) -> DataFrame:
+    """Add ``_slice`` and ``_hot``. Slices of a hot key are equal ranges of ``pos``, so they
+    depend on the data only and a retried task sees the same ones."""
+    if hot.stats is None:
+        return df.withColumn(_HOT, F.lit(False)).withColumn(_SLICE, F.lit(0).cast("long"))
+    stats = hot.stats
+    pairs = [(k, f"_h{i}") for i, k in enumerate(keys[: hot.width])]
     share = (F.col(pos).cast("double") - F.col("_hlo")) / F.nullif(
         F.col("_hhi") - F.col("_hlo"), F.lit(0.0)
     )
@@ -65,8 +101,8 @@ def with_slices(
     return (
         df.join(F.broadcast(stats), null_safe(df, stats, pairs), "left")
         .withColumn(_HOT, F.col("_hn").isNotNull())
-        .withColumn(_SLICE, F.coalesce(ordinal, F.lit(0)).cast("long"))
-        .drop(*[f"_h{i}" for i in range(len(keys))], "_hn", "_hlo", "_hhi", "_parts")
+        .withColumn(_SLICE, F.greatest(F.coalesce(ordinal, F.lit(0)), F.lit(0)).cast("long"))
+        .drop(*[f"_h{i}" for i in range(hot.width)], "_hn", "_hlo", "_hhi", "_parts")
     )
 
 
@@ -81,7 +117,7 @@ def prefix_scan(
     scans: dict[str, tuple[str, Column, bool]],
     *,
     reverse: bool = False,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """Running aggregates over each key in ``order``.
 
@@ -89,33 +125,41 @@ def prefix_scan(
     ``count``, ``max`` or ``last`` (the last non-NULL value; wrap a value in a struct when its
     own NULLs count). ``reverse=True`` scans from the end, which turns ``last`` into "next".
     ``order`` must identify a row within its key, and ``order[0]`` must be numeric.
-    Slice columns made by an earlier call are reused and kept.
+    Slice columns made by an earlier call are reused; they stay in the result.
     """
+    hot = measure(df, keys, order[0], hot_rows)
     prepared = {_SLICE, _HOT} <= set(df.columns)
-    sliced = df if prepared else with_slices(df, keys, order[0], hot_rows=hot_rows)
-    for name, (_, expr, _inclusive) in scans.items():
-        sliced = sliced.withColumn(f"_in_{name}", expr)
+    sliced = df if prepared or hot.stats is None else with_slices(df, keys, order[0], hot)
+    inputs = {f"_in_{name}": expr for name, (_, expr, _inclusive) in scans.items()}
+    local = sliced.withColumns(inputs)
+    if hot.stats is not None:
+        local = sliced = cut_lineage(local)
+    group = [*keys] if hot.stats is None else [*keys, _SLICE]
     directed = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    window = Window.partitionBy(*keys, _SLICE).orderBy(*directed)
-    local = sliced
+    window = Window.partitionBy(*group).orderBy(*directed)
+    running = {}
     for name, (kind, _, inclusive) in scans.items():
         frame = window.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-        local = local.withColumn(f"_lo_{name}", _running(kind, F.col(f"_in_{name}")).over(frame))
-    if hot_rows is None:
-        for name, (kind, _, _inclusive) in scans.items():
-            local = local.withColumn(name, _combine(kind, F.lit(None), F.col(f"_lo_{name}")))
-        return local.drop(*[f"_in_{n}" for n in scans], *[f"_lo_{n}" for n in scans])
+        running[f"_lo_{name}"] = _running(kind, F.col(f"_in_{name}")).over(frame)
+    local = local.withColumns(running)
+    temporary = [*inputs, *running]
+    if hot.stats is None:
+        found = {
+            name: _combine(kind, None, F.col(f"_lo_{name}"))
+            for name, (kind, _, _inclusive) in scans.items()
+        }
+        return local.withColumns(found).drop(*temporary)
     carry = _carry(sliced, keys, order, scans, reverse)
     pairs = [*((k, f"_c{i}") for i, k in enumerate(keys)), (_SLICE, "_cslice")]
-    out = local.join(F.broadcast(carry), null_safe(local, carry, pairs), "left")
-    for name, (kind, _, _inclusive) in scans.items():
-        out = out.withColumn(
-            name, _combine(kind, F.col(f"_carry_{name}"), F.col(f"_lo_{name}"))
-        )
-    return out.drop(
-        *[f"_c{i}" for i in range(len(keys))],
-        "_cslice",
-        *[f"{p}{n}" for n in scans for p in ("_in_", "_lo_", "_carry_")],
+    found = {
+        name: _combine(kind, F.col(f"_carry_{name}"), F.col(f"_lo_{name}"))
+        for name, (kind, _, _inclusive) in scans.items()
+    }
+    return (
+        local.join(F.broadcast(carry), null_safe(local, carry, pairs), "left")
+        .withColumns(found)
+        .drop(*[f"_c{i}" for i in range(len(keys))], "_cslice", *temporary,
+              *[f"_carry_{name}" for name in scans])
     )
 
 
@@ -131,12 +175,13 @@ def _running(kind: str, value: Column) -> Column:
     raise ValueError(f"unknown scan kind {kind!r}")
 
 
-def _combine(kind: str, carry: Column, local: Column) -> Column:
+def _combine(kind: str, carry: Column | None, local: Column) -> Column:
     if kind in ("sum", "count"):
-        return F.coalesce(carry, F.lit(0)) + F.coalesce(local, F.lit(0))
-    if kind == "max":
-        return F.greatest(carry, local)
-    return F.coalesce(local, carry)
+        own = F.coalesce(local, F.lit(0))
+        return own if carry is None else F.coalesce(carry, F.lit(0)) + own
+    if carry is None:
+        return local
+    return F.greatest(carry, local) if kind == "max" else F.coalesce(local, carry)
 
 
 def _carry(
@@ -226,7 +271,7 @@ def fold_states(
     *,
     pos: str,
     force: str | None = None,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """Run ``machine`` over every key; adds the state before and after each row and ``acted``
     (whether the row was seen by an awake machine or woke it).
@@ -234,11 +279,14 @@ def fold_states(
     Rows stream through sorted partitions, so a task holds one Arrow batch. Slices of hot keys
     are first reduced to transition tables in parallel, which fixes the state each one starts in.
     """
-    sliced = with_slices(df, keys, order[0], hot_rows=hot_rows)
+    hot = measure(df, keys, order[0], hot_rows)
     init_tag, init_wake = machine.initial
-    if hot_rows is None:
-        placed = sliced.withColumn("_tag", F.lit(init_tag)).withColumn("_wake", F.lit(init_wake))
+    if hot.stats is None:
+        group = [*keys]
+        placed = df.withColumn("_tag", F.lit(init_tag)).withColumn("_wake", F.lit(init_wake))
     else:
+        group = [*keys, _SLICE]
+        sliced = cut_lineage(with_slices(df, keys, order[0], hot))
         entries = _slice_entries(sliced, keys, order, machine, pos, force)
         pairs = [*((k, f"_c{i}") for i, k in enumerate(keys)), (_SLICE, "_cslice")]
         placed = (
@@ -247,7 +295,6 @@ def fold_states(
             .withColumn("_wake", F.coalesce("_entry_wake", F.lit(init_wake)))
             .drop("_entry_tag", "_entry_wake", "_cslice", *[f"_c{i}" for i in range(len(keys))])
         )
-    group = [*keys, _SLICE]
     schema = T.StructType([*df.schema.fields, *_STATE_FIELDS])
     names = list(df.columns)
     run = _runner(machine, group, names, pos, force, schema)
@@ -267,12 +314,12 @@ def rows_of(batches: Iterator[pa.RecordBatch], columns: Sequence[str]) -> Iterat
 
 
 def _runner(machine, group, names, pos, force, schema):
-    used = sorted({*names, *group} - {_SLICE})
+    used = sorted({*names, *group})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, machine.initial
         for batch in batches:
-            columns = {c: batch.column(c).to_pylist() for c in (*used, _SLICE, "_tag", "_wake")}
+            columns = {c: batch.column(c).to_pylist() for c in (*used, "_tag", "_wake")}
             states: list[list] = [[], [], [], [], []]
             for i in range(batch.num_rows):
                 here = tuple(columns[c][i] for c in group)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechframe.functions.timing import epoch_us
-from speechframe.operators.ordered import HOT_ROWS, Machine, fold_states, prefix_scan
+from speechframe.operators.ordered import HOT_ROWS, Hot, Machine, fold_states, measure, prefix_scan
 
 WINDOW_S = 60
 READ_FACTOR = 10
@@ -32,7 +32,7 @@ def rate_limit(
     cost: str = "cost",
     window_s: int = WINDOW_S,
     tie: str = "request_id",
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """Add ``allowed``, ``remaining`` and ``reset_s`` to a request log with column ``ts``.
 
@@ -40,15 +40,16 @@ def rate_limit(
     so windows of a key chain from each other and are not aligned to the clock."""
     length = window_s * 1_000_000
     timed = requests.withColumn("_us", epoch_us(F.col("ts")))
+    hot = measure(timed, keys, "_us", hot_rows)
     placed = fold_states(
-        timed, keys, ["_us", tie], _Window(length), pos="_us", hot_rows=hot_rows
+        timed, keys, ["_us", tie], _Window(length), pos="_us", hot_rows=hot
     ).withColumn("_ends", F.col("after_wake"))
     counted = prefix_scan(
         placed.drop("before_tag", "before_wake", "after_tag", "after_wake", "acted"),
         [*keys, "_ends"],
         ["_us", tie],
         {"_count": ("sum", F.col(cost), True)},
-        hot_rows=hot_rows,
+        hot_rows=hot,
     )
     left = F.col("_ends") - F.col("_us")
     return counted.select(

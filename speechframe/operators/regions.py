@@ -7,26 +7,27 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.operators.ordered import HOT_ROWS, prefix_scan
+from speechframe.operators.ordered import HOT_ROWS, Hot, measure, prefix_scan
 
 
 def merge_regions(
     regions: DataFrame,
     keys: Sequence[str] = ("recording_id", "channel"),
     *,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """Union of touching or overlapping intervals ``[start, end)`` per key."""
+    hot = measure(regions, keys, "start", hot_rows)
     reach = prefix_scan(
         regions.select(*keys, "start", "end"),
         keys,
         ["start", "end"],
         {"_reach": ("max", F.col("end"), False)},
-        hot_rows=hot_rows,
+        hot_rows=hot,
     )
     opens = F.coalesce(F.col("start") > F.col("_reach"), F.lit(True)).cast("bigint")
     islands = prefix_scan(
-        reach, keys, ["start", "end"], {"_island": ("sum", opens, True)}, hot_rows=hot_rows
+        reach, keys, ["start", "end"], {"_island": ("sum", opens, True)}, hot_rows=hot
     )
     return (
         islands.groupBy(*keys, "_island")

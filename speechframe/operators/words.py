@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechframe.functions.text import SPACES, strip
-from speechframe.operators.ordered import HOT_ROWS, prefix_scan
+from speechframe.operators.ordered import HOT_ROWS, Hot, measure, prefix_scan
 
 PAUSE_S = 0.8
 # Characters that end a sentence.
@@ -21,7 +21,7 @@ def group_words(
     *,
     order: str = "ord",
     pause: float = PAUSE_S,
-    hot_rows: int | None = HOT_ROWS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """Segments ``(keys, group, start, end, text, avg_logprob, words)`` from rows
     ``(keys, ord, text, start, end, type, logprob)``.
@@ -33,8 +33,9 @@ def group_words(
     ends = F.regexp_replace("text", f"{SPACES}+$", "").rlike(SENTENCE_END)
     rows = words.where(F.col("type").isin("word", "spacing"))
     last_word = F.when(is_word, F.struct(F.col("end").alias("end"), ends.alias("ends")))
+    hot = measure(rows, keys, order, hot_rows)
     seen = prefix_scan(
-        rows, keys, [order], {"_prev": ("last", last_word, False)}, hot_rows=hot_rows
+        rows, keys, [order], {"_prev": ("last", last_word, False)}, hot_rows=hot
     )
     opens = is_word & (
         F.col("_prev").isNull()
@@ -42,7 +43,7 @@ def group_words(
         | (F.col("start") - F.col("_prev.end") > pause)
     )
     grouped = prefix_scan(
-        seen, keys, [order], {"group": ("sum", opens.cast("bigint"), True)}, hot_rows=hot_rows
+        seen, keys, [order], {"group": ("sum", opens.cast("bigint"), True)}, hot_rows=hot
     ).where(is_word | ~F.coalesce(F.col("_prev.ends"), F.lit(True)))
     word = F.struct(
         "start", "end", "text", F.exp("logprob").alias("probability")

@@ -19,6 +19,7 @@ def local_session(cores: str = "*", memory: str = "6g", partitions: int = 8) ->
         SparkSession.builder.master(f"local[{cores}]")
         .appName("speechframe")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
