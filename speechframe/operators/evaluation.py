@@ -237,7 +237,9 @@ def rollup_with_tags(scores: DataFrame, tags: str = "tags", config: str = "confi
 
 
 def percent(value: Column) -> Column:
-    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.1f%%", value * 100))
+    """One decimal, halves to even: the formatter itself rounds halves up."""
+    tenths = F.rint(value * 1000) / 10
+    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.1f%%", tenths))
 
 
 def number(value: Column, fmt: str = "%d") -> Column:
@@ -260,7 +262,7 @@ def report_lines(rates: DataFrame) -> DataFrame:
         "seam_errors",
         percent(F.col("seam_error_share")),
         percent(F.col("near_seam_audio_share")),
-        number(F.col("x_realtime"), "%.1f"),
+        number(F.rint(F.col("x_realtime") * 10) / 10, "%.1f"),
     )
     cell = F.concat_ws(
         "; ",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from speechframe.plans import transcripts
+from speechframe.plans import evaluation, operations, transcripts
 
-QUERIES = {**transcripts.QUERIES}
-ORACLES = {**transcripts.ORACLES}
+QUERIES = {**transcripts.QUERIES, **evaluation.QUERIES, **operations.QUERIES}
+ORACLES = {**transcripts.ORACLES, **evaluation.ORACLES, **operations.ORACLES}
