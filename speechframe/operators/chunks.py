@@ -116,10 +116,10 @@ def number_chunks(
 
 def blocks_of(df: DataFrame, block_samples: int) -> DataFrame:
     """One row per audio block that ``[start, end)`` touches, with ``block_idx``."""
-    first = F.floor(F.col("start") / block_samples)
-    last = F.floor((F.col("end") - 1) / block_samples)
+    first = F.floor(F.col("start") / block_samples).cast("int")
+    last = F.floor((F.col("end") - 1) / block_samples).cast("int")
     return df.where(F.col("end") > F.col("start")).withColumn(
-        "block_idx", F.explode(F.sequence(first, last)).cast("int")
+        "block_idx", F.explode(F.sequence(first, last))
     )
 
 

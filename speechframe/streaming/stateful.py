@@ -29,12 +29,12 @@ class Fold(StatefulProcessor):
         self, keys: Sequence[str], order: Sequence[str], state: str, initial: dict, output: str, step: Step
     ):
         self.keys, self.order, self.step = list(keys), list(order), step
-        self.state_ddl, self.initial = state, initial
+        self.state_type, self.initial = StructType.fromDDL(state), initial
         self.columns = StructType.fromDDL(output).names
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.value = handle.getValueState("state", StructType.fromDDL(self.state_ddl))
+        self.value = handle.getValueState("state", self.state_type)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         names = list(self.initial)
@@ -202,10 +202,11 @@ class Visibility(StatefulProcessor):
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
+        self.deadline_type = StructType.fromDDL("ms bigint")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.deadline = handle.getValueState("deadline", StructType.fromDDL("ms bigint"))
+        self.deadline = handle.getValueState("deadline", self.deadline_type)
 
     def _clear(self) -> None:
         if self.deadline.exists():
@@ -220,7 +221,7 @@ class Visibility(StatefulProcessor):
             deadline = int(last["us"]) // 1000 + self.timeout_ms
             self.handle.registerTimer(deadline)
             self.deadline.update((deadline,))
-        yield pd.DataFrame({"message_id": [], "redelivered_ms": []})
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         at = expiredTimerInfo.getExpiryTimeInMs()
