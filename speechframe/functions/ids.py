@@ -55,9 +55,14 @@ def parse_object_key(key: Column, prefix: str) -> Column:
     )
 
 
-def is_uuid(text: Column) -> Column:
-    """Spelling accepted for a job id in a message: canonical, upper case allowed."""
-    return F.coalesce(text.rlike(f"(?i)^{_UUID}$"), F.lit(False))
+def canonical_uuid(text: Column) -> Column:
+    """A job id of a message in canonical form, NULL if it is none. Upper case, braces, the URN
+    prefix and missing dashes are accepted, as UUID parsers do."""
+    bare = F.regexp_replace(text, "urn:|uuid:|-", "")
+    bare = F.lower(F.regexp_replace(bare, r"^[{}]+|[{}]+\z", ""))
+    parts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+    dashed = F.concat_ws("-", *[F.substring(bare, at, n) for at, n in parts])
+    return F.when(bare.rlike(r"^[0-9a-f]{32}\z"), dashed)
 
 
 def event_id(job_id: Column, status: Column) -> Column:

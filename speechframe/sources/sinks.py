@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechframe.functions.ids import is_uuid
+from speechframe.functions.ids import canonical_uuid
 from speechframe.operators.jobs import upsert_latest
 
 
@@ -20,7 +20,7 @@ def write_documents(
 ) -> None:
     """One directory per recording; the parts of a long one are lines of separate files in
     order of their names. The last line break is the writer's own."""
-    body = F.regexp_replace("body", "\n$", "")
+    body = F.regexp_replace("body", r"\n\z", "")
     documents.select(key, "part", body.alias("value")).write.mode(mode).partitionBy(
         key, "part"
     ).text(path)
@@ -44,10 +44,9 @@ def dead_letter_rows(messages: DataFrame, reason: Column) -> DataFrame:
 
 def route_messages(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(good, dead)``: messages without a valid job id are dead letters."""
-    job = F.try_element_at("fields", F.lit("job_id"))
-    valid = is_uuid(job)
-    good = messages.where(valid).withColumn("job_id", F.lower(job))
-    return good, dead_letter_rows(messages, F.when(~valid, "malformed message"))
+    job = canonical_uuid(F.try_element_at("fields", F.lit("job_id")))
+    good = messages.withColumn("job_id", job).where(F.col("job_id").isNotNull())
+    return good, dead_letter_rows(messages, F.when(job.isNull(), "malformed message"))
 
 
 def merge_checkpoint(
