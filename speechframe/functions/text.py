@@ -42,19 +42,24 @@ def spelled(n: int) -> str:
 SPELLED = {str(n): spelled(n) for n in range(101)}
 
 
+_SPACE_CHARS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+_TO_SQUEEZE = f"{SPACES}{{2,}}|{SPACES.replace('x20', 'x1f', 1)}"
+
+
 def strip(text: Column) -> Column:
     """Trim the same white space as ``str.strip``."""
-    return F.regexp_replace(text, f"^{SPACES}+|{SPACES}+$", "")
+    return F.trim(text, F.lit(_SPACE_CHARS))
 
 
 def squeeze(text: Column) -> Column:
-    """Runs of white space become one space; none at the ends."""
-    return F.trim(F.regexp_replace(text, f"{SPACES}+", " "))
+    """Runs of white space become one space; none at the ends. Single plain spaces, by far the
+    most, are not touched."""
+    return F.trim(F.regexp_replace(text, _TO_SQUEEZE, " "))
 
 
 def tokens(text: Column) -> Column:
     """``str.split()``: an array without empty strings."""
-    return F.filter(F.split(squeeze(text), " "), lambda t: t != "")
+    return F.filter(F.split(text, f"{SPACES}+"), lambda t: t != "")
 
 
 def guard_key(text: Column) -> Column:
@@ -94,14 +99,34 @@ def _wer_ascii(text: Column) -> Column:
 
 _NUMBERS = re.compile(r"\b(?:100|[1-9]?[0-9])\b")
 _FILLER_WORDS = re.compile(rf"\b(?:{'|'.join(FILLERS)})\b")
-_APOSTROPHES = dict.fromkeys(map(ord, "'‘’ʼ"))
+_APOSTROPHES = frozenset("'‘’ʼ")
+
+
+class _Marks(dict):
+    """Translation that drops combining marks and apostrophes; learns each character once."""
+
+    def __missing__(self, code: int):
+        char = chr(code)
+        gone = char in _APOSTROPHES or unicodedata.combining(char)
+        self[code] = None if gone else char
+        return self[code]
+
+
+class _Signs(dict):
+    """Translation of punctuation and symbols to spaces."""
+
+    def __missing__(self, code: int):
+        char = chr(code)
+        self[code] = " " if unicodedata.category(char)[0] in "PS" else char
+        return self[code]
+
+
+_MARKS, _SIGNS = _Marks(), _Signs()
 
 
 def _unicode_words(text: str) -> str:
     folded = unicodedata.normalize("NFKD", re.sub(_BRACKETED, " ", text.lower()))
-    folded = "".join(c for c in folded if not unicodedata.combining(c)).translate(_APOSTROPHES)
-    folded = re.sub(r"(?<=\d),(?=\d)", "", folded)
-    folded = "".join(" " if unicodedata.category(c)[0] in "PS" else c for c in folded)
+    folded = re.sub(r"(?<=\d),(?=\d)", "", folded.translate(_MARKS)).translate(_SIGNS)
     folded = _NUMBERS.sub(lambda m: SPELLED[str(int(m[0]))], folded)
     return " ".join(_FILLER_WORDS.sub(" ", folded).split())
 

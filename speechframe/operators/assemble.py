@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from speechframe.functions.language import normalise_language
@@ -18,14 +18,18 @@ def assemble_text(
     segments: DataFrame,
     keys: Sequence[str] = ("recording_id",),
     *,
+    keep: Column | None = None,
+    counts: dict[str, Column] | None = None,
     part_rows: int | None | Hot = PART_ROWS,
 ) -> DataFrame:
-    """Full text and ordered segments per recording.
+    """Full text and ordered segments per recording, of the rows with ``keep``; ``counts`` adds
+    aggregates over all rows in the same pass.
 
     Segments sort by start, then channel, chunk and position. A recording of more than
     ``part_rows`` segments comes out as several rows, numbered by ``part`` in time order, so no
     row grows without bound; joined in order (with a space) the parts are the whole text.
     """
+    counts = counts or {}
     sliced = with_slices(segments, keys, "start", measure(segments, keys, "start", part_rows))
     entry = F.struct(
         "start",
@@ -39,10 +43,14 @@ def assemble_text(
     )
     return (
         sliced.groupBy(*keys, F.col("_slice").alias("part"))
-        .agg(F.array_sort(F.collect_list(entry)).alias("_s"))
+        .agg(
+            F.array_sort(F.collect_list(entry if keep is None else F.when(keep, entry))).alias("_s"),
+            *[aggregate.alias(name) for name, aggregate in counts.items()],
+        )
         .select(
             *keys,
             "part",
+            *counts,
             F.array_join(F.transform("_s", lambda s: s["text"]), " ").alias("text"),
             F.transform(
                 "_s",

@@ -147,6 +147,14 @@ def number_cues(
     return numbered.withColumnRenamed("_slice", "part").drop("_hot")
 
 
+def _numbered(segments, keys, width, max_lines, part_rows) -> DataFrame:
+    """Numbered cues; long recordings are found by their segments, before any text is wrapped."""
+    timed = segments.withColumn("start_ms", timing.cue_start_ms(F.col("start")))
+    hot = measure(timed, keys, "start_ms", part_rows)
+    cues = caption_cues(segments, keys, width=width, max_lines=max_lines)
+    return number_cues(cues, keys, part_rows=hot)
+
+
 def _document(lines: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     return (
         lines.groupBy(*keys, "part")
@@ -181,9 +189,7 @@ def render_srt(
     max_lines: int = MAX_LINES,
     part_rows: int | None | Hot = PART_ROWS,
 ) -> DataFrame:
-    cues = number_cues(
-        caption_cues(segments, keys, width=width, max_lines=max_lines), keys, part_rows=part_rows
-    )
+    cues = _numbered(segments, keys, width, max_lines, part_rows)
     line = F.concat(
         F.col("number").cast("string"),
         F.lit("\n"),
@@ -205,9 +211,7 @@ def render_vtt(
     part_rows: int | None | Hot = PART_ROWS,
 ) -> DataFrame:
     """With ``recordings`` (their keys), recordings without segments get the bare header."""
-    cues = number_cues(
-        caption_cues(segments, keys, width=width, max_lines=max_lines), keys, part_rows=part_rows
-    )
+    cues = _numbered(segments, keys, width, max_lines, part_rows)
     line = F.concat(
         _span("."),
         timing.voice_tag(F.col("channel")),

@@ -94,23 +94,36 @@ def guard_reasons(
         .when(above(F.col("compression_ratio"), compression), "repetition")
     )
     suspect = F.col("low_confidence") | above(F.col("no_speech_prob"), SUSPECT_NO_SPEECH)
+    hot = measure(segments, keys, order[0], hot_rows)
+    # Shuffle the bare segments; their text keys are computed on the other side, where the
+    # windows below find them already partitioned.
+    placed = segments.repartition(*keys) if hot.stats is None else segments
     staged = (
-        segments.withColumn("_key", guard_key(F.col("text")))
+        placed.withColumn("_key", guard_key(F.col("text")))
         .withColumn("_pre", pre)
         .withColumn("_known", suspect & is_boilerplate(text))
         .withColumn("_cand", F.col("_pre").isNull() & ~F.col("_known"))
     )
     candidate = F.when(F.col("_cand"), text)
-    hot = measure(staged, keys, order[0], hot_rows)
     before = prefix_scan(
-        staged, keys, order, {"_prev": ("last", candidate, False)}, hot_rows=hot
+        staged,
+        keys,
+        order,
+        {"_prev": ("last", candidate, False), "_count": ("count", candidate, False)},
+        hot_rows=hot,
     )
-    changed = (F.col("_cand") & ~text.eqNullSafe(F.col("_prev"))).cast("bigint")
-    runs = prefix_scan(before, keys, order, {"_run": ("sum", changed, True)}, hot_rows=hot)
+    # The candidates counted before the present run of equal texts began.
+    changed = F.col("_cand") & ~text.eqNullSafe(F.col("_prev"))
     counted = prefix_scan(
-        runs, [*keys, "_run"], order, {"_same": ("count", candidate, False)}, hot_rows=hot
+        before,
+        keys,
+        order,
+        {"_began": ("max", F.when(changed, F.col("_count")), True)},
+        hot_rows=hot,
     )
-    repeats = F.when(text.eqNullSafe(F.col("_prev")), F.col("_same")).otherwise(0)
+    repeats = F.when(
+        text.eqNullSafe(F.col("_prev")), F.col("_count") - F.col("_began")
+    ).otherwise(0)
     reason = (
         F.when(F.col("_pre").isNotNull(), F.col("_pre"))
         .when(repeats >= MAX_REPEATS, "repetition")
@@ -118,7 +131,7 @@ def guard_reasons(
     )
     return without_slices(
         counted.withColumn("reason", reason).drop(
-            "_key", "_pre", "_known", "_cand", "_prev", "_run", "_same"
+            "_key", "_pre", "_known", "_cand", "_prev", "_count", "_began"
         )
     )
 

@@ -19,6 +19,15 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def load_texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table of texts for work that is heavy per row. A scan with fewer partitions than cores
+    (one small file) is spread by key; a scan of many files is left alone."""
+    rows = load(spark, sf_dir, name)
+    if rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism:
+        return rows
+    return rows.repartition(spark.sparkContext.defaultParallelism, key)
+
+
 def sql_strip(x: str) -> str:
     return f"regexp_replace({x}, '^{SPACES}+|{SPACES}+$', '', 'g')"
 
@@ -35,7 +44,7 @@ def sql_tokens(x: str) -> str:
 
 
 def line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = load(spark, sf_dir, "documents").select(
+    lines = load_texts(spark, sf_dir, "documents", "doc_id").select(
         "doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line")
     )
     doc, ord_ = F.col("doc_id"), F.col("ord")
@@ -75,7 +84,7 @@ segments AS (
 
 
 def turn_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = load(spark, sf_dir, "conversations")
+    turns = load_texts(spark, sf_dir, "conversations", "conv_id")
     text = strip(F.col("text"))
     start = F.col("turn") * F.lit(15.25)
     return turns.select(

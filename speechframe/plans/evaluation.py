@@ -9,7 +9,7 @@ from speechframe.functions.align import alignment, char_errors, word_errors
 from speechframe.functions.text import FILLERS, SPELLED, wer_text
 from speechframe.operators import evaluation
 from speechframe.operators.ordered import HOT_ROWS
-from speechframe.plans.bindings import EVENTS_SQL, event_rows, load, sql_tokens
+from speechframe.plans.bindings import EVENTS_SQL, event_rows, load, load_texts, sql_tokens
 from speechframe.plans.transcripts import _PACKED_SQL, packed_chunks
 
 QUERIES = {}
@@ -57,7 +57,7 @@ def wer_normalise(spark, sf_dir):
     items = load(spark, sf_dir, "benchmark").select(
         F.lit("benchmark").alias("origin"), F.col("item_id").alias("id"), "text"
     )
-    docs = load(spark, sf_dir, "documents").select(
+    docs = load_texts(spark, sf_dir, "documents", "doc_id").select(
         F.lit("documents").alias("origin"), F.col("doc_id").alias("id"), "text"
     )
     return items.unionByName(docs).select("origin", "id", wer_text(F.col("text")).alias("words"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from speechframe.functions.language import CANONICAL, normalise_language
 from speechframe.functions.text import BOILERPLATE
+from speechframe.functions.timing import cue_start_ms
 from speechframe.operators import assemble, audio, captions, chunks, guards, regions, words
 from speechframe.operators.ordered import Hot, measure
 from speechframe.plans.bindings import (
@@ -142,17 +143,16 @@ count(*) FILTER (WHERE reason IS NOT NULL) AS dropped FROM reasons GROUP BY doc_
 )
 def guarded_transcript(spark, sf_dir):
     """Raw segments to guarded transcripts: the flagship query."""
-    reasons = _reasons(spark, sf_dir)
-    counts = reasons.groupBy("doc_id").agg(
-        F.count_if(F.col("reason").isNull()).alias("kept"),
-        F.count_if(F.col("reason").isNotNull()).alias("dropped"),
-    )
-    kept = reasons.where(F.col("reason").isNull()).withColumn("channel", F.lit(None).cast("int"))
+    reasons = _reasons(spark, sf_dir).withColumn("channel", F.lit(None).cast("int"))
+    kept = F.col("reason").isNull()
     # A document is one row of text, so its lines always fit one part again.
-    texts = assemble.assemble_text(kept, ["doc_id"], part_rows=None).select("doc_id", "text")
-    return counts.join(texts, "doc_id", "left").select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text"), "kept", "dropped"
-    )
+    return assemble.assemble_text(
+        reasons,
+        ["doc_id"],
+        keep=kept,
+        counts={"kept": F.count_if(kept), "dropped": F.count_if(~kept)},
+        part_rows=None,
+    ).select("doc_id", "text", "kept", "dropped")
 
 
 # --- assembly and captions ------------------------------------------------------------------
@@ -215,8 +215,11 @@ cues AS (SELECT conv_id, ord, channel, cue, body, start_ms,
 row_number() OVER (PARTITION BY conv_id ORDER BY start_ms, ord, cue) AS number FROM cues"""
 )
 def caption_cues(spark, sf_dir):
+    turns = turn_segments(spark, sf_dir)
+    starts = turns.withColumn("start_ms", cue_start_ms(F.col("start")))
+    hot = measure(starts, ["conv_id"], "start_ms", captions.PART_ROWS)
     cues = captions.number_cues(
-        captions.caption_cues(turn_segments(spark, sf_dir), ["conv_id"]), ["conv_id"]
+        captions.caption_cues(turns, ["conv_id"]), ["conv_id"], part_rows=hot
     )
     return cues.select(
         "conv_id",
