@@ -8,30 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from speechframe.functions.timing import epoch_us
-from speechframe.operators.ordered import HOT_ROWS, Hot, Machine, fold_states
+from speechframe.operators.ordered import HOT_ROWS, NEVER, Hot, Machine, fold_states
 
 
 class Breaker(Machine):
-    """Tag n: closed after n consecutive failures. Asleep: open until ``wake``; the row that
-    wakes it is the half-open trial."""
-
-    initial = (0, 0)
+    """Tag n below ``threshold``: closed after n failures in a row. Tag ``threshold``: open until
+    ``wake``; the first row from then on is the half-open trial."""
 
     def __init__(self, threshold: int, reset: int):
         if threshold < 1:
             raise ValueError("threshold must be at least 1")
-        self.tags = threshold
-        self.reset = reset
+        self.threshold, self.reset = threshold, reset
+        self.tags = threshold + 1
+        self.sleepless = frozenset(range(threshold))
 
-    def awake(self, tag, row):
+    def due(self, tag, row):
         if row["_ok"]:
-            return 0, 0
-        if tag + 1 >= self.tags:
-            return -1, row["_us"] + self.reset
-        return tag + 1, 0
-
-    def woken(self, row):
-        return (0, 0) if row["_ok"] else (-1, row["_us"] + self.reset)
+            return 0, NEVER
+        if tag + 1 >= self.threshold:
+            return self.threshold, row["_us"] + self.reset
+        return tag + 1, NEVER
 
 
 def breaker_timeline(
@@ -53,12 +49,15 @@ def breaker_timeline(
         hot_rows=hot_rows,
     )
     state = (
-        F.when(F.col("before_tag") >= 0, "closed").when(F.col("acted"), "half_open").otherwise("open")
+        F.when(F.col("before_tag") < threshold, "closed")
+        .when(F.col("acted"), "half_open")
+        .otherwise("open")
     )
+    open_after = F.col("after_tag") == threshold
     return states.select(
         *attempts.columns,
         state.alias("state"),
         F.col("acted").alias("admitted"),
-        F.greatest("after_tag", F.lit(0)).alias("failures"),
-        (F.col("after_tag") < 0).alias("open_after"),
+        F.when(open_after, 0).otherwise(F.col("after_tag")).alias("failures"),
+        open_after.alias("open_after"),
     )

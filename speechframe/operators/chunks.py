@@ -16,6 +16,7 @@ from speechframe.operators.ordered import (
     HOT_ROWS,
     Hot,
     Machine,
+    cut_lineage,
     fold_states,
     measure,
     null_safe,
@@ -30,13 +31,13 @@ MAX_GAP = 2 * SAMPLE_RATE
 
 
 class _Packing(Machine):
-    """Asleep until a piece ends beyond the open chunk's limit; then that piece opens one."""
+    """A piece that ends beyond the open chunk's limit opens the next one."""
 
     def __init__(self, max_chunk: int):
         self.max_chunk = max_chunk
 
-    def woken(self, row):
-        return -1, row["start"] + self.max_chunk + 1
+    def due(self, tag, row):
+        return 0, row["start"] + self.max_chunk + 1
 
 
 def pack_chunks(
@@ -89,9 +90,16 @@ def number_chunks(
     chunks: DataFrame, recording: str = "recording_id", *, hot_rows: int | None | Hot = HOT_ROWS
 ) -> DataFrame:
     """Recording-wide ``index``: channel by channel (no channel first), then by start."""
+    hot = measure(chunks, [recording], "start", hot_rows)
+    if hot.stats is None:
+        ranked = chunks.withColumn("_ch", F.coalesce("channel", F.lit(-1)))
+        nth = {"_nth": ("count", F.col("start"), False)}
+        found = prefix_scan(ranked, [recording], ["_ch", "start"], nth, hot_rows=hot)
+        return found.withColumn("index", F.col("_nth").cast("int")).drop("_ch", "_nth")
     keys = [recording, "channel"]
+    chunks = cut_lineage(chunks)
     within = prefix_scan(
-        chunks, keys, ["start"], {"_nth": ("count", F.col("start"), False)}, hot_rows=hot_rows
+        chunks, keys, ["start"], {"_nth": ("count", F.col("start"), False)}, hot_rows=hot
     ).drop("_slice", "_hot")
     earlier = (
         Window.partitionBy(recording)

@@ -17,6 +17,7 @@ On the sliced path inputs that are read twice are checkpointed, so a chain of sc
 from __future__ import annotations
 
 import tempfile
+from collections import deque
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -227,21 +228,29 @@ def _carry(
 class Machine:
     """A state machine over one key's rows in order.
 
-    A state is ``(tag, wake)``. Tags ``0 .. tags-1`` are *awake*: they see every row. Tag -1 is
-    *asleep*: rows before position ``wake`` leave it alone, and the first row at or after
-    ``wake`` (or a row whose ``force`` flag is set) wakes it. Positions and wakes never decrease
-    along the key. The finite tags plus the single threshold are what lets a slice be described
-    without knowing the state it starts in.
+    A state is ``(tag, wake)`` with ``tag`` in ``range(tags)``. A row at position ``wake`` or
+    later (or with its ``force`` flag set) is *due* for the state, an earlier one is *early*.
+    Both return the next state, or None to leave it. An early row may only change the state in a
+    way that does not depend on ``wake``. Per tag, later rows never set an earlier wake. Tags that
+    never sleep use wake ``NEVER`` and are listed in ``sleepless``.
+
+    A finite tag plus one threshold is what lets a slice be described without knowing the state
+    it starts in.
     """
 
-    tags = 0
-    initial: tuple[int, int] = (-1, NEVER)
+    tags = 1
+    sleepless: frozenset[int] = frozenset()
+    initial: tuple[int, int] = (0, NEVER)
 
-    def awake(self, tag: int, row: dict) -> tuple[int, int]:
+    def due(self, tag: int, row: dict) -> tuple[int, int] | None:
         raise NotImplementedError
 
-    def woken(self, row: dict) -> tuple[int, int]:
-        raise NotImplementedError
+    def early(self, tag: int, row: dict) -> tuple[int, int] | None:
+        return None
+
+    def next(self, state: tuple[int, int], row: dict, at: int, forced: bool):
+        tag, wake = state
+        return self.due(tag, row) if forced or at >= wake else self.early(tag, row)
 
 
 _STATE_FIELDS = [
@@ -274,7 +283,7 @@ def fold_states(
     hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """Run ``machine`` over every key; adds the state before and after each row and ``acted``
-    (whether the row was seen by an awake machine or woke it).
+    (whether the row set the state).
 
     Rows stream through sorted partitions, so a task holds one Arrow batch. Slices of hot keys
     are first reduced to transition tables in parallel, which fixes the state each one starts in.
@@ -326,11 +335,11 @@ def _runner(machine, group, names, pos, force, schema):
                 if here != key:
                     key, state = here, (columns["_tag"][i], columns["_wake"][i])
                 row = {c: columns[c][i] for c in used}
-                before, acted = state, False
-                if state[0] >= 0:
-                    state, acted = machine.awake(state[0], row), True
-                elif row[pos] >= state[1] or (force is not None and row[force]):
-                    state, acted = machine.woken(row), True
+                before = state
+                forced = force is not None and bool(row[force])
+                moved = machine.next(state, row, row[pos], forced)
+                acted = moved is not None
+                state = moved if acted else state
                 for out, value in zip(states, (*before, *state, acted)):
                     out.append(value)
             yield pa.RecordBatch.from_arrays(
@@ -425,66 +434,84 @@ def _table_batch(key, table, schema) -> pa.RecordBatch:
 
 def transition_table(machine: Machine, rows: list[dict], pos: str, force: str | None):
     """Where each possible starting state of a slice ends up: a list of
-    ``(tag, upto, exit_tag, exit_wake)``. For tag -1 an entry covers wakes in
-    ``(previous upto, upto]``; wakes beyond the last entry leave the slice unchanged.
+    ``(tag, upto, exit_tag, exit_wake)``. Per tag an entry covers wakes in ``(previous upto, upto]``;
+    wakes beyond the last entry leave the slice unchanged.
 
-    All starting states run side by side and are joined as soon as they meet, so the work is
-    linear in the rows. Sleepers wake in the order they fell asleep.
+    All starting states run side by side and are joined as soon as they meet, so the work grows
+    with rows and tags. A starting wake is only known by the first row that is due for it: such
+    states split off from the tag's open rest row by row.
     """
-    awake: dict[int, list[int]] = {tag: [tag] for tag in range(machine.tags)}
-    sleeping: list[tuple[int, list[int]]] = []
-    head = 0
-    uppers: list[int] = []  # class id tags + i: wakes up to uppers[i], beyond uppers[i-1]
-    open_ended = True
+    queues: dict[int, deque] = {tag: deque() for tag in range(machine.tags)}
+    starts: list[tuple[int, int]] = []  # (tag, upto) of each class of starting states
+    resting: set[int] = set()
+    for tag in range(machine.tags):
+        if tag in machine.sleepless:
+            queues[tag].append((NEVER, [len(starts)]))
+            starts.append((tag, FOREVER))
+        else:
+            resting.add(tag)
     for row in rows:
         at = row[pos]
         forced = force is not None and bool(row[force])
-        woken: list[int] = []
-        while head < len(sleeping) and (forced or sleeping[head][0] <= at):
-            members = sleeping[head][1]
-            woken = members + woken if len(members) > len(woken) else woken + members
-            head += 1
-        if open_ended:
-            woken.append(machine.tags + len(uppers))
-            uppers.append(FOREVER if forced else at)
-            open_ended = not forced
-        moved: dict[int, list[int]] = {}
-        slept: dict[int, list[int]] = {}
-
-        def settle(state, members):
-            place = moved if state[0] >= 0 else slept
-            where = state[0] if state[0] >= 0 else state[1]
-            if where in place:
-                place[where].extend(members)
+        arrived: dict[tuple[int, int], list[int]] = {}
+
+        def settle(state, members, arrived=arrived):
+            present = arrived.get(state)
+            if present is None:
+                arrived[state] = members
+            elif len(present) < len(members):
+                members.extend(present)
+                arrived[state] = members
+            else:
+                present.extend(members)
+
+        for tag, queue in queues.items():
+            late = machine.due(tag, row)
+            ahead = late if forced else machine.early(tag, row)
+            ready: list[int] = []
+            while queue and (forced or queue[0][0] <= at):
+                members = queue.popleft()[1]
+                if len(members) > len(ready):
+                    ready, members = members, ready
+                ready.extend(members)
+            if tag in resting:
+                ready.append(len(starts))
+                starts.append((tag, FOREVER if forced else at))
+            if ready:
+                settle(late or (tag, NEVER), ready)
+            if ahead is not None and not forced:
+                for _, members in queue:
+                    settle(ahead, members)
+                queue.clear()
+                if tag in resting:
+                    settle(ahead, [len(starts)])
+                    starts.append((tag, FOREVER))
+            if forced or ahead is not None:
+                resting.discard(tag)
+        for (tag, wake), members in arrived.items():
+            if wake == NEVER:
+                queues[tag].appendleft((wake, members))
             else:
-                place[where] = members
-
-        if woken:
-            settle(machine.woken(row), woken)
-        for tag, members in awake.items():
-            settle(machine.awake(tag, row), members)
-        awake = moved
-        sleeping.extend(slept.items())
+                queues[tag].append((wake, members))
     exits: dict[int, tuple[int, int]] = {}
-    for tag, members in awake.items():
-        exits.update(dict.fromkeys(members, (tag, 0)))
-    for wake, members in sleeping[head:]:
-        exits.update(dict.fromkeys(members, (-1, wake)))
-    table = [(tag, 0, *exits[tag]) for tag in range(machine.tags)]
-    for i, upto in enumerate(uppers):
-        exit_state = exits[machine.tags + i]
-        if table and table[-1][0] == -1 and table[-1][2:] == exit_state:
-            table[-1] = (-1, upto, *exit_state)
+    for tag, queue in queues.items():
+        for wake, members in queue:
+            exits.update(dict.fromkeys(members, (tag, wake)))
+    table: list[tuple[int, int, int, int]] = []
+    last: dict[int, int] = {}
+    for index, (tag, upto) in enumerate(starts):
+        previous = last.get(tag)
+        if previous is not None and table[previous][2:] == exits[index]:
+            table[previous] = (tag, upto, *exits[index])
         else:
-            table.append((-1, upto, *exit_state))
+            last[tag] = len(table)
+            table.append((tag, upto, *exits[index]))
     return table
 
 
 def apply_table(table, state: tuple[int, int]) -> tuple[int, int]:
     tag, wake = state
     for entry in table:
-        if entry["tag"] != tag:
-            continue
-        if tag >= 0 or wake <= entry["upto"]:
+        if entry["tag"] == tag and wake <= entry["upto"]:
             return entry["exit_tag"], entry["exit_wake"]
     return state

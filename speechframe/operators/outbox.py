@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from speechframe.functions.ids import event_id
 from speechframe.functions.timing import epoch_us
-from speechframe.operators.ordered import rows_of
+from speechframe.operators.ordered import (
+    HOT_ROWS,
+    NEVER,
+    Hot,
+    Machine,
+    fold_states,
+    measure,
+    prefix_scan,
+)
 
 LEASE_S = 60
 MAX_ATTEMPTS = 5
@@ -109,61 +113,93 @@ def advance(
         }, "sending"
     if status != "sending":
         return state, "ignored"
-    code = event["http_status"]
+    outcome, delay = settle(event["http_status"], state["attempts"], max_attempts)
+    next_us = None if delay is None else now + delay
+    return {**state, "status": outcome, "next_us": next_us}, outcome
+
+
+def settle(code: int | None, attempts: int, max_attempts: int) -> tuple[str, int | None]:
+    """Status after a delivery attempt, and the delay (microseconds) before the next one."""
     if code is not None and 200 <= code < 300:
-        return {**state, "status": "delivered", "next_us": None}, "delivered"
+        return "delivered", None
     again = code is not None and (code in (408, 429) or code >= 500)
-    if again and state["attempts"] < max_attempts:
-        delay = min(5 * 2 ** (state["attempts"] - 1), MAX_DELAY_S) * 1_000_000
-        return {**state, "status": "pending", "next_us": now + delay}, "pending"
-    return {**state, "status": "failed", "next_us": None}, "failed"
-
-
-OUTCOMES = T.StructType(
-    [
-        T.StructField("job_id", T.StringType()),
-        T.StructField("us", T.LongType()),
-        T.StructField("seq", T.LongType()),
-        T.StructField("outcome", T.StringType()),
-        T.StructField("status", T.StringType()),
-        T.StructField("attempts", T.IntegerType()),
-        T.StructField("next_us", T.LongType()),
-    ]
-)
+    if again and attempts < max_attempts:
+        return "pending", min(5 * 2 ** (attempts - 1), MAX_DELAY_S) * 1_000_000
+    return "failed", None
+
+
+class Entry(Machine):
+    """The outbox entry for :func:`fold_states`. Attempts matter up to ``max_attempts`` only, so
+    status and capped attempts make the tag, and the time the entry is due next is the wake."""
+
+    def __init__(self, lease_us: int, max_attempts: int):
+        self.lease_us, self.cap = lease_us, max_attempts
+        self.delivered, self.failed = 2 * max_attempts + 1, 2 * max_attempts + 2
+        self.tags = self.failed + 1
+        self.sleepless = frozenset({0, self.delivered, self.failed})
+
+    def state(self, tag: int) -> tuple[str, int]:
+        """Status and capped attempts of a tag."""
+        if tag < self.cap:
+            return "pending", tag
+        if tag <= 2 * self.cap:
+            return "sending", tag - self.cap
+        return ("delivered" if tag == self.delivered else "failed"), 0
+
+    def due(self, tag, row):
+        if row["event"] != "claim":
+            return self.early(tag, row)
+        status, attempts = self.state(tag)
+        if status not in ("pending", "sending"):
+            return None
+        return self.cap + min(attempts + 1, self.cap), row["us"] + self.lease_us
+
+    def early(self, tag, row):
+        status, attempts = self.state(tag)
+        if row["event"] == "claim" or status != "sending":
+            return None
+        outcome, delay = settle(row["http_status"], attempts, self.cap)
+        if outcome == "pending":
+            return attempts, row["us"] + delay
+        return (self.delivered if outcome == "delivered" else self.failed), NEVER
 
 
 def delivery_states(
-    deliveries: DataFrame, *, lease_s: int = LEASE_S, max_attempts: int = MAX_ATTEMPTS
+    deliveries: DataFrame,
+    *,
+    lease_s: int = LEASE_S,
+    max_attempts: int = MAX_ATTEMPTS,
+    hot_rows: int | None | Hot = HOT_ROWS,
 ) -> DataFrame:
     """Outcome and state after every row of a delivery log ``(job_id, ts, seq, event,
-    http_status)``. Rows stream through sorted partitions; nothing is gathered per job."""
-    names = ["job_id", "us", "seq", "event", "http_status"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        job, state = None, IDLE
-        for batch in batches:
-            out = []
-            for row in rows_of(iter([batch]), names):
-                if row["job_id"] != job:
-                    job, state = row["job_id"], IDLE
-                state, outcome = advance(
-                    state, row, lease_us=lease_s * 1_000_000, max_attempts=max_attempts
-                )
-                out.append(
-                    (job, row["us"], row["seq"], outcome, state["status"], state["attempts"],
-                     state["next_us"])
-                )
-            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(),
-                     pa.int64()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(v), type=k) for v, k in zip(zip(*out), kinds)],
-                names=OUTCOMES.names,
-            )
-
-    return (
-        deliveries.withColumn("us", epoch_us(F.col("ts")))
-        .select(*names)
-        .repartition("job_id")
-        .sortWithinPartitions("job_id", "us", "seq")
-        .mapInArrow(run, OUTCOMES)
+    http_status)``."""
+    rows = deliveries.withColumn("us", epoch_us(F.col("ts"))).select(
+        "job_id", "us", "seq", "event", "http_status"
+    )
+    hot = measure(rows, ["job_id"], "us", hot_rows)
+    entry = Entry(lease_s * 1_000_000, max_attempts)
+    states = fold_states(rows, ["job_id"], ["us", "seq"], entry, pos="us", hot_rows=hot)
+    names = F.array(*[F.lit(entry.state(tag)[0]) for tag in range(entry.tags)])
+    claim, acted = F.col("event") == "claim", F.col("acted")
+    named = states.withColumn("status", F.element_at(names, F.col("after_tag") + 1))
+    due_at = F.when(F.col("after_wake") != NEVER, F.col("after_wake"))
+    counted = prefix_scan(
+        named,
+        ["job_id"],
+        ["us", "seq"],
+        {
+            "attempts": ("count", F.when(claim & acted, 1), True),
+            "_due": ("last", F.when(acted, F.struct(due_at.alias("us"))), True),
+        },
+        hot_rows=hot,
+    )
+    outcome = F.when(acted, F.col("status")).otherwise(F.when(claim, "not_due").otherwise("ignored"))
+    return counted.select(
+        "job_id",
+        "us",
+        "seq",
+        outcome.alias("outcome"),
+        "status",
+        F.col("attempts").cast("int").alias("attempts"),
+        F.col("_due.us").alias("next_us"),
     )

@@ -15,13 +15,13 @@ READ_FACTOR = 10
 
 
 class _Window(Machine):
-    """Asleep while a window runs; the first request at or after its end opens the next."""
+    """The first request at or after a window's end opens the next."""
 
     def __init__(self, length: int):
         self.length = length
 
-    def woken(self, row):
-        return -1, row["_us"] + self.length
+    def due(self, tag, row):
+        return 0, row["_us"] + self.length
 
 
 def rate_limit(

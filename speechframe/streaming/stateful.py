@@ -18,6 +18,7 @@ from pyspark.sql.types import StructType
 from speechframe.functions.timing import epoch_us
 from speechframe.operators import lifecycle, outbox
 from speechframe.operators.breaker import Breaker
+from speechframe.operators.ordered import NEVER
 
 Step = Callable[[dict, dict], tuple[dict, dict]]
 
@@ -121,17 +122,14 @@ def breaker_timeline(attempts: DataFrame, *, threshold: int, reset_s: int) -> Da
     machine = Breaker(threshold, reset_s * 1_000_000)
 
     def step(state, row):
-        tag, wake = state["tag"], state["wake"]
-        acted = tag >= 0 or row["us"] >= wake
-        met = "closed" if tag >= 0 else "half_open" if acted else "open"
         facts = {"_us": row["us"], "_ok": row["ok"]}
-        if tag >= 0:
-            tag, wake = machine.awake(tag, facts)
-        elif acted:
-            tag, wake = machine.woken(facts)
+        moved = machine.next((state["tag"], state["wake"]), facts, row["us"], False)
+        closed = state["tag"] < threshold
+        met = "closed" if closed else "half_open" if moved else "open"
+        tag, wake = moved or (state["tag"], state["wake"])
         return {"tag": tag, "wake": wake}, {
-            "seq": row["seq"], "state": met, "admitted": acted, "failures": max(tag, 0),
-            "open_after": tag < 0,
+            "seq": row["seq"], "state": met, "admitted": moved is not None,
+            "failures": 0 if tag == threshold else tag, "open_after": tag == threshold,
         }
 
     rows = attempts.select("engine", epoch_us(F.col("ts")).alias("us"), "seq", "ok")
@@ -139,7 +137,7 @@ def breaker_timeline(attempts: DataFrame, *, threshold: int, reset_s: int) -> Da
         "engine string, seq bigint, state string, admitted boolean, failures int, open_after boolean"
     )
     return _fold(
-        rows, ["engine"], ["us", "seq"], "tag int, wake bigint", {"tag": 0, "wake": 0}, output, step
+        rows, ["engine"], ["us", "seq"], "tag int, wake bigint", {"tag": 0, "wake": NEVER}, output, step
     )
 
 
