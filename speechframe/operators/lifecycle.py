@@ -8,7 +8,9 @@ else is a fenced write: it counts if the job is processing and owned by the writ
 2. the few remaining rows are folded in order;
 3. all fenced writes get their outcome from the ownership at their place, by an ordered scan.
 
-A job with very many heartbeats or writes is therefore spread over tasks like any other data.
+Jobs of very many events take another way to the same result: a job changes state only a few
+times (claims are capped), so its changes are found one after the other, each as the earliest
+row of a distributed search over all its events.
 """
 
 from __future__ import annotations
@@ -21,7 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from speechframe.functions.timing import epoch_us
-from speechframe.operators.ordered import HOT_ROWS, Hot, measure, prefix_scan, rows_of
+from speechframe.operators.ordered import (
+    HOT_ROWS,
+    NEVER,
+    Hot,
+    cut_lineage,
+    measure,
+    prefix_scan,
+    rows_of,
+    with_slices,
+    without_slices,
+)
 
 CONTROL = ("create", "claim", "complete", "fail", "release")
 NEW = {"status": None, "worker_id": None, "lease": None, "attempts": 0}
@@ -101,15 +113,27 @@ def event_outcomes(
     rows = events.select(
         "job_id", epoch_us(F.col("ts")).alias("us"), "seq", "event", "worker_id"
     )
-    control = F.col("event").isin(*CONTROL)
     hot = measure(rows, ["job_id"], "us", hot_rows)
+    lease_us = lease_s * 1_000_000
+    if hot.stats is None:
+        return _ordinary_outcomes(rows, lease_us, max_attempts)
+    sliced = with_slices(rows, ["job_id"], "us", hot)
+    ordinary = without_slices(sliced.where(~F.col("_hot")))
+    busy = cut_lineage(sliced.where(F.col("_hot")))
+    return _ordinary_outcomes(ordinary, lease_us, max_attempts).unionByName(
+        _busy_outcomes(busy, lease_us, max_attempts, hot)
+    )
+
+
+def _ordinary_outcomes(rows: DataFrame, lease_us: int, max_attempts: int) -> DataFrame:
+    control = F.col("event").isin(*CONTROL)
     beats = (
         prefix_scan(
             rows.where(control | (F.col("event") == "heartbeat")),
             ["job_id"],
             ["us", "seq"],
             {"_run": ("count", F.when(control, 1), False)},
-            hot_rows=hot,
+            hot_rows=None,
         )
         .where(~control)
         .groupBy("job_id", "_run", "worker_id")
@@ -118,13 +142,13 @@ def event_outcomes(
             "job_id", "_last.us", "_last.seq", F.lit("heartbeat").alias("event"), "worker_id"
         )
     )
-    folded = _fold(rows.where(control).unionByName(beats), lease_s * 1_000_000, max_attempts)
+    folded = _fold(rows.where(control).unionByName(beats), lease_us, max_attempts)
     decided = folded.where(F.col("event") != "heartbeat")
     state = F.struct("status_after", "owner_after", "attempts_after")
     writes = rows.where(~control).withColumn("outcome", F.lit(None).cast("string"))
     both = decided.withColumn("_own", state).unionByName(writes, allowMissingColumns=True)
     scanned = prefix_scan(
-        both, ["job_id"], ["us", "seq"], {"_at": ("last", F.col("_own"), True)}, hot_rows=hot
+        both, ["job_id"], ["us", "seq"], {"_at": ("last", F.col("_own"), True)}, hot_rows=None
     )
     fenced = F.coalesce(
         (F.col("_at.status_after") == "processing")
@@ -144,6 +168,127 @@ def event_outcomes(
     )
 
 
+def _busy_outcomes(rows: DataFrame, lease_us: int, max_attempts: int, hot: Hot) -> DataFrame:
+    event, worker = F.col("event"), F.col("worker_id")
+    changes = _state_changes(rows, lease_us, max_attempts, hot)
+    own = F.struct("status", "owner", "attempts", F.col("c_us").alias("since"))
+    marks = changes.select(
+        F.col("job_id").alias("_j"), F.col("c_us").alias("_u"), F.col("c_seq").alias("_s"),
+        own.alias("_own"),
+    )
+    # At most a few changes per hot job.
+    marked = rows.join(
+        F.broadcast(marks),
+        (rows["job_id"] == marks["_j"]) & (rows["us"] == marks["_u"]) & (rows["seq"] == marks["_s"]),
+        "left",
+    ).drop("_j", "_u", "_s")
+    placed = prefix_scan(
+        marked,
+        ["job_id"],
+        ["us", "seq"],
+        {"_at": ("last", F.col("_own"), True), "_before": ("last", F.col("_own"), False)},
+        hot_rows=hot,
+    )
+    owned = (F.col("_at.status") == "processing") & (F.col("_at.owner") == worker)
+    beat = F.when((event == "heartbeat") & owned, F.col("us"))
+    leased = prefix_scan(
+        placed, ["job_id"], ["us", "seq"], {"_beat": ("max", beat, False)}, hot_rows=hot
+    )
+    status, attempts = F.col("_before.status"), F.col("_before.attempts")
+    live = F.greatest("_beat", "_before.since") + lease_us >= F.col("us")
+    refused = (
+        F.when(status.isNull(), "missing")
+        .when(status.isin("succeeded", "failed"), "terminal")
+        .when((status == "processing") & live, "busy")
+        .when(attempts >= max_attempts, "exhausted")
+        .otherwise("busy")
+    )
+    changed = F.col("_own").isNotNull()
+    outcome = (
+        F.when(changed & (event == "create"), "created")
+        .when(changed & (event == "claim"), "claimed")
+        .when(changed, "ok")
+        .when((event == "create") | ((event == "fail") & worker.isNull()), "ignored")
+        .when(event == "claim", refused)
+        .when(F.coalesce(owned, F.lit(False)), "ok")
+        .otherwise("lease_lost")
+    )
+    return leased.select(
+        "job_id",
+        "us",
+        "seq",
+        "event",
+        "worker_id",
+        outcome.alias("outcome"),
+        F.col("_at.status").alias("status_after"),
+        F.col("_at.owner").alias("owner_after"),
+        F.coalesce("_at.attempts", F.lit(0)).alias("attempts_after"),
+    )
+
+
+def _state_changes(rows: DataFrame, lease_us: int, max_attempts: int, hot: Hot) -> DataFrame:
+    """Rows that change a job's state, with the state after them. Each round finds the next
+    change of every job; creation, capped claims, their releases and the end bound the rounds."""
+    event, worker = F.col("event"), F.col("worker_id")
+    none = F.lit(None).cast("string")
+    current = (
+        rows.select("job_id")
+        .distinct()
+        .select(
+            "job_id", F.lit(NEVER).alias("c_us"), F.lit(NEVER).alias("c_seq"), none.alias("status"),
+            none.alias("owner"), F.lit(0).alias("attempts"),
+        )
+    )
+    found = None
+    for _ in range(2 * max_attempts + 2):
+        later = F.struct("us", "seq") > F.struct("c_us", "c_seq")
+        ahead = rows.join(F.broadcast(current), "job_id").where(later)
+        owned = worker == F.col("owner")
+        beat = F.when((event == "heartbeat") & owned, F.col("us"))
+        scanned = prefix_scan(
+            ahead, ["job_id"], ["us", "seq"], {"_beat": ("max", beat, False)}, hot_rows=hot
+        )
+        expired = F.greatest("_beat", "c_us") + lease_us < F.col("us")
+        taken = (event == "claim") & (F.col("attempts") < max_attempts)
+        ended = (event == "fail") & worker.isNull()
+        changes = (
+            F.when(F.col("status").isNull(), event == "create")
+            .when(F.col("status") == "queued", taken | ended)
+            .when(
+                F.col("status") == "processing",
+                (event.isin("complete", "fail", "release") & owned) | ended | (taken & expired),
+            )
+        )
+        following = (
+            scanned.where(F.coalesce(changes, F.lit(False)))
+            .groupBy("job_id")
+            .agg(F.min(F.struct("us", "seq", "event", "worker_id")).alias("_n"))
+        )
+        happened = F.col("_n.event")
+        current = cut_lineage(
+            current.join(following, "job_id").select(
+                "job_id",
+                F.col("_n.us").alias("c_us"),
+                F.col("_n.seq").alias("c_seq"),
+                F.when(happened == "claim", "processing")
+                .when(happened == "complete", "succeeded")
+                .when(happened == "fail", "failed")
+                .otherwise("queued")
+                .alias("status"),
+                F.when(happened == "claim", F.col("_n.worker_id"))
+                .when(happened != "release", F.col("owner"))
+                .alias("owner"),
+                F.when(happened == "claim", F.col("attempts") + 1)
+                .otherwise(F.col("attempts"))
+                .alias("attempts"),
+            )
+        )
+        if current.isEmpty():
+            break
+        found = current if found is None else found.unionByName(current)
+    return current if found is None else found
+
+
 def _fold(rows: DataFrame, lease_us: int, max_attempts: int) -> DataFrame:
     names = ["job_id", "us", "seq", "event", "worker_id"]
     kinds = [f.dataType for f in _CONTROL_SCHEMA]

@@ -66,17 +66,21 @@ def test_lifecycle_stream_equals_batch(spark, tmp_path):
     assert {"created", "claimed", "ok", "lease_lost", "busy"} <= outcomes
 
 
-def test_lifecycle_of_a_hot_job(spark):
-    log = job_log(spark, 200, 5).withColumn("job_id", F.lit("hot"))
-    plain = lifecycle.event_outcomes(log, lease_s=20, max_attempts=50, hot_rows=None)
-    cut = lifecycle.event_outcomes(log, lease_s=20, max_attempts=50, hot_rows=20)
-    same(cut, plain, "seq")
-    state, want = lifecycle.NEW, []
+def test_lifecycle_of_hot_jobs(spark):
+    log = job_log(spark, 260, 5).withColumn("job_id", F.when(F.col("seq") % 3 == 0, F.col("job_id")).otherwise("hot"))
+    early = F.col("event").isin("complete", "fail") & (F.col("seq") < 245)
+    log = log.withColumn("event", F.when(early, "release").otherwise(F.col("event")))
+    want, states = [], {}
     for r in log.orderBy("seq").collect():
         row = {"event": r.event, "worker_id": r.worker_id, "us": r.s * 1_000_000}
-        state, outcome = lifecycle.advance(state, row, lease_us=20_000_000, max_attempts=50)
-        want.append(outcome)
-    assert [r.outcome for r in plain.orderBy("seq").collect()] == want
+        state = states.get(r.job_id, lifecycle.NEW)
+        states[r.job_id], outcome = lifecycle.advance(state, row, lease_us=20_000_000, max_attempts=4)
+        after = states[r.job_id]
+        want.append((outcome, after["status"], after["worker_id"], after["attempts"]))
+    assert {"claimed", "busy", "exhausted", "lease_lost", "ok"} <= {w[0] for w in want}
+    for hot_rows in (None, 40):
+        found = lifecycle.event_outcomes(log, lease_s=20, max_attempts=4, hot_rows=hot_rows).orderBy("seq").collect()
+        assert [(r.outcome, r.status_after, r.owner_after, r.attempts_after) for r in found] == want
 
 
 def test_rate_limit_stream(spark, tmp_path):
