@@ -98,6 +98,17 @@ def expand_batch(batches: DataFrame) -> DataFrame:
     ).withColumn("cost", F.lit(1))
 
 
+def number_files(
+    files: DataFrame, order: str, *, batch: str = "batch_id", hot_rows: int | None | Hot = HOT_ROWS
+) -> DataFrame:
+    """Files that come as rows of a batch: their ``position`` and own idempotency key."""
+    placed = prefix_scan(
+        files, [batch], [order], {"position": ("count", F.lit(1), False)}, hot_rows=hot_rows
+    ).drop("_slice", "_hot")
+    own = F.concat(F.col("idempotency_key"), F.lit(":"), F.col("position").cast("string"))
+    return placed.withColumn("idempotency_key", own).withColumn("cost", F.lit(1))
+
+
 def batch_results(files: DataFrame) -> DataFrame:
     """Per-batch result lists in upload order (a batch holds a bounded number of files)."""
     item = F.struct("position", "filename", "status", "job_id", "error_code")

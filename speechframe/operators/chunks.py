@@ -303,7 +303,7 @@ def fixed_windows(recordings: DataFrame, length: str, window: int) -> DataFrame:
 
 def pending_chunks(plan: DataFrame, done: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Planned chunks without a finished result."""
-    return plan.join(done.select(*keys).distinct(), list(keys), "left_anti")
+    return plan.join(done.select(*keys), list(keys), "left_anti")
 
 
 def reusable_results(
@@ -366,3 +366,36 @@ def covering_chunks(
         F.col("_in.start").alias("chunk_start"),
         F.coalesce(F.col("_in.end") >= F.col("end"), F.lit(False)).alias("covered"),
     )
+
+
+def plan_violations(
+    chunks: DataFrame,
+    keys: Sequence[str] = ("recording_id", "channel"),
+    *,
+    max_chunk: int = MAX_CHUNK,
+    max_gap: int = MAX_GAP,
+    hot_rows: int | None | Hot = HOT_ROWS,
+) -> DataFrame:
+    """Chunks of a plan that break a rule: ``empty``, ``too_long``, ``overlap`` with the next one,
+    or ``mergeable`` with it (a greedy plan leaves no such neighbours, forced cuts aside)."""
+    following = prefix_scan(
+        chunks,
+        keys,
+        ["start"],
+        {"_next": ("last", F.struct("start", "end"), False)},
+        reverse=True,
+        hot_rows=hot_rows,
+    )
+    mergeable = (
+        ~F.col("forced_cut")
+        & (F.col("_next.end") - F.col("start") <= max_chunk)
+        & (F.col("_next.start") - F.col("end") <= max_gap)
+    )
+    rule = (
+        F.when(F.col("end") <= F.col("start"), "empty")
+        .when(F.col("end") - F.col("start") > max_chunk, "too_long")
+        .when(F.col("_next.start") < F.col("end"), "overlap")
+        .when(mergeable, "mergeable")
+    )
+    broken = following.withColumn("rule", rule).where(F.col("rule").isNotNull())
+    return broken.drop("_next", "_slice", "_hot")

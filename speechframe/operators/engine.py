@@ -19,6 +19,12 @@ from speechframe.operators.assemble import serve_with_fallback
 from speechframe.schema import RAW_CHUNKS
 
 
+# A segment as an engine may leave it: scores and words it does not report are missing.
+EMPTY_SEGMENT = dict.fromkeys(
+    ("channel", "avg_logprob", "no_speech_prob", "compression_ratio", "words")
+) | {"low_confidence": False}
+
+
 class EngineFailure(Exception):
     """A failure an engine reports; anything else counts as permanent."""
 
@@ -95,9 +101,10 @@ def _attempt(engine, audio, language, prompt, word_timestamps, max_retries, base
         except Exception:  # a bad chunk must not take the other chunks of its task down
             return engine.name, None, None, None, "internal_error", attempts
         probability = None if language else found.get("language_probability")
+        segments = [{**EMPTY_SEGMENT, **s} for s in found["segments"]]
         return (
-            found.get("engine", engine.name), found.get("language"), probability,
-            found["segments"], None, attempts,
+            found.get("engine", engine.name), found.get("language"), probability, segments, None,
+            attempts,
         )
 
 

@@ -28,14 +28,16 @@ def timed_tokens(
                                     w["text"].alias("text"))
     )
     source = F.when(F.size("words") > 0, timed).otherwise(own)
-    words = segments.select(*keys, "ord", F.posexplode(source).alias("word", "_w"))
+    words = segments.select(
+        *keys, "ord", shift.alias("_shift"), F.posexplode(source).alias("word", "_w")
+    )
     return (
         words.withColumn("_t", wer_text(F.col("_w.text")))
         .where(F.col("_t") != "")
         .select(
             *keys,
-            (shift + F.col("_w.start")).alias("start"),
-            (shift + F.col("_w.end")).alias("end"),
+            (F.col("_shift") + F.col("_w.start")).alias("start"),
+            (F.col("_shift") + F.col("_w.end")).alias("end"),
             "ord",
             "word",
             F.posexplode(F.split("_t", " ")).alias("sub", "text"),
@@ -246,9 +248,9 @@ def number(value: Column, fmt: str = "%d") -> Column:
     return F.when(value.isNull(), "n/a").otherwise(F.format_string(fmt, value))
 
 
-def report_lines(rates: DataFrame) -> DataFrame:
-    """Markdown rows ``(config, tag, line)`` of :func:`rollup_with_tags`: the aggregate table's
-    row for a configuration, or the cell of a tag."""
+def report_lines(rates: DataFrame, *, cells_only: bool = False) -> DataFrame:
+    """Markdown rows ``(config, tag, clips, line)`` of :func:`rollup_with_tags`: the aggregate
+    table's row for a configuration, or a row (or only the cell) of a tag."""
     overall = F.format_string(
         "| %s | %s | %s | %d / %d / %d | %s | %d | %d | %s | %s | %s |",
         "config",
@@ -272,15 +274,17 @@ def report_lines(rates: DataFrame) -> DataFrame:
             F.format_string("%d words on no-speech", "hallucinated_words"),
         ),
     )
-    tagged = F.format_string("| %s | %d | %s | %s |", "tag", "clips", "config", cell)
+    tagged = (
+        cell if cells_only else F.format_string("| %s | %d | %s | %s |", "tag", "clips", "config", cell)
+    )
     return rates.select(
-        "config", "tag", F.when(F.col("tag").isNull(), overall).otherwise(tagged).alias("line")
+        "config", "tag", "clips", F.when(F.col("tag").isNull(), overall).otherwise(tagged).alias("line")
     )
 
 
-def clip_line(scores: DataFrame) -> DataFrame:
+def clip_cell(scores: DataFrame) -> Column:
     errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
-    cell = F.when(F.col("ref_words") == 0, F.format_string("%d words", "hyp_words")).otherwise(
+    return F.when(F.col("ref_words") == 0, F.format_string("%d words", "hyp_words")).otherwise(
         F.format_string(
             "%s (%d errors near %d seams)",
             percent(errors / F.col("ref_words")),
@@ -288,12 +292,67 @@ def clip_line(scores: DataFrame) -> DataFrame:
             "seams",
         )
     )
-    return scores.select(
-        "clip_id", "config", F.format_string("| %s | %.1f | %s |", "clip_id", "audio_s", cell)
-        .alias("line")
+
+
+_AGGREGATE_HEAD = (
+    "| config | WER | CER | sub / del / ins | hallucinated words (no-speech clips) | seams "
+    "| errors ≤1 s from a seam | share of errors | share of audio | speed (x realtime) |"
+)
+
+
+def markdown_report(scores: DataFrame, configs: Sequence[str], title: str, notes: str) -> DataFrame:
+    """The whole report as ``(section, position, line)``: head, aggregate table, a row per tag and
+    a row per clip with one cell per configuration. ``scores`` carries ``tags``."""
+    spark = scores.sparkSession
+    rates = report_lines(rollup_with_tags(scores), cells_only=True)
+
+    def lines(section: int, texts: Sequence[str]) -> DataFrame:
+        rows = [(section, f"{i:04d}", text) for i, text in enumerate(texts)]
+        return spark.createDataFrame(rows, "section int, position string, line string")
+
+    rule = "|---|---|" + "---|" * len(configs)
+    names = " | ".join(configs)
+    rank = F.array_position(F.array(*[F.lit(c) for c in configs]), F.col("config"))
+    overall = rates.where(F.col("tag").isNull()).select(
+        F.lit(1).alias("section"), F.format_string("%04d", rank).alias("position"), "line"
+    )
+
+    def table(section: int, cells: DataFrame, key: str, second: Column) -> DataFrame:
+        by_config = cells.groupBy(key).agg(
+            second.alias("_second"),
+            F.map_from_entries(F.collect_list(F.struct("config", "cell"))).alias("_cells"),
+        )
+        row = F.concat_ws(
+            " | ",
+            F.col(key),
+            F.col("_second"),
+            *[F.coalesce(F.try_element_at("_cells", F.lit(c)), F.lit("")) for c in configs],
+        )
+        return by_config.select(
+            F.lit(section).alias("section"), F.col(key).alias("position"),
+            F.concat(F.lit("| "), row, F.lit(" |")).alias("line"),
+        )
+
+    tagged = rates.where(F.col("tag").isNotNull()).withColumnRenamed("line", "cell")
+    clips = scores.withColumn("cell", clip_cell(scores))
+    return (
+        lines(0, [f"# {title}", "", notes, "", "## Aggregate", "", _AGGREGATE_HEAD, "|---" * 10 + "|"])
+        .unionByName(overall)
+        .unionByName(lines(2, ["", "## By tag (WER; hallucinated words where the reference is empty)", "",
+                               f"| tag | clips | {names} |", rule]))
+        .unionByName(table(3, tagged, "tag", F.max("clips").cast("string")))
+        .unionByName(lines(4, ["", "## Per clip", "", f"| clip | audio s | {names} |", rule]))
+        .unionByName(table(5, clips, "clip_id", F.format_string("%.1f", F.max("audio_s"))))
     )
 
 
+def json_report(scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows for the JSON report: rates overall and by tag, and clips with their error rate."""
+    errors = F.col("substitutions") + F.col("deletions") + F.col("insertions")
+    own = F.try_divide(errors, F.nullif("ref_words", F.lit(0)))
+    return rollup_with_tags(scores), scores.withColumn("wer", own)
+
+
 FrontEnd = Callable[[DataFrame], tuple[DataFrame, DataFrame]]
 
 

@@ -239,21 +239,22 @@ def first_writer(
     """``outcome`` per request: created, replayed (same request again) or conflict; requests
     without an idempotency key are always created. The winner comes from a partial aggregate,
     so a key of many retries is not gathered in one task."""
-    winners = (
-        requests.where(F.col(keys[-1]).isNotNull())
-        .groupBy(*keys)
-        .agg(F.min_by(F.struct(request, fingerprint), F.struct(*order)).alias("_w"))
+    keyed = requests.where(F.col(keys[-1]).isNotNull())
+    winners = keyed.groupBy(*keys).agg(
+        F.min_by(F.struct(request, fingerprint), F.struct(*order)).alias("_w")
     )
     outcome = (
-        F.when(F.col("_w").isNull() | (F.col("_w")[request] == F.col(request)), "created")
+        F.when(F.col("_w")[request] == F.col(request), "created")
         .when(F.col("_w")[fingerprint] == F.col(fingerprint), "replayed")
         .otherwise("conflict")
     )
-    return requests.join(winners, list(keys), "left").select(
-        *requests.columns,
-        F.coalesce(F.col("_w")[request], F.col(request)).alias("winner"),
-        outcome.alias("outcome"),
+    decided = keyed.join(winners, list(keys)).select(
+        *requests.columns, F.col("_w")[request].alias("winner"), outcome.alias("outcome")
     )
+    free = requests.where(F.col(keys[-1]).isNull()).select(
+        *requests.columns, F.col(request).alias("winner"), F.lit("created").alias("outcome")
+    )
+    return decided.unionByName(free)
 
 
 def asof_duplicate(

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from speechframe.operators.ordered import HOT_ROWS, Hot, measure, prefix_scan
+
 
 def counters(events: DataFrame, labels: Sequence[str], amount: Column | None = None) -> DataFrame:
     value = F.count(F.lit(1)) if amount is None else F.sum(amount)
@@ -61,6 +63,27 @@ def sessions(events: DataFrame, keys: Sequence[str], *, gap: str, ts: str = "ts"
     )
 
 
+def activity_sessions(
+    events: DataFrame, keys: Sequence[str], *, gap_us: int, hot_rows: int | None | Hot = HOT_ROWS
+) -> DataFrame:
+    """Batch form of :func:`sessions` on ``us``; a key of very many events is scanned in slices,
+    where a session window would bring it to one task."""
+    hot = measure(events, keys, "us", hot_rows)
+    order = ["us", "event_id"]
+    seen = prefix_scan(events, keys, order, {"_prev": ("max", F.col("us"), False)}, hot_rows=hot)
+    opens = F.coalesce(F.col("us") - F.col("_prev") > gap_us, F.lit(True)).cast("bigint")
+    numbered = prefix_scan(seen, keys, order, {"_nth": ("sum", opens, True)}, hot_rows=hot)
+    return (
+        numbered.groupBy(*keys, "_nth")
+        .agg(
+            F.min("us").alias("start_us"),
+            F.max("us").alias("last_us"),
+            F.count(F.lit(1)).alias("n"),
+        )
+        .drop("_nth")
+    )
+
+
 def approximate(events: DataFrame, labels: Sequence[str], key: str, value: str) -> DataFrame:
     """Views for dashboards: distinct keys and percentiles, both approximate."""
     return events.groupBy(*labels).agg(

@@ -293,7 +293,7 @@ SELECT config, tag, CASE WHEN tag IS NULL THEN printf('| %s | %s | %s | %d / %d
   ELSE printf('| %s | %d | %s | %s |', tag, clips, config, cell) END AS line FROM cells"""
 )
 def report_lines(spark, sf_dir):
-    return evaluation.report_lines(evaluation.rollup_with_tags(_scores(spark, sf_dir)))
+    return evaluation.report_lines(evaluation.rollup_with_tags(_scores(spark, sf_dir))).drop("clips")
 
 
 @query()

@@ -281,18 +281,14 @@ SELECT conv_id AS batch_id, position, 'key' || conv_id || ':' || position AS ide
   role || '-' || turn || '.wav' AS filename, 1 AS cost FROM files"""
 )
 def batch_files(spark, sf_dir):
-    """Batches expanded to files; a batch is one request of a bounded number of files."""
-    name = F.concat("role", F.lit("-"), F.col("turn").cast("string"), F.lit(".wav"))
-    batches = (
-        load(spark, sf_dir, "conversations")
-        .groupBy(F.col("conv_id").alias("batch_id"))
-        .agg(F.array_sort(F.collect_list(F.struct("turn", name.alias("filename")))).alias("files"))
-        .withColumn("idempotency_key", F.concat(F.lit("key"), F.col("batch_id").cast("string")))
-    )
-    return admit.expand_batch(batches).select(
-        "batch_id", F.col("position").cast("bigint").alias("position"), "idempotency_key",
-        F.col("file.filename").alias("filename"), "cost",
+    """Turns as the files of a batch."""
+    files = load(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("batch_id"),
+        "turn",
+        F.concat("role", F.lit("-"), F.col("turn").cast("string"), F.lit(".wav")).alias("filename"),
+        F.concat(F.lit("key"), F.col("conv_id").cast("string")).alias("idempotency_key"),
     )
+    return admit.number_files(files, "turn").drop("turn")
 
 
 # --- job tables -----------------------------------------------------------------------------
@@ -1027,8 +1023,4 @@ s AS (SELECT *, sum(CASE WHEN prev IS NULL OR us - prev > {2 * HOUR_US} THEN 1 E
 SELECT user_id, min(us) AS start_us, max(us) AS last_us, count(*) AS n FROM s GROUP BY user_id, sid"""
 )
 def sessions(spark, sf_dir):
-    found = metrics.sessions(event_rows(spark, sf_dir), ["user_id"], gap="2 hours")
-    return found.select(
-        "user_id", epoch_us(F.col("session_start")).alias("start_us"),
-        epoch_us(F.col("last_ts")).alias("last_us"), "n",
-    )
+    return metrics.activity_sessions(event_rows(spark, sf_dir), ["user_id"], gap_us=2 * HOUR_US)

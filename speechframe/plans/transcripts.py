@@ -8,7 +8,16 @@ from pyspark.sql import functions as F
 from speechframe.functions.language import CANONICAL, normalise_language
 from speechframe.functions.text import BOILERPLATE
 from speechframe.functions.timing import cue_start_ms
-from speechframe.operators import assemble, audio, captions, chunks, guards, regions, words
+from speechframe.operators import (
+    assemble,
+    audio,
+    captions,
+    chunks,
+    engine,
+    guards,
+    regions,
+    words,
+)
 from speechframe.operators.ordered import Hot, measure
 from speechframe.plans.bindings import (
     EVENTS_SQL,
@@ -373,6 +382,23 @@ def chunk_coverage(spark, sf_dir):
     return covered.where("covered").select("user_id", "start", "chunk_start")
 
 
+@query(
+    f"""WITH {_PACKED_SQL}, n AS (SELECT *, lead(start) OVER w AS ns, lead("end") OVER w AS ne FROM packed
+  WINDOW w AS (PARTITION BY user_id ORDER BY start)),
+r AS (SELECT user_id, start, CASE WHEN "end" <= start THEN 'empty'
+  WHEN "end" - start > {MAX_CHUNK_US // 2} THEN 'too_long' WHEN ns < "end" THEN 'overlap'
+  WHEN ne - start <= {MAX_CHUNK_US // 2} AND ns - "end" <= {2 * MAX_GAP_US} THEN 'mergeable' END AS rule FROM n)
+SELECT * FROM r WHERE rule IS NOT NULL"""
+)
+def plan_violations(spark, sf_dir):
+    """The packed plan held against stricter limits than it was made for."""
+    packed, _, hot = packed_chunks(spark, sf_dir)
+    broken = chunks.plan_violations(
+        packed, ["user_id"], max_chunk=MAX_CHUNK_US // 2, max_gap=2 * MAX_GAP_US, hot_rows=hot
+    )
+    return broken.select("user_id", "start", "rule")
+
+
 @query(
     """SELECT doc_id, s AS start, least(s + 500, n_chars) AS "end"
 FROM (SELECT doc_id, n_chars, unnest(generate_series(0::BIGINT, n_chars - 1, 500)) AS s
@@ -480,6 +506,39 @@ def active_power(spark, sf_dir):
     return audio.active_power(_frames(spark, sf_dir), ["vec_id"], 8)
 
 
+class _Loudness:
+    """Deterministic engine: says whether a chunk is loud; refuses chunks that begin at zero."""
+
+    name = "loudness"
+
+    def transcribe(self, audio, *, language, prompt, word_timestamps):
+        if audio[0] == 0:
+            raise engine.EngineFailure("invalid_input", retryable=False)
+        power = float(((audio.astype("float64") * 32768) ** 2).sum())
+        row = {"start": 0.0, "end": len(audio) / 16000, "text": "loud" if power > 1.073e9 else "quiet"}
+        return {"segments": [row], "language": language or "eng", "language_probability": 0.5}
+
+
+@query(
+    """WITH s AS (SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 32768.0)::BIGINT) AS s
+  FROM embeddings)
+SELECT vec_id, CASE WHEN s[1] = 0 THEN NULL
+  WHEN list_sum(list_transform(s, lambda x: x * x)) > 1.073e9 THEN 'loud' ELSE 'quiet' END AS text,
+  CASE WHEN s[1] = 0 THEN 'invalid_input' END AS error_code, 1 AS attempts FROM s"""
+)
+def engine_chunks(spark, sf_dir):
+    """Vectors as chunks of audio through the engine seam."""
+    pcm = load(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("recording_id"), F.lit(0).alias("index"),
+        _samples().alias("samples"),
+    )
+    raw = engine.transcribe_chunks(pcm, _Loudness)
+    return raw.select(
+        F.col("recording_id").cast("bigint").alias("vec_id"),
+        F.try_element_at("segments", F.lit(1))["text"].alias("text"), "error_code", "attempts",
+    )
+
+
 # --- words and languages --------------------------------------------------------------------
 
 

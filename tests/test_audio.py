@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from speechframe.operators import audio, captions, chunks, engine, guards
+from speechframe.operators import audio, captions, chunks, engine, evaluation, front_ends, guards
 from speechframe.schema import PCM_BLOCKS
 from speechframe.sources import readers, sinks
 from speechframe.streaming import jobs as streams
@@ -180,6 +180,19 @@ def test_files_to_captions(spark, folder):
     assert body == "1\n00:00:00,800 --> 00:00:03,200\n38400\n\n2\n00:00:05,800 --> 00:00:07,700\n30400\n\n"
 
 
+def test_front_ends(spark, folder):
+    blocks = audio.decode_blocks(audio.pcm_layouts(files(spark, folder)), block_samples=RATE)
+    clips = blocks.groupBy(F.col("recording_id").alias("clip_id")).agg((F.sum(F.size("samples")) / float(RATE)).alias("audio_s"))
+    clips = clips.withColumn("reference", F.lit("thirty eight"))
+    grid = {name: (lambda c, run=run, more=more: run(blocks, Fake, block_samples=RATE, **more))
+            for name, run, more in (("pipeline", front_ends.FRONT_ENDS["pipeline"], {}), ("naive30", front_ends.FRONT_ENDS["naive30"], {"window_s": 3}))}
+    tokens, seams, runs = evaluation.run_grid(clips, grid)
+    got = {(r.clip_id, r.config): r for r in evaluation.score(clips, tokens, seams, runs).collect()}
+    one, two = got["a.wav", "pipeline"], got["a.wav", "naive30"]
+    assert (one.hypothesis, one.seams) == ("38400 30400", 2) and (two.hypothesis, two.seams) == ("48000 48000 40000", 2)
+    assert one.substitutions == 2 and len(got) == 6
+
+
 def test_incremental_runs_skip_finished_chunks(spark, folder, tmp_path):
     results, checkpoint = str(tmp_path / "results"), str(tmp_path / "cp")
 

@@ -146,8 +146,14 @@ def test_rollup_and_report(spark):
     lines = {(r.config, r.tag): r.line for r in evaluation.report_lines(evaluation.rollup_with_tags(df)).collect()}
     assert lines["p", None] == "| p | 10.0% | 5.0% | 1 / 1 / 2 | 7 | 3 | 1 | 25.0% | 15.0% | 12.0 |"
     assert lines["p", "quiet"] == "| quiet | 1 | p | 7 words on no-speech |"
-    cells = {r.clip_id: r.line for r in evaluation.clip_line(df).collect()}
-    assert cells["a"] == "| a | 10.0 | 20.0% (1 errors near 2 seams) |" and cells["c"] == "| c | 20.0 | 7 words |"
+    both = df.unionByName(df.where("clip_id = 'a'").withColumn("config", F.lit("q")).withColumn("substitutions", F.lit(4).cast("bigint")))
+    report = [r.line for r in evaluation.markdown_report(both, ["p", "q"], "Eval", "notes").orderBy("section", "position").collect()]
+    assert report[0] == "# Eval" and "| tag | clips | p | q |" in report
+    assert "| x | 2 | 10.0% | 50.0% |" in report and "| quiet | 1 | 7 words on no-speech |  |" in report
+    assert "| a | 10.0 | 20.0% (1 errors near 2 seams) | 50.0% (1 errors near 2 seams) |" in report
+    assert report.index("## By tag (WER; hallucinated words where the reference is empty)") < report.index("## Per clip")
+    _, clips = evaluation.json_report(df)
+    assert {r.clip_id: r.wer for r in clips.collect()} == {"a": 0.2, "b": 2 / 30, "c": None}
     with pytest.raises(ValueError):
         evaluation.run_grid(df, {})
 

@@ -221,6 +221,10 @@ def test_metrics_and_queue(spark):
     for hot_rows in (None, 2):
         found = lifecycle.stalls(quiet, ["k"], timeout_us=90, hot_rows=hot_rows).orderBy("us").collect()
         assert [(r.us, r.idle_us, r.redelivered_us) for r in found] == [(10, 90, 100), (130, 870, 220)]
+    visits = quiet.withColumn("event_id", F.col("seq"))
+    for hot_rows in (None, 2):
+        found = metrics.activity_sessions(visits, ["k"], gap_us=90, hot_rows=hot_rows).orderBy("start_us").collect()
+        assert [(r.start_us, r.last_us, r.n) for r in found] == [(0, 130, 4), (1000, 1000, 1)]
     keep = jobs.newest_messages(quiet, 2, "seq")
     assert {r.seq for r in keep.collect()} == {3, 4}
 
