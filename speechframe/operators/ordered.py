@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000
+HOT_ROWS_SETTING = "spark.speechframe.hotRows"
 OVERSPLIT = 8
 FOREVER = (1 << 63) - 1
 NEVER = -(1 << 63)
@@ -68,6 +69,7 @@ def measure(
 ) -> Hot:
     """Find keys of more than ``hot_rows`` rows, with their range of the numeric column ``pos``.
 
+    The default limit can be changed for a session by the setting ``spark.speechframe.hotRows``.
     ``None`` is for keys whose size is bounded by construction (one chunk, one text). An earlier
     result is passed through: it stays valid for tables derived from ``df`` that have no more
     rows per key and positions in the same range."""
@@ -75,6 +77,8 @@ def measure(
         return hot_rows
     if hot_rows is None:
         return NO_HOT
+    if hot_rows == HOT_ROWS:
+        hot_rows = int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
     stats = (
         df.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
         .agg(

@@ -3,6 +3,8 @@
 import pytest
 from oracle_check import compare, connect
 
+from speechframe.operators.ordered import HOT_ROWS_SETTING
+
 from __spark_entry__ import entry, oracle_sql, queries
 
 SMALL = "/root/testdata/sf0.001"
@@ -20,6 +22,22 @@ def test_query(spark, con, name):
     assert not result.startswith("FAIL"), result
 
 
+ORDERED = """merge_regions pack_chunks plan_violations chunk_coverage group_words seams near_seam_errors
+seam_coverage asof_duplicate rate_limit admission batch_files job_lifecycle stalls breaker_timeline
+outbox_state concurrency sessions""".split()
+
+
+@pytest.mark.parametrize("name", ORDERED)
+def test_query_with_hot_keys(spark, con, name):
+    """The same results when almost every key counts as hot."""
+    spark.conf.set(HOT_ROWS_SETTING, "40")
+    try:
+        result = compare(spark, con, name, queries()[name], SQL[name], SMALL)
+    finally:
+        spark.conf.unset(HOT_ROWS_SETTING)
+    assert not result.startswith("FAIL"), result
+
+
 def test_entry(spark):
     assert entry(spark).columns == ["doc_id", "text", "kept", "dropped"]
 
