@@ -72,6 +72,7 @@ def is_boilerplate(key: Column) -> Column:
     return (key == "") | key.rlike(f"^(?:{BOILERPLATE})$")
 
 
+# Patterns of the words-only form.
 _PLAIN = r"^[\t-\r\x1c-\x7e]*$"
 _BRACKETED = r"\[[^\]]*\]|\([^)]*\)|<[^>]*>"
 
@@ -97,6 +98,7 @@ def _wer_ascii(text: Column) -> Column:
     return F.array_join(spoken, " ")
 
 
+# Small numbers standing alone.
 _NUMBERS = re.compile(r"\b(?:100|[1-9]?[0-9])\b")
 _FILLER_WORDS = re.compile(rf"\b(?:{'|'.join(FILLERS)})\b")
 _APOSTROPHES = frozenset("'‘’ʼ")

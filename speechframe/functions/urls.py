@@ -9,24 +9,28 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_NAT64 = ipaddress.ip_network("64:ff9b::/96")
-_GLOBAL_UNICAST = ipaddress.ip_network("2000::/3")
+# Translated IPv4 addresses, and the range of ordinary IPv6 addresses.
+TRANSLATED = ipaddress.ip_network("64:ff9b::/96")
+ORDINARY = ipaddress.ip_network("2000::/3")
+
+
+def _contacted(text: str):
+    """The address that would be reached: the IPv4 one inside a mapped or translated address."""
+    address = ipaddress.ip_address(text)
+    if address.version == 4:
+        return address
+    inner = address.packed[-4:]
+    return ipaddress.IPv4Address(inner) if address.ipv4_mapped or address in TRANSLATED else address
 
 
 def public_address(text: str) -> bool:
-    """Whether an address may be contacted: global unicast, looking through embedded IPv4."""
+    """Whether an address may be contacted: reachable from anywhere and a single host."""
     try:
-        ip = ipaddress.ip_address(text)
+        address = _contacted(text)
     except ValueError:
         return False
-    if ip.version == 6:
-        if ip.ipv4_mapped is not None:
-            ip = ip.ipv4_mapped
-        elif ip in _NAT64:
-            ip = ipaddress.ip_address(int(ip) % (1 << 32))
-        elif ip not in _GLOBAL_UNICAST:
-            return False
-    return ip.is_global and not ip.is_multicast
+    ordinary = address.version == 4 or address in ORDINARY
+    return ordinary and address.is_global and not address.is_multicast
 
 
 @F.pandas_udf(T.BooleanType())

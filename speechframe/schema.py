@@ -28,7 +28,7 @@ RAW_CHUNKS = (
     f"language_probability double, segments array<{SEGMENT}>, error_code string, attempts int"
 )
 CLIPS = "id string, audio string, reference string, tags array<string>"
-SCRIBE = (
+RESPONSE = (
     "struct<language_code:string,language_probability:double,"
     "words:array<struct<text:string,start:double,end:double,type:string,logprob:double>>>"
 )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from speechframe.functions.ids import parse_object_key
 from speechframe.operators.audio import audio_info
-from speechframe.schema import CLIPS, DLQ, LOGS, PROBE, SCRIBE
+from speechframe.schema import CLIPS, DLQ, LOGS, PROBE, RESPONSE
 
 
 def audio_objects(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -62,7 +62,7 @@ def stream_logs(spark: SparkSession, path: str) -> DataFrame:
 def engine_responses(raw: DataFrame, column: str = "body") -> tuple[DataFrame, DataFrame]:
     """Hosted recogniser responses: ``(good, bad)``. Good rows carry ``response``; malformed JSON
     or a missing required field makes a bad row with an error code."""
-    parsed = F.from_json(F.col(column), SCRIBE)
+    parsed = F.from_json(F.col(column), RESPONSE)
     complete = F.forall(
         F.col("response.words"),
         lambda w: w["text"].isNotNull() & w["start"].isNotNull() & w["end"].isNotNull()

@@ -181,14 +181,21 @@ def test_outbox_sliced_and_plain(spark):
         assert collect(got.select("seq", "outcome", "status", "attempts", "next_us"), "seq") == want
 
 
-def greedy(rows, max_chunk, max_gap):
-    spans = []
-    for start, end in rows:
-        if spans and end - spans[-1][0] <= max_chunk and start - spans[-1][1] <= max_gap:
-            spans[-1] = (spans[-1][0], end)
-        else:
-            spans.append((start, end))
-    return spans
+def packed_by_hand(rows, max_chunk, max_gap):
+    """Index of the first row that does not fit behind ``head``, again and again."""
+    out, head = [], 0
+    while head < len(rows):
+        stop = next(
+            (
+                i
+                for i in range(head + 1, len(rows))
+                if rows[i][1] - rows[head][0] > max_chunk or rows[i][0] - rows[i - 1][1] > max_gap
+            ),
+            len(rows),
+        )
+        out.append((rows[head][0], rows[stop - 1][1]))
+        head = stop
+    return out
 
 
 def test_packing_sliced_and_plain(spark):
@@ -202,7 +209,7 @@ def test_packing_sliced_and_plain(spark):
             own.append((t, end))
             t = end
         rows += [(key, *r) for r in own]
-        want += [(key, *s) for s in greedy(own, 60, 10)]
+        want += [(key, *s) for s in packed_by_hand(own, 60, 10)]
     df = spark.createDataFrame(rows, "k string, start bigint, end bigint")
     for hot_rows in (None, 25, 100):
         got = chunks.pack_chunks(df, ["k"], max_chunk=60, max_gap=10, hot_rows=hot_rows)
@@ -215,13 +222,10 @@ def test_merge_regions_sliced_and_plain(spark):
     df = spark.createDataFrame(rows, "k string, start bigint, end bigint")
     want = []
     for key in ("c", "hot"):
-        merged = []
-        for _, s, e in sorted(r for r in rows if r[0] == key):
-            if merged and s <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], e)
-            else:
-                merged.append([s, e])
-        want += [(key, *m) for m in merged]
+        covered = sorted({2 * x for k, a, b in rows if k == key for x in range(a, b + 1)}
+                         | {2 * x + 1 for k, a, b in rows if k == key for x in range(a, b)})
+        edges = [0, *(i for i in range(1, len(covered)) if covered[i] - covered[i - 1] > 1), len(covered)]
+        want += [(key, covered[a] // 2, covered[b - 1] // 2) for a, b in zip(edges, edges[1:])]
     for hot_rows in (None, 50):
         got = regions.merge_regions(df, ["k"], hot_rows=hot_rows)
         assert collect(got, "k", "start") == want

@@ -61,19 +61,18 @@ def test_repetition_and_boilerplate(spark):
         "known_hallucination", None, "known_hallucination", None, None, "known_hallucination"]
 
 
-def fold(rows):
-    """The guard as a plain loop over (text key, pre-reason, boilerplate)."""
-    last, streak, out = None, 0, []
+def decided(rows):
+    """Reasons of (text key, pre-reason, boilerplate) rows from the kept rows so far."""
+    kept, out = [], []
     for key, pre, known in rows:
-        prior = streak if key == last else 0
-        reason = pre or ("repetition" if prior >= 2 else "known_hallucination" if known else None)
-        if reason is None:
-            last, streak = key, prior + 1
-        out.append(reason)
+        repeated = kept[-2:] == [key, key]
+        out.append(pre or (repeated and "repetition") or (known and "known_hallucination") or None)
+        if out[-1] is None:
+            kept.append(key)
     return out
 
 
-def test_guard_windows_equal_a_loop(spark):
+def test_guard_windows_by_definition(spark):
     rng = random.Random(1)
     rows, want = [], []
     for group in range(40):
@@ -85,7 +84,7 @@ def test_guard_windows_equal_a_loop(spark):
             key = "" if text == "♪" else text
             pre = "empty" if text == "" else "repetition" if high == 3.0 else None
             own.append((key, pre, logprob is not None and text in ("thanks for watching", "♪")))
-        want += [(str(group), i, r) for i, r in enumerate(fold(own))]
+        want += [(str(group), i, r) for i, r in enumerate(decided(own))]
     df = spark.createDataFrame(rows, RAW_SEGMENTS).withColumn("low_confidence", guards.below(F.col("avg_logprob"), -0.7))
     for hot_rows in (None, 5):
         got = guards.guard_reasons(df, ["recording_id", "chunk"], hot_rows=hot_rows)
@@ -129,22 +128,24 @@ def test_word_groups(spark):
     assert [r.text for r in words.group_words(df).collect()] == ["ab"]
 
 
-def group_loop(items, pause=0.8):
-    groups, previous = [[]], 0.0
-    for text, start, end, kind, _ in items:
-        if kind == "spacing" and groups[-1]:
-            groups[-1].append(text)
-        elif kind == "word":
-            if groups[-1] and start - previous > pause:
-                groups.append([])
-            groups[-1].append(text)
-            previous = end
-            if text.rstrip().endswith((".", "?", "!", "…", "。", "？", "！")):
-                groups.append([])
-    return ["".join(g).strip() for g in groups if g]
+def sentences(items, pause=0.8):
+    """Texts by definition: split the words first, then hand spacing to the word before it."""
+    spoken = [i for i, item in enumerate(items) if item[3] == "word"]
+    ended = {i: items[i][0].rstrip()[-1:] in set(".?!…。？！") for i in spoken}
+    firsts = [
+        i
+        for n, i in enumerate(spoken)
+        if n == 0 or ended[spoken[n - 1]] or items[i][1] - items[spoken[n - 1]][2] > pause
+    ]
+    out = []
+    for a, b in zip(firsts, [*firsts[1:], len(items)]):
+        last = max(i for i in spoken if a <= i < b)
+        tail = last + 1 if ended[last] else b
+        out.append("".join(x[0] for x in items[a:tail] if x[3] in ("word", "spacing")).strip())
+    return out
 
 
-def test_word_groups_equal_a_loop_also_when_sliced(spark):
+def test_word_groups_by_definition_also_when_sliced(spark):
     rng = random.Random(12)
     rows, want = [], {}
     for key in "abc":
@@ -156,7 +157,7 @@ def test_word_groups_equal_a_loop_also_when_sliced(spark):
             items.append((text, t, t + 0.05, kind, None))
             t += 0.05
         rows += [(key, 0, i, *s) for i, s in enumerate(items)]
-        want[key] = group_loop(items)
+        want[key] = sentences(items)
     df = spark.createDataFrame(rows, "recording_id string, chunk int, ord int, text string, start double, end double, type string, logprob double")
     for hot_rows in (None, 25):
         got = words.group_words(df, hot_rows=hot_rows).orderBy("recording_id", "start").collect()
@@ -237,20 +238,31 @@ def test_long_recordings_come_in_parts(spark):
 S = 16_000
 
 
-def plan_loop(regions, audio, max_chunk, window, frame, max_gap):
-    spans = []
+def cut_points(start, end, audio, max_chunk, window, frame):
+    """Cuts of one long region by the definition: centre of the quietest frame of each window."""
+    while end - start > max_chunk:
+        frames = [
+            (int((audio[a : a + frame].astype(np.int64) ** 2).sum()), a)
+            for a in range(start + max_chunk - window, start + max_chunk, frame)
+        ]
+        start = min(frames)[1] + frame // 2
+        yield start
+
+
+def expected_plan(regions, audio, max_chunk, window, frame, max_gap):
+    pieces = []  # (start, end, forced, opens a chunk in any case)
     for start, end in regions:
-        if spans and end - spans[-1][0] <= max_chunk and start - spans[-1][1] <= max_gap:
-            spans[-1] = (spans[-1][0], end, False)
-            continue
-        while end - start > max_chunk:
-            w = start + max_chunk - window
-            energy = np.square(audio[w : w + window].astype(np.float64).reshape(-1, frame)).sum(axis=1)
-            cut = w + int(np.argmin(energy)) * frame + frame // 2
-            spans.append((start, cut, True))
-            start = cut
-        spans.append((start, end, False))
-    return spans
+        edges = [start, *cut_points(start, end, audio, max_chunk, window, frame), end]
+        pieces += [(a, b, b != end, len(edges) > 2) for a, b in zip(edges, edges[1:])]
+    plan, head = [], 0
+    for i in range(1, len(pieces) + 1):
+        if i < len(pieces):
+            start, end, _, alone = pieces[i]
+            if not alone and end - pieces[head][0] <= max_chunk and start - pieces[i - 1][1] <= max_gap:
+                continue
+        plan.append((pieces[head][0], pieces[i - 1][1], pieces[i - 1][2]))
+        head = i
+    return plan
 
 
 def blocks(spark, audio, size, recording="r"):
@@ -288,7 +300,7 @@ def test_forced_cut_in_silence(spark):
     assert closed[0][2] and closed[-1][1] == 42 * S and len(closed) == 2
 
 
-def test_plan_equals_greedy_loop(spark):
+def test_plan_by_definition(spark):
     rng = random.Random(21)
     nrng = np.random.default_rng(21)
     for case in range(5):
@@ -301,7 +313,7 @@ def test_plan_equals_greedy_loop(spark):
             t = end
         frame = (4, 6, 5, 8, 10)[case]
         sizes = dict(max_chunk=150 + case, window=frame * 8, frame=frame, max_gap=25)
-        want = plan_loop(regions, audio, **sizes)
+        want = expected_plan(regions, audio, **sizes)
         got = plan(spark, regions, audio, size=700, max_chunk=sizes["max_chunk"], cut_window=sizes["window"], cut_frame=frame, max_gap=25)
         assert got == want
 
