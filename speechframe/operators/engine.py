@@ -16,6 +16,7 @@ from pyspark.sql.types import StructType
 
 from speechframe.functions.language import normalise_language
 from speechframe.operators.assemble import serve_with_fallback
+from speechframe.operators.ordered import cut_lineage
 from speechframe.schema import RAW_CHUNKS
 
 
@@ -127,7 +128,8 @@ def transcribe_recordings(
     first = chunks.groupBy("recording_id").agg(F.min("index").alias("_first"))
     marked = known.join(first, "recording_id")
     lead = marked.where((F.col("index") == F.col("_first")) & F.col("_asked").isNull())
-    led = transcribe_chunks(lead.drop("_asked", "_first"), engine_factory, **options)
+    # Read twice, and recognition is by far the most expensive step.
+    led = cut_lineage(transcribe_chunks(lead.drop("_asked", "_first"), engine_factory, **options))
     pins = led.select("recording_id", normalise_language(F.col("language")).alias("_pin"))
     rest = (
         marked.where((F.col("index") != F.col("_first")) | F.col("_asked").isNotNull())
@@ -143,6 +145,7 @@ def with_fallback(
 ) -> DataFrame:
     """Chunks the primary engine was unavailable for go to the fallback engine; other errors stay
     (the primary answered, a second engine would not help)."""
+    primary = cut_lineage(primary)
     down = primary.where(F.col("error_code") == "asr_engine_unavailable").select(
         "recording_id", F.col("chunk").alias("index")
     )

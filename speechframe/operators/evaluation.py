@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from speechframe.functions.align import alignment, char_errors
 from speechframe.functions.text import wer_text
-from speechframe.operators.ordered import HOT_ROWS, Hot, prefix_scan
+from speechframe.operators.ordered import HOT_ROWS, Hot, cut_lineage, prefix_scan
 
 SEAM_TOLERANCE_S = 1.0
 
@@ -162,6 +162,8 @@ def score(
         .withColumn("_ref", wer_text(F.col("reference")))
         .withColumn("ref", F.filter(F.split("_ref", " "), lambda t: t != ""))
     )
+    # Read several times below; what is before it may be recognition.
+    pairs = cut_lineage(pairs)
     spoken = pairs.where(F.col("_ref") != "")
     spans = error_spans(spoken.select(*keys, "ref", "hyp", "audio_s"))
     counted = near_seams(spans, seams, keys, tolerance).groupBy(*keys).agg(
@@ -231,11 +233,11 @@ def rollup(scores: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def rollup_with_tags(scores: DataFrame, tags: str = "tags", config: str = "config") -> DataFrame:
-    """Overall rows (``tag`` NULL) and one row per tag; the overall ones are computed before a
-    clip is repeated for its tags."""
-    overall = rollup(scores, [config]).withColumn("tag", F.lit(None).cast("string"))
-    tagged = scores.withColumn("tag", F.explode(F.array_distinct(tags)))
-    return overall.unionByName(rollup(tagged, [config, "tag"]))
+    """Overall rows (``tag`` NULL) and one row per tag, in one pass: a clip counts once for each
+    of its tags and once under NULL."""
+    own = F.array_compact(F.array_distinct(tags))
+    named = F.concat(own, F.array(F.lit(None).cast("string")))
+    return rollup(scores.withColumn("tag", F.explode(named)), [config, "tag"])
 
 
 def percent(value: Column) -> Column:

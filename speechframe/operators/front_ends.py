@@ -1,4 +1,6 @@
-"""Named ways to get from audio to tokens and seams, compared by the evaluation."""
+"""Named ways to get from audio to tokens and seams, compared by the evaluation.
+
+Regions and plans are small next to the audio and are read several times, so they are kept."""
 
 from __future__ import annotations
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 from speechframe.functions.timing import seconds
 from speechframe.operators import audio, chunks, engine, evaluation, guards
 from speechframe.operators.engine import Engine
+from speechframe.operators.ordered import cut_lineage
 from speechframe.schema import SAMPLE_RATE
 
 NAIVE_WINDOW_S = 30
@@ -19,9 +22,9 @@ def pipeline(
     blocks: DataFrame, engine_factory: Callable[[], Engine], *, block_samples: int, **options
 ) -> tuple[DataFrame, DataFrame]:
     """Speech regions, planned chunks, guards; seams lie between chunks."""
-    regions = audio.detect_regions(blocks)
+    regions = cut_lineage(audio.detect_regions(blocks))
     pieces = chunks.split_long_regions(regions, blocks, block_samples=block_samples)
-    plan = chunks.number_chunks(chunks.pack_chunks(regions, pieces=pieces))
+    plan = cut_lineage(chunks.number_chunks(chunks.pack_chunks(regions, pieces=pieces)))
     heard = chunks.slice_audio(plan, blocks, block_samples=block_samples)
     raw = engine.transcribe_recordings(heard, engine_factory, word_timestamps=True, **options)
     kept = guards.guard_reasons(guards.to_absolute(engine.raw_segments(raw), plan)).where(
@@ -47,7 +50,9 @@ def naive(
     """Fixed windows over the whole recording, no guards; seams are the window starts."""
     window = window_s * SAMPLE_RATE
     lengths = audio.durations(blocks).drop("error_code")
-    plan = chunks.number_chunks(chunks.fixed_windows(lengths, "audio_samples", window))
+    plan = cut_lineage(
+        chunks.number_chunks(chunks.fixed_windows(lengths, "audio_samples", window))
+    )
     heard = chunks.slice_audio(plan, blocks, block_samples=block_samples)
     raw = engine.raw_segments(
         engine.transcribe_chunks(heard, engine_factory, word_timestamps=True, **options)

@@ -27,10 +27,9 @@ def write_documents(
 
 
 def write_report(lines: DataFrame, path: str, *, mode: str = "overwrite") -> None:
-    """Report lines in order; a report has one line per clip, configuration or tag."""
-    lines.orderBy("section", "position").select(F.col("line").alias("value")).coalesce(1).write.mode(
-        mode
-    ).text(path)
+    """Report lines in order; the files in the order of their names are the report."""
+    ordered = lines.orderBy("section", "position")
+    ordered.select(F.col("line").alias("value")).write.mode(mode).text(path)
 
 
 def dead_letter_rows(messages: DataFrame, reason: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from speechframe.operators import audio, chunks, engine, metrics
 from speechframe.operators.engine import Engine
+from speechframe.operators.ordered import cut_lineage
 from speechframe.schema import RAW_CHUNKS
 from speechframe.sources import sinks
 
@@ -76,9 +77,9 @@ def transcribe_new_files(
             F.regexp_extract("path", "([^/]+)$", 1).alias("recording_id"), "path", "length"
         )
         blocks = audio.decode_blocks(audio.pcm_layouts(files), block_samples=block_samples)
-        regions = audio.detect_regions(blocks, **(detect or {}))
+        regions = cut_lineage(audio.detect_regions(blocks, **(detect or {})))
         pieces = chunks.split_long_regions(regions, blocks, block_samples=block_samples)
-        plan = chunks.number_chunks(chunks.pack_chunks(regions, pieces=pieces))
+        plan = cut_lineage(chunks.number_chunks(chunks.pack_chunks(regions, pieces=pieces)))
         done = _finished(spark, results, schema, epoch)
         pending = chunks.pending_chunks(
             plan, done.withColumnRenamed("chunk", "index"), ["recording_id", "index"]
