@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from speechframe.functions.align import alignment, char_errors, word_errors
 from speechframe.functions.text import FILLERS, SPELLED, wer_text
 from speechframe.operators import evaluation
-from speechframe.operators.ordered import HOT_ROWS
 from speechframe.plans.bindings import EVENTS_SQL, event_rows, load, load_texts, sql_tokens
 from speechframe.plans.transcripts import _PACKED_SQL, packed_chunks
 
@@ -203,8 +202,8 @@ def near_seam_errors(spark, sf_dir):
         F.col("us").alias("start"),
         (F.col("us") + F.floor(F.col("value") * 1e7).cast("bigint")).alias("end"),
     )
-    marks, _ = _seams(spark, sf_dir)
-    near = evaluation.near_seams(spans, marks, ["user_id"], float(TOLERANCE_US), hot_rows=HOT_ROWS)
+    marks, hot = _seams(spark, sf_dir)
+    near = evaluation.near_seams(spans, marks, ["user_id"], float(TOLERANCE_US), hot_rows=hot)
     return near.select("event_id", "near")
 
 

@@ -17,6 +17,7 @@ from speechframe.operators import (
     outbox,
     ratelimit,
 )
+from speechframe.operators.ordered import Hot, measure
 from speechframe.plans.bindings import (
     EVENTS_SQL,
     INTERVALS_SQL,
@@ -182,7 +183,7 @@ rated AS (SELECT request_id, n <= lim AS allowed, greatest(0, lim - n)::BIGINT A
   greatest(1, ceil((ends - us) / 1000000.0::DOUBLE))::BIGINT AS reset_s FROM rl)"""
 
 
-def _rated(requests: DataFrame) -> DataFrame:
+def _rated(requests: DataFrame, hot: Hot) -> DataFrame:
     api_keys = requests.select(F.col("user_id").alias("id")).distinct().withColumn(
         "rate_limit_per_minute", F.when(F.col("id") % 4 != 0, F.col("id") % 3 + 1)
     )
@@ -194,13 +195,14 @@ def _rated(requests: DataFrame) -> DataFrame:
         F.when(F.col("k") % 6 == 0, 2).otherwise(1).alias("cost"),
     )
     return ratelimit.rate_limit(
-        ratelimit.budgets(asked, api_keys, default_limit=2), window_s=WINDOW_S
+        ratelimit.budgets(asked, api_keys, default_limit=2), window_s=WINDOW_S, hot_rows=hot
     )
 
 
 @query(f"WITH {_RATE_SQL} SELECT request_id, allowed, remaining, reset_s FROM rated")
 def rate_limit(spark, sf_dir):
-    rated = _rated(_requests(spark, sf_dir))
+    requests = _requests(spark, sf_dir)
+    rated = _rated(requests, measure(requests, ["user_id"], "us"))
     return rated.select("request_id", "allowed", "remaining", "reset_s")
 
 
@@ -227,6 +229,7 @@ decided AS (SELECT request_id, CASE WHEN user_id % 29 = 0 THEN 'unauthorized'
 @query(f"WITH {_ADMIT_SQL} SELECT request_id, outcome FROM decided")
 def admission(spark, sf_dir):
     requests = _requests(spark, sf_dir)
+    hot = measure(requests, ["user_id"], "us")
     written = jobs.first_writer(requests, ["user_id", "ikey"])
     active = admit.active_at(requests, event_intervals(spark, sf_dir))
     earlier = requests.select(
@@ -236,8 +239,9 @@ def admission(spark, sf_dir):
         requests.select("request_id", "user_id", "fingerprint", "us"),
         earlier,
         keys=["user_id", "fingerprint"],
+        hot_rows=hot,
     ).select("request_id", "duplicate_of")
-    rated = _rated(requests).select("request_id", "allowed")
+    rated = _rated(requests, hot).select("request_id", "allowed")
     facts = (
         written.withColumnRenamed("outcome", "write")
         .join(rated, "request_id")
