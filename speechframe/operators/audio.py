@@ -177,16 +177,30 @@ def pcm_layouts(files: DataFrame) -> DataFrame:
     return files.select("recording_id", "path", "length").mapInArrow(run, _LAYOUT)
 
 
+def _output_samples() -> Column:
+    return F.floor(F.col("frames") * F.lit(SAMPLE_RATE) / F.col("rate"))
+
+
+def track_lengths(layouts: DataFrame, *, split_channels: bool = False) -> DataFrame:
+    """``(recording_id, channel, audio_samples)`` of readable files, from their headers."""
+    several = F.lit(split_channels) & (F.col("channels") > 1)
+    tracks = F.when(several, F.sequence(F.lit(0), F.col("channels") - 1)).otherwise(
+        F.array(F.lit(None).cast("int"))
+    )
+    return layouts.where(F.col("error_code").isNull()).select(
+        "recording_id", F.explode(tracks).alias("channel"), _output_samples().alias("audio_samples")
+    )
+
+
 def decode_blocks(
     layouts: DataFrame, *, split_channels: bool = False, block_samples: int = BLOCK_SAMPLES
 ) -> DataFrame:
     """16 kHz int16 blocks of readable files. A block is the unit of work: each task seeks to the
     byte ranges it needs, so one long file is decoded in parallel. Channels are averaged, or kept
     apart with ``split_channels``; other rates are interpolated linearly."""
-    total = F.floor(F.col("frames") * F.lit(SAMPLE_RATE) / F.col("rate"))
     blocks = (
         layouts.where(F.col("error_code").isNull())
-        .withColumn("_n", total)
+        .withColumn("_n", _output_samples())
         .where(F.col("_n") > 0)
         .withColumn("block_idx", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / block_samples).cast("int") - 1)))
         .repartition("path", "block_idx")
@@ -334,13 +348,15 @@ def detect_regions(
     blocks: DataFrame,
     *,
     scorer: Scorer | None = None,
+    lengths: DataFrame | None = None,
     threshold: float = 0.01,
     frame: int = SAMPLE_RATE // 50,
     min_silence_ms: int = 500,
     speech_pad_ms: int = 200,
 ) -> DataFrame:
     """Speech regions per track. ``scorer`` maps frames (rows of samples) to booleans; runs of
-    active frames are joined over block edges like any touching intervals."""
+    active frames are joined over block edges like any touching intervals. ``lengths`` as from
+    :func:`track_lengths` saves decoding the audio again to know where tracks end."""
     decide = scorer or energy_scorer(threshold)
     schema = "recording_id string, channel int, start bigint, end bigint"
 
@@ -367,12 +383,17 @@ def detect_regions(
     active = blocks.select("recording_id", "channel", "start_sample", "samples").mapInArrow(run, schema)
     ms = SAMPLE_RATE // 1000
     regions = close_gaps(active, min_silence_ms * ms, speech_pad_ms * ms)
-    lengths = blocks.groupBy("recording_id", "channel").agg(
-        F.max(F.col("start_sample") + F.size("samples")).alias("_len")
+    if lengths is None:
+        lengths = blocks.groupBy("recording_id", "channel").agg(
+            F.max(F.col("start_sample") + F.size("samples")).alias("audio_samples")
+        )
+    ends = lengths.select(
+        F.col("recording_id").alias("_r"), F.col("channel").alias("_c"),
+        F.col("audio_samples").alias("_len"),
     )
     return (
         regions.join(
-            lengths.withColumnsRenamed({"recording_id": "_r", "channel": "_c"}),
+            ends,
             (F.col("recording_id") == F.col("_r")) & F.col("channel").eqNullSafe(F.col("_c")),
         )
         .withColumn("end", F.least("end", "_len"))

@@ -218,6 +218,30 @@ def split_long_regions(
     )
 
 
+def plan_recordings(
+    regions: DataFrame,
+    blocks: DataFrame,
+    *,
+    block_samples: int,
+    max_chunk: int = MAX_CHUNK,
+    max_gap: int = MAX_GAP,
+    hot_rows: int | None | Hot = HOT_ROWS,
+) -> DataFrame:
+    """Numbered chunk plan of detected regions. Regions and the plan are small next to the audio
+    and read several times, so they are kept; the audio is only touched for long regions."""
+    regions = cut_lineage(regions)
+    nonstop = regions.where(F.col("end") - F.col("start") > max_chunk)
+    pieces = None
+    if not nonstop.isEmpty():
+        pieces = split_long_regions(
+            nonstop, blocks, block_samples=block_samples, max_chunk=max_chunk
+        )
+    packed = pack_chunks(
+        regions, max_chunk=max_chunk, max_gap=max_gap, pieces=pieces, hot_rows=hot_rows
+    )
+    return cut_lineage(number_chunks(packed, hot_rows=hot_rows))
+
+
 def check_cut(max_chunk: int, cut_window: int, cut_frame: int) -> None:
     if not 0 < cut_window < max_chunk:
         raise ValueError("the cut window must be positive and shorter than a chunk")

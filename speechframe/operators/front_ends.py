@@ -1,6 +1,4 @@
-"""Named ways to get from audio to tokens and seams, compared by the evaluation.
-
-Regions and plans are small next to the audio and are read several times, so they are kept."""
+"""Named ways to get from audio to tokens and seams, compared by the evaluation."""
 
 from __future__ import annotations
 
@@ -22,9 +20,8 @@ def pipeline(
     blocks: DataFrame, engine_factory: Callable[[], Engine], *, block_samples: int, **options
 ) -> tuple[DataFrame, DataFrame]:
     """Speech regions, planned chunks, guards; seams lie between chunks."""
-    regions = cut_lineage(audio.detect_regions(blocks))
-    pieces = chunks.split_long_regions(regions, blocks, block_samples=block_samples)
-    plan = cut_lineage(chunks.number_chunks(chunks.pack_chunks(regions, pieces=pieces)))
+    regions = audio.detect_regions(blocks)
+    plan = chunks.plan_recordings(regions, blocks, block_samples=block_samples)
     heard = chunks.slice_audio(plan, blocks, block_samples=block_samples)
     raw = engine.transcribe_recordings(heard, engine_factory, word_timestamps=True, **options)
     kept = guards.guard_reasons(guards.to_absolute(engine.raw_segments(raw), plan)).where(

@@ -76,10 +76,11 @@ def transcribe_new_files(
         files = batch.select(
             F.regexp_extract("path", "([^/]+)$", 1).alias("recording_id"), "path", "length"
         )
-        blocks = audio.decode_blocks(audio.pcm_layouts(files), block_samples=block_samples)
-        regions = cut_lineage(audio.detect_regions(blocks, **(detect or {})))
-        pieces = chunks.split_long_regions(regions, blocks, block_samples=block_samples)
-        plan = cut_lineage(chunks.number_chunks(chunks.pack_chunks(regions, pieces=pieces)))
+        layouts = cut_lineage(audio.pcm_layouts(files))
+        blocks = audio.decode_blocks(layouts, block_samples=block_samples)
+        lengths = audio.track_lengths(layouts)
+        regions = audio.detect_regions(blocks, lengths=lengths, **(detect or {}))
+        plan = chunks.plan_recordings(regions, blocks, block_samples=block_samples)
         done = _finished(spark, results, schema, epoch)
         pending = chunks.pending_chunks(
             plan, done.withColumnRenamed("chunk", "index"), ["recording_id", "index"]

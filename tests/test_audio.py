@@ -104,6 +104,12 @@ def test_regions_and_plan(spark, folder):
     found = audio.detect_regions(blocks).where("recording_id = 'a.wav'").orderBy("start").collect()
     pad, s = RATE // 5, RATE
     assert [(r.start, r.end) for r in found] == [(1 * s - pad, 3 * s + pad), (6 * s - pad, int(7.5 * s) + pad)]
+    layouts = audio.pcm_layouts(files(spark, folder))
+    lengths = audio.track_lengths(layouts, split_channels=True).orderBy("recording_id", "channel").collect()
+    assert [(r.recording_id, r.channel, r.audio_samples) for r in lengths] == [
+        ("a.wav", None, 136_000), ("b.bin", 0, 136_000), ("b.bin", 1, 136_000), ("c.aiff", None, 136_000)]
+    again = audio.detect_regions(blocks, lengths=audio.track_lengths(layouts))
+    assert again.where("recording_id = 'a.wav'").orderBy("start").collect() == found
     frame = audio.frames_of(blocks.where("recording_id = 'a.wav'"), ["recording_id", "block_idx"], "samples", 320)
     power = audio.active_power(frame, ["recording_id"], 320).first()
     assert 8000**2 / 3 * 0.9 < power.active_power < 8000**2 / 3 * 1.1 and power.rms < power.active_power**0.5
