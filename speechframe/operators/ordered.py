@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 HOT_ROWS = 1_000_000
 HOT_ROWS_SETTING = "spark.speechframe.hotRows"
 OVERSPLIT = 8
+CELLS = 64
 FOREVER = (1 << 63) - 1
 NEVER = -(1 << 63)
 
@@ -67,47 +68,69 @@ NO_HOT = Hot(None)
 def measure(
     df: DataFrame, keys: Sequence[str], pos: str, hot_rows: int | None | Hot = HOT_ROWS
 ) -> Hot:
-    """Find keys of more than ``hot_rows`` rows, with their range of the numeric column ``pos``.
+    """Find keys of more than ``hot_rows`` rows, with quantiles of the numeric column ``pos``.
 
     The default limit can be changed for a session by the setting ``spark.speechframe.hotRows``.
     ``None`` is for keys whose size is bounded by construction (one chunk, one text). An earlier
-    result is passed through: it stays valid for tables derived from ``df`` that have no more
-    rows per key and positions in the same range."""
+    result is passed through: it stays useful for tables derived from ``df`` with about as many
+    rows per key and positions in the same range (and right for any)."""
     if isinstance(hot_rows, Hot):
         return hot_rows
     if hot_rows is None:
         return NO_HOT
     if hot_rows == HOT_ROWS:
         hot_rows = int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
+    names = [f"_h{i}" for i in range(len(keys))]
+    rows = df.select(
+        *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(pos).cast("double").alias("_pos")
+    )
+    counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_hn")).where(F.col("_hn") > hot_rows)
+    if counts.isEmpty():
+        return NO_HOT
+    found = counts.select(*[F.col(n).alias(f"{n}k") for n in names])
+    pairs = [(n, f"{n}k") for n in names]
+    of_hot = rows.join(F.broadcast(found), null_safe(rows, found, pairs), "left_semi")
+    points = [i / CELLS for i in range(CELLS + 1)]
+    parts = F.ceil(F.col("_hn") / F.lit(float(hot_rows))) * OVERSPLIT
     stats = (
-        df.groupBy(*[F.col(k).alias(f"_h{i}") for i, k in enumerate(keys)])
-        .agg(
-            F.count(F.lit(1)).alias("_hn"),
-            F.min(F.col(pos).cast("double")).alias("_hlo"),
-            F.max(F.col(pos).cast("double")).alias("_hhi"),
+        of_hot.groupBy(*names)
+        .agg(F.count(F.lit(1)).alias("_hn"), F.percentile_approx("_pos", points).alias("_points"))
+        .withColumn("_cells", F.least(F.lit(CELLS), parts).cast("int"))
+        .withColumn("_sub", F.ceil(parts / F.col("_cells")).cast("long"))
+        .withColumn(
+            "_edges",
+            F.transform(
+                F.sequence(F.lit(0), F.col("_cells")),
+                lambda i: F.element_at(
+                    "_points", (F.floor(i * CELLS / F.col("_cells")) + 1).cast("int")
+                ),
+            ),
         )
-        .where(F.col("_hn") > hot_rows)
-        .withColumn("_parts", F.ceil(F.col("_hn") / F.lit(float(hot_rows))) * OVERSPLIT)
+        .drop("_points")
     )
-    return NO_HOT if stats.isEmpty() else Hot(cut_lineage(stats), len(keys))
+    return Hot(cut_lineage(stats), len(keys))
 
 
 def with_slices(df: DataFrame, keys: Sequence[str], pos: str, hot: Hot) -> DataFrame:
-    """Add ``_slice`` and ``_hot``. Slices of a hot key are equal ranges of ``pos``, so they
-    depend on the data only and a retried task sees the same ones."""
+    """Add ``_slice`` and ``_hot``. A hot key is cut at quantiles of ``pos`` into cells of about
+    equal rows, and a cell into equal ranges. The edges are kept with the hot keys, so a retried
+    task sees the same slices."""
     if hot.stats is None:
         return df.withColumn(_HOT, F.lit(False)).withColumn(_SLICE, F.lit(0).cast("long"))
     stats = hot.stats
     pairs = [(k, f"_h{i}") for i, k in enumerate(keys[: hot.width])]
-    share = (F.col(pos).cast("double") - F.col("_hlo")) / F.nullif(
-        F.col("_hhi") - F.col("_hlo"), F.lit(0.0)
-    )
-    ordinal = F.least(F.col("_parts") - 1, F.floor(share * F.col("_parts")))
+    at = F.col(pos).cast("double")
+    inner = F.slice("_edges", F.lit(2), F.col("_cells") - 1)
+    low, high = (F.element_at("_edges", F.col("_cell") + n) for n in (1, 2))
+    share = (at - low) / F.nullif(high - low, F.lit(0.0))
+    place = F.least(F.col("_sub") - 1, F.greatest(F.lit(0), F.floor(share * F.col("_sub"))))
+    ordinal = F.col("_cell") * F.col("_sub") + F.coalesce(place, F.lit(0))
     return (
         df.join(F.broadcast(stats), null_safe(df, stats, pairs), "left")
         .withColumn(_HOT, F.col("_hn").isNotNull())
-        .withColumn(_SLICE, F.greatest(F.coalesce(ordinal, F.lit(0)), F.lit(0)).cast("long"))
-        .drop(*[f"_h{i}" for i in range(hot.width)], "_hn", "_hlo", "_hhi", "_parts")
+        .withColumn("_cell", F.when(F.col(_HOT), F.size(F.filter(inner, lambda e: e <= at))))
+        .withColumn(_SLICE, F.coalesce(ordinal, F.lit(0)).cast("long"))
+        .drop(*[f"_h{i}" for i in range(hot.width)], "_hn", "_cells", "_sub", "_edges", "_cell")
     )
 
 

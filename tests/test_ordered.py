@@ -12,6 +12,7 @@ from speechframe.operators.ordered import (
     measure,
     prefix_scan,
     transition_table,
+    with_slices,
 )
 
 
@@ -53,6 +54,20 @@ def test_prefix_scan_sliced_equals_plain(spark):
             assert collect(cut, "k", "pos") == collect(plain, "k", "pos")
 
 
+def test_slices_follow_the_rows_not_the_range(spark):
+    rows = [("hot", i) for i in range(400)] + [("hot", 10**12), ("hot", -(10**12)), ("cold", 5)]
+    df = spark.createDataFrame(rows, "k string, pos bigint")
+    hot = measure(df, ["k"], "pos", 50)
+    cut = with_slices(df, ["k"], "pos", hot)
+    sizes = [r["count"] for r in cut.where("_hot").groupBy("_slice").count().collect()]
+    assert max(sizes) <= 50 and sum(sizes) == 402
+    ordered = [r._slice for r in cut.where("_hot").orderBy("pos").collect()]
+    assert ordered == sorted(ordered)
+    beyond = spark.createDataFrame([("hot", -(10**15)), ("hot", 10**15)], df.schema)
+    ends = [r._slice for r in with_slices(beyond, ["k"], "pos", hot).orderBy("pos").collect()]
+    assert ends[0] <= ordered[0] and ends[1] >= ordered[-1]
+
+
 class Chain(Machine):
     def due(self, tag, row):
         return 0, row["pos"] + 50
