@@ -43,7 +43,8 @@ class WordEncoder:
         self.last = np.zeros(vocabulary[-1][1] + 1, dtype=bool)
         for token, number in vocabulary:
             self.last[number] = token.endswith("</w>")
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        # The dotted capital I is the one letter that lower case makes a letter and a mark of.
+        self.unusual = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + ["İ"]
         self.chunks: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
 
@@ -68,7 +69,7 @@ class WordEncoder:
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
-        if any(t in text for t in self.added) or not unicodedata.is_normalized("NFC", text):
+        if any(t in text for t in self.unusual) or not unicodedata.is_normalized("NFC", text):
             return self._whole(text)
         parts = text.replace("\n", " ").encode().lower().decode().split(" ")
         chunks = self.chunks
@@ -196,14 +197,15 @@ def pack(pieces: DataFrame, *, capacity: int = 2048) -> DataFrame:
     and pattern, and travels with the tasks. Equal pieces get different ranks. A length outside
     1 .. capacity is an error; an empty table stays empty.
     """
-    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    order = ["length", *[c for c in ("doc_id", "start") if c in pieces.columns]]
+    numbered, _ = number_rows(pieces, order, "__number")  # from here on the pieces are written down
+    counts = numbered.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()
+    histogram = {row["length"]: row["n"] for row in counts}
     slots = _slots(pack_histogram(histogram, capacity))
     starts = np.zeros(capacity + 2, dtype="int64")
     for length, number in histogram.items():
         starts[length + 1] = number
     starts = np.cumsum(starts)  # pieces shorter than a length
-    order = ["length", *[c for c in ("doc_id", "start") if c in pieces.columns]]
-    numbered, _ = number_rows(pieces, order, "__number")
     lengths, ranks = slots["length"].to_numpy(), slots["rank"].to_numpy()
     sequences, copies = slots["sequence"].to_numpy(), slots["copies"].to_numpy()
     offsets = slots["offset"].to_numpy()
