@@ -15,11 +15,11 @@ UNKNOWN = "und"
 #: that a long text can't become its own dictionary.
 CHUNK_BYTES = 2048
 #: Bounds of the sample the dictionaries are made of.
-DICTIONARY_DOCS = 200
-DICTIONARY_BYTES = 96 * 1024
+DICTIONARY_DOCS = 800
+DICTIONARY_BYTES = 400 * 1024
 #: Lead of the best language over the next one, as a share of the size, below which it is narrow.
 MARGIN = 0.02
-LEVEL = 3
+LEVEL = 9
 _OTHER = re.compile(r"[\W\d_]+")
 
 
@@ -38,11 +38,11 @@ def dictionaries(
 ) -> dict[str, bytes]:
     """Raw dictionary content for each language of the rows (doc_id, text, lang) that ``learn``
     marks: the texts of ``max_docs`` documents for each language at most, in the order of a hash of
-    the text, each no longer than a tenth of the dictionary, ``max_bytes`` in all. A bounded sample,
+    the text, each no longer than a fortieth of the dictionary, ``max_bytes`` in all. A bounded sample,
     chosen over all rows; rows without text or language teach nothing; a text counts once."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
     keyed = rows.select("lang", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
-    keyed = keyed.filter(F.col("n") <= max_bytes // 10).select("lang", "h").distinct()
+    keyed = keyed.filter(F.col("n") <= max_bytes // 40).select("lang", "h").distinct()
     first = Window.partitionBy("lang").orderBy("h")
     picked = keyed.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= max_docs)
     # At most max_docs rows for each language.

@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 LEVEL = 3
 #: Limits of (compressed size / size) by the text's UTF-8 bytes: up to the first number, the ratio
 #: lies between the other two. Short texts compress badly, so theirs are wider; below 256 bytes
-#: the frame of the compressor itself counts too much, and only the base rules hold.
+#: the frame of the compressor itself counts too much, and only the base rules hold. Prose of any
+#: script stays well inside; base64 and the like lie above, repeated phrases below.
 BANDS = (
     (256, 0.0, 9.9),
-    (1024, 0.25, 0.95),
-    (4096, 0.22, 0.85),
-    (16384, 0.20, 0.80),
-    (float("inf"), 0.18, 0.78),
+    (1024, 0.25, 0.90),
+    (4096, 0.22, 0.72),
+    (16384, 0.20, 0.68),
+    (float("inf"), 0.18, 0.65),
 )
 #: Whole chunks of so many bytes have limits of their own. A text is rejected if more than the
 #: given share of its chunks is repetitive or incompressible.
 CHUNK_BYTES = 4096
-CHUNK_BAND = (0.15, 0.80)
+CHUNK_BAND = (0.15, 0.70)
 CHUNK_SHARE = 0.3
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
