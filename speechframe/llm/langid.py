@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 UNKNOWN = "und"
@@ -37,14 +37,15 @@ def dictionaries(
     max_bytes: int = DICTIONARY_BYTES,
 ) -> dict[str, bytes]:
     """Raw dictionary content for each language of the rows (doc_id, text, lang) that ``learn``
-    marks: the texts of ``max_docs`` documents for each language at most, in the order of a hash of
+    marks: the texts of ``max_docs`` documents for each language at most, chosen by a hash of
     the text, each no longer than a fortieth of the dictionary, ``max_bytes`` in all. A bounded sample,
     chosen over all rows; rows without text or language teach nothing; a text counts once."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
     keyed = rows.select("lang", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
-    keyed = keyed.filter(F.col("n") <= max_bytes // 40).select("lang", "h").distinct()
-    first = Window.partitionBy("lang").orderBy("h")
-    picked = keyed.withColumn("r", F.row_number().over(first)).filter(F.col("r") <= max_docs)
+    # The least hash of each of max_docs classes: minima combine before the shuffle, and a language
+    # with most of the rows spreads over its classes.
+    picked = keyed.filter(F.col("n") <= max_bytes // 40).groupBy("lang", F.pmod("h", F.lit(max_docs)).alias("r"))
+    picked = picked.agg(F.min("h").alias("h"))
     # At most max_docs rows for each language.
     chosen = rows.select("lang", F.xxhash64("text").alias("h"), "text").join(
         F.broadcast(picked), ["lang", "h"]
