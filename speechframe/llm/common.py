@@ -109,6 +109,20 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     )
 
 
+def label_roots(nodes: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest node each is connected with."""
+    label = np.arange(nodes)
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, x, low)
+        np.minimum.at(new, y, low)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
 def runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.DataFrame]:
     """Groups of equal keys out of rows sorted by them; a group may span batches."""
     held: list[pd.DataFrame] = []

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import components, cut, number_rows, small
+from speechframe.llm.common import components, cut, label_roots, number_rows, small
 
 #: Vectors of a block, and of an interval inside a task that is compared as a whole.
 BLOCK_ROWS = 2048
@@ -234,20 +234,6 @@ def _links(a: _Side, b: _Side, same: bool, cosine: float, width: float) -> tuple
     return np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])
 
 
-def _roots(nodes: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """The smallest node each is connected with."""
-    label = np.arange(nodes)
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, x, low)
-        np.minimum.at(new, y, low)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def near_duplicates(
     vectors: DataFrame, *, cosine: float = 0.9, block_rows: int = BLOCK_ROWS, sample: int = SAMPLE_ROWS
 ) -> DataFrame:
@@ -283,7 +269,7 @@ def near_duplicates(
                 weights = np.concatenate([a.weights, *([] if same else [b.weights])])
                 y = y if same else y + len(a.weights)
                 counts = np.bincount(x, weights[y], len(fps)) + np.bincount(y, weights[x], len(fps))
-                root = _roots(len(fps), x, y)
+                root = label_roots(len(fps), x, y)
                 rows = np.flatnonzero(counts)
                 yield pd.DataFrame(
                     {

@@ -7,9 +7,9 @@
    frequency): a passage that many documents share makes a list only for documents made of such.
 3. In every list each class meets the list's smallest class; sketches estimate their overlap (the
    union's sketch is part of both), and what passes is verified on the full sets.
-4. Lists whose classes are not yet connected are compared block by block inside tasks, across
-   different components only, and what passes there is verified too. So no list is written out
-   as pairs, yet no link between different components is missed.
+4. Classes of lists that are not yet connected are dealt in blocks, and two blocks that a list joins
+   are compared inside a task, on the full sets. Tasks return spanning forests. So no list is written
+   out as pairs, yet no link between different components is missed.
 """
 
 from __future__ import annotations
@@ -24,14 +24,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from speechframe.llm.common import components, cut, runs, small
+from speechframe.llm.common import components, cut, label_roots, number_rows, runs, small
 
 SKETCH = 64
 #: Retained values that two sets of similarity 0.8 share at least, when both sets are larger than
 #: the sketch. The expected number is 51 with deviation 3.2; fewer than this has odds below 1e-8.
 SHARED = 30
-#: Classes of a list that are compared in one task.
-BLOCK = 256
+#: Classes of a block; two blocks are compared at once.
+BLOCK = 1024
 #: Words a worker remembers with their hashes.
 MEMO_WORDS = 1_000_000
 
@@ -141,8 +141,10 @@ def _lists(classes: DataFrame, k: int, similarity: float) -> DataFrame:
     )
     alone = F.least(F.col("n"), F.lit(k)) - F.col("common")
     kept = ranked.filter(F.col("r") + alone <= prefix_length(F.col("n"), k, similarity))
-    lists = kept.select("value", "fp", "n")
-    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), F.min("fp").alias("hub"))
+    lists = kept.select("value", "fp", "n", alone.alias("alone"))
+    # The class with least of its own is most likely what the others were made from.
+    central = F.min(F.struct("alone", "fp")).getField("fp")
+    sizes = lists.groupBy("value").agg(F.count(F.lit(1)).alias("m"), central.alias("hub"))
     return lists.join(sizes.filter("m > 1"), "value")
 
 
@@ -165,12 +167,8 @@ def _estimated(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
     return pairs.mapInPandas(run, "a binary, b binary, estimate double")
 
 
-def _verify(
-    pairs: DataFrame, docs: DataFrame, sketched: DataFrame, *, width: int, k: int, similarity: float
-) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked, counted on the sets themselves."""
-    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
-    # One document of each class is read again for its set.
+def _full_sets(wanted: DataFrame, docs: DataFrame, sketched: DataFrame, width: int) -> DataFrame:
+    """(fp, whole): the sets of the classes (fp) in ``wanted``; one document of each is read again."""
     first = sketched.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
     chosen = cut(first.join(wanted, "fp").select("doc_id", F.col("fp").alias("wanted")))
     ids = small(chosen.select("doc_id").distinct().withColumnRenamed("doc_id", "__id"))
@@ -186,7 +184,15 @@ def _verify(
     full = texts.mapInPandas(sets, "fp binary, whole binary")
     full = full.join(small(chosen.select(F.col("wanted").alias("fp"))), "fp", "left_semi")
     # Several rows may show the same set.
-    full = cut(full.dropDuplicates(["fp"]))
+    return cut(full.dropDuplicates(["fp"]))
+
+
+def _verify(
+    pairs: DataFrame, docs: DataFrame, sketched: DataFrame, *, width: int, similarity: float
+) -> DataFrame:
+    """The pairs (a, b) whose full sets are as similar as asked, counted on the sets themselves."""
+    wanted = pairs.select(F.col("a").alias("fp")).union(pairs.select(F.col("b").alias("fp"))).distinct()
+    full = _full_sets(wanted, docs, sketched, width)
     a = full.select(F.col("fp").alias("a"), F.col("whole").alias("whole_a"))
     b = full.select(F.col("fp").alias("b"), F.col("whole").alias("whole_b"))
 
@@ -203,50 +209,77 @@ def _verify(
     return pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(run, "a binary, b binary")
 
 
-def _across(lists: DataFrame, roots: DataFrame, classes: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different components that share a list and may be links."""
+def shared_counts(sets: list[np.ndarray], first: int, columns: int = 4096) -> np.ndarray:
+    """How many elements each of the ``first`` sets shares with each of the others: products of
+    their incidence matrices, a few elements at a time, without those that only one set has. If all
+    sets are first ones, they are compared among themselves."""
+    second = first % len(sets)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = times[element] > 1
+    number = (np.cumsum(times > 1) - 1)[element[common]]
+    rows = rows[common]
+    order = np.argsort(number, kind="stable")
+    number, rows = number[order], rows[order]
+    shared = np.zeros((first, len(sets) - second), dtype="f4")
+    total = int(number[-1]) + 1 if len(number) else 0
+    for start in range(0, total, columns):
+        at = slice(*np.searchsorted(number, [start, start + columns]))
+        held = np.zeros((len(sets), min(columns, total - start)), dtype="f4")
+        held[rows[at], number[at] - start] = 1
+        shared += held[:first] @ held[second:].T
+    return shared
+
+
+def _across(
+    lists: DataFrame, roots: DataFrame, docs: DataFrame, sketched: DataFrame, *, width: int, similarity: float
+) -> DataFrame:
+    """(a, b): edges that connect all links between different components of one list.
+
+    Classes of lists that aren't one component yet are dealt in blocks, those of common lists side
+    by side, and every two blocks that some list joins are compared once, on full sets. A task
+    returns a spanning forest of the links it found, so copies of each other give no pairs."""
     labelled = lists.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left")
-    labelled = labelled.select("value", "fp", "m", F.coalesce("root", "fp").alias("root"))
-    open_lists = labelled.groupBy("value").agg(F.min("root").alias("x"), F.max("root").alias("y"))
-    open_lists = open_lists.filter(F.col("x") != F.col("y")).select("value")
+    labelled = labelled.select("value", "fp", F.coalesce("root", "fp").alias("root"))
+    ends = labelled.groupBy("value").agg(
+        F.min("root").alias("x"), F.max("root").alias("y"), F.min("fp").alias("near")
+    )
+    open_lists = ends.filter(F.col("x") != F.col("y")).select("value", "near")
     members = cut(labelled.join(open_lists, "value"))
-    members = members.join(classes.select("fp", "n", "sketch"), "fp")
-    # A long list is dealt in blocks, and every two blocks meet in one group.
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks)
-    other = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks.cast("bigint") - 1))
-    dealt = members.withColumn("own", own).withColumn("other", other)
-    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    keys = ["value", "i", "j"]
-    grouped = dealt.select(*keys, "own", "fp", "root", "n", "sketch").repartition(*keys)
+    placed = members.groupBy("fp").agg(F.first("root").alias("root"), F.min("near").alias("near"))
+    numbered, total = number_rows(placed, ["near", "fp"], "number")
+    if not total:
+        return lists.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
+    block = F.call_function("div", F.col("number"), F.lit(BLOCK))
+    blocks = cut(numbered.select("fp", "root", block.alias("block")))
+    held = members.select("value", "fp").join(blocks.select("fp", "block"), "fp").select("value", "block").distinct()
+    other = held.select("value", F.col("block").alias("j"))
+    pairs = held.join(other, "value").filter(F.col("block") <= F.col("j"))
+    pairs = cut(pairs.select(F.col("block").alias("i"), "j").distinct())
+    sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    full = _full_sets(blocks.select("fp"), docs, sketched, width)
+    rows = sides.join(blocks.join(full, "fp"), "block").select("i", "j", "block", "fp", "root", "whole")
+    percent = round(100 * similarity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in runs(batches, keys):
-            # Members are merged as they are found alike, where sketches are whole sets.
-            up: dict[bytes, bytes] = {}
-
-            def root(x: bytes) -> bytes:
-                while up.get(x, x) != x:
-                    up[x] = up.get(up[x], up[x])
-                    x = up[x]
-                return x
-
-            rows = list(zip(*(group[c] for c in ("own", "fp", "root", "n", "sketch"))))
-            cross = group["i"].iloc[0] != group["j"].iloc[0]
-            found = []
-            for at, (part, fp, label, n, sketch) in enumerate(rows):
-                for part2, fp2, label2, n2, sketch2 in rows[:at]:
-                    if (cross and part == part2) or root(label) == root(label2):
-                        continue
-                    if _passes(sketch, sketch2, n, n2, k, similarity)[0]:
-                        found.append((fp, fp2))
-                        if n <= k and n2 <= k:
-                            up[root(label)] = root(label2)
-            if found:
-                yield pd.DataFrame(found, columns=["a", "b"])
-
-    pairs = grouped.sortWithinPartitions(*keys).mapInPandas(run, "a binary, b binary")
-    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        for group in runs(batches, ["i", "j"]):
+            sets = [np.frombuffer(w, "i8") for w in group["whole"]]
+            sizes = np.array([len(s) for s in sets], dtype="f8")
+            first = int((group["block"] == group["i"].iloc[0]).sum())
+            second = first % len(sets)
+            shared = shared_counts(sets, first).astype("f8")
+            alike = 100 * shared >= percent * (sizes[:first, None] + sizes[None, second:] - shared)
+            x, y = np.nonzero(alike)
+            x, y = (x, y + second) if second else (x[x < y], y[x < y])
+            fps, labels = group["fp"].tolist(), group["root"].tolist()
+            apart = [i for i in range(len(x)) if labels[x[i]] != labels[y[i]]]
+            root = label_roots(len(sets), x[apart], y[apart])
+            linked = [i for i in range(len(sets)) if root[i] != i]
+            if linked:
+                yield pd.DataFrame({"a": [fps[i] for i in linked], "b": [fps[root[i]] for i in linked]})
+
+    dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j", "block")
+    return dealt.mapInPandas(run, "a binary, b binary")
 
 
 def near_duplicates(
@@ -273,12 +306,10 @@ def near_duplicates(
     likely = _estimated(_with_sketches(stars.distinct(), classes), k, similarity)
     # One partner each is enough here; what stays apart meets again below.
     best = cut(likely.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("x")).select("a", "x.b"))
-    options = {"width": width, "k": k, "similarity": similarity}
+    options = {"width": width, "similarity": similarity}
     links = cut(_verify(best, docs, sketched, **options))
-    rest = cut(_across(lists, components(links), classes, k, similarity))
-    if rest.head(1):
-        links = links.union(_verify(rest, docs, sketched, **options))
-    roots = components(links)
+    rest = _across(lists, components(links), docs, sketched, **options)
+    roots = components(links.union(rest))
     ids = roots.join(classes.select(F.col("fp").alias("v"), "least"), "v")
     ids = ids.groupBy("root").agg(F.min("least").alias("id"))
     merged = cut(roots.join(ids, "root").select(F.col("v").alias("fp"), "id"))
