@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from math import isqrt
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MATRIX_CELLS = 16_000_000
+#: Least number of table rows that are held at once.
+BLOCK_ROWS = 256
 _FIRST_CODE = 0x4E00
 _VOCABULARY = 20_000
 
@@ -52,14 +55,6 @@ def word_errors(ref: Column, hyp: Column) -> Column:
     )
 
 
-def _last_row(ref: np.ndarray, hyp: np.ndarray) -> np.ndarray:
-    steps = np.arange(len(hyp) + 1)
-    row = steps.copy()
-    for i, word in enumerate(ref, start=1):
-        row = _next_row(row, word, hyp, i, steps)
-    return row
-
-
 def _next_row(row, word, hyp, i, steps):
     best = np.empty_like(row)
     best[0] = i
@@ -67,37 +62,43 @@ def _next_row(row, word, hyp, i, steps):
     return np.minimum.accumulate(best - steps) + steps
 
 
-def _operations(ref: np.ndarray, hyp: np.ndarray, r0: int, h0: int, out: list) -> None:
-    """Append ``(op, ref index, hyp index)``; linear memory for long inputs."""
+def _operations(ref: np.ndarray, hyp: np.ndarray) -> list[tuple[str, int, int]]:
+    """``(op, ref index, hyp index)`` from the end of both to the start.
+
+    Of the table only every so many rows are kept; the rows between two of them are computed again
+    when the way back comes through. So memory grows with the root of the table's height, and the
+    way taken is the same for any length."""
     n, m = len(ref), len(hyp)
-    if n > 1 and (n + 1) * (m + 1) > MATRIX_CELLS:
-        half = n // 2
-        cost = _last_row(ref[:half], hyp) + _last_row(ref[half:][::-1], hyp[::-1])[::-1]
-        at = int(np.argmin(cost))
-        _operations(ref[:half], hyp[:at], r0, h0, out)
-        _operations(ref[half:], hyp[at:], r0 + half, h0 + at, out)
-        return
-    steps = np.arange(m + 1)
-    table = np.empty((n + 1, m + 1), dtype=np.int32)
-    table[0] = steps
-    for i in range(1, n + 1):
-        table[i] = _next_row(table[i - 1], ref[i - 1], hyp, i, steps)
+    every = max(BLOCK_ROWS, isqrt(n))
+    steps = np.arange(m + 1, dtype=np.int32)
+    row, kept = steps, [steps]
+    for i in range(1, (n - 1) // every * every + 1):
+        row = _next_row(row, ref[i - 1], hyp, i, steps)
+        if i % every == 0:
+            kept.append(row)
     i, j, found = n, m, []
-    while i or j:
-        here = table[i, j]
-        if i and j and ref[i - 1] == hyp[j - 1] and here == table[i - 1, j - 1]:
-            i, j = i - 1, j - 1
-            found.append(("equal", r0 + i, h0 + j))
-        elif i and j and here == table[i - 1, j - 1] + 1:
-            i, j = i - 1, j - 1
-            found.append(("substitute", r0 + i, h0 + j))
-        elif i and here == table[i - 1, j] + 1:
-            i -= 1
-            found.append(("delete", r0 + i, h0 + j))
-        else:
-            j -= 1
-            found.append(("insert", r0 + i, h0 + j))
-    out.extend(reversed(found))
+    while kept:
+        start = (len(kept) - 1) * every
+        table = [kept.pop()[: j + 1]]
+        left, ahead = steps[: j + 1], hyp[:j]
+        for k in range(start, i):
+            table.append(_next_row(table[-1], ref[k], ahead, k + 1, left))
+        while i > start or (start == 0 and j):
+            here = table[i - start][j]
+            diagonal = table[i - start - 1][j - 1] if i and j else None
+            if i and j and ref[i - 1] == hyp[j - 1] and here == diagonal:
+                i, j = i - 1, j - 1
+                found.append(("equal", i, j))
+            elif i and j and here == diagonal + 1:
+                i, j = i - 1, j - 1
+                found.append(("substitute", i, j))
+            elif i and here == table[i - start - 1][j] + 1:
+                i -= 1
+                found.append(("delete", i, j))
+            else:
+                j -= 1
+                found.append(("insert", i, j))
+    return found
 
 
 def align_words(ref, hyp) -> list[tuple[str, int, int]]:
@@ -106,9 +107,7 @@ def align_words(ref, hyp) -> list[tuple[str, int, int]]:
         np.fromiter((ids.setdefault(w, len(ids)) for w in words), dtype=np.int64, count=len(words))
         for words in (ref, hyp)
     ]
-    out: list[tuple[str, int, int]] = []
-    _operations(codes[0], codes[1], 0, 0, out)
-    return out
+    return _operations(*codes)[::-1]
 
 
 @F.pandas_udf(T.ArrayType(OPERATION))

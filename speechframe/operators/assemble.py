@@ -9,9 +9,18 @@ from pyspark.sql import functions as F
 
 from speechframe.functions.language import normalise_language
 from speechframe.functions.timing import seconds
-from speechframe.operators.ordered import Hot, measure, with_slices
+from speechframe.operators.ordered import prefix_scan, without_slices
 
-PART_ROWS = 100_000
+
+def number_parts(
+    rows: DataFrame, keys: Sequence[str], order: Sequence[str], part_rows: int | None
+) -> DataFrame:
+    """Add ``part``: 0, or the row's number within its key over ``part_rows``, without gaps."""
+    if part_rows is None:
+        return rows.withColumn("part", F.lit(0).cast("bigint"))
+    numbered = prefix_scan(rows, keys, order, {"_before": ("count", F.lit(1), False)})
+    part = F.floor(F.col("_before") / F.lit(part_rows)).cast("bigint")
+    return without_slices(numbered.withColumn("part", part).drop("_before"))
 
 
 def assemble_text(
@@ -20,17 +29,18 @@ def assemble_text(
     *,
     keep: Column | None = None,
     counts: dict[str, Column] | None = None,
-    part_rows: int | None | Hot = PART_ROWS,
+    part_rows: int | None = None,
 ) -> DataFrame:
     """Full text and ordered segments per recording, of the rows with ``keep``; ``counts`` adds
     aggregates over all rows in the same pass.
 
-    Segments sort by start, then channel, chunk and position. A recording of more than
-    ``part_rows`` segments comes out as several rows, numbered by ``part`` in time order, so no
-    row grows without bound; joined in order (with a space) the parts are the whole text.
+    Segments sort by start, then channel, chunk and position. A recording is one row (``part`` 0),
+    as long as audio is accepted. For longer ones ``part_rows`` asks for parts of so many segments,
+    numbered 0, 1, ... in time order; joined in order (with a space) they are the whole text.
     """
     counts = counts or {}
-    sliced = with_slices(segments, keys, "start", measure(segments, keys, "start", part_rows))
+    ranked = segments.withColumn("_ch", F.coalesce("channel", F.lit(0)))
+    sliced = number_parts(ranked, keys, ["start", "_ch", "chunk", "ord"], part_rows)
     entry = F.struct(
         "start",
         F.coalesce("channel", F.lit(0)).alias("ch"),
@@ -42,7 +52,7 @@ def assemble_text(
         "low_confidence",
     )
     return (
-        sliced.groupBy(*keys, F.col("_slice").alias("part"))
+        sliced.groupBy(*keys, "part")
         .agg(
             F.array_sort(F.collect_list(entry if keep is None else F.when(keep, entry))).alias("_s"),
             *[aggregate.alias(name) for name, aggregate in counts.items()],

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import io
 import math
 import struct as binary
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,7 +18,6 @@ from speechframe.schema import PCM_BLOCKS, SAMPLE_RATE
 
 BLOCK_SAMPLES = 10 * SAMPLE_RATE
 MAX_SECONDS = 4 * 3600
-HEADER_BYTES = 1 << 16
 
 
 def container(content: Column) -> Column:
@@ -45,28 +46,32 @@ def container(content: Column) -> Column:
     )
 
 
-def _little_endian(content: Column, offset: int, length: int) -> Column:
-    pairs = [F.hex(F.substring(content, offset + i + 1, 1)) for i in reversed(range(length))]
-    return F.conv(F.concat(*pairs), 16, 10).cast("bigint")
+def _wav_facts(content: pd.Series) -> pd.DataFrame:
+    names = ["channels", "rate", "bits", "frames", "size"]
+    rows = []
+    for data in content:
+        facts = None
+        if data is not None and data[:4] == b"RIFF":
+            facts = _header_facts(io.BytesIO(data), len(data))
+        if facts is None:
+            rows.append((None,) * 5)
+            continue
+        width = facts["channels"] * facts["bits"] // 8
+        frames = facts["declared"] // width if width else None
+        rows.append((facts["channels"], facts["rate"], facts["bits"], frames, facts["declared"]))
+    return pd.DataFrame(rows, columns=names, dtype="Int64")
 
 
 def wav_header(content: Column) -> Column:
-    """``struct<channels, rate, bits, frames, duration_s>`` of a WAV file with the plain 44-byte
-    header, NULL otherwise."""
-    plain = (container(content) == "wav") & (
-        F.hex(F.substring(content, 37, 4)) == "data".encode().hex().upper()
-    )
-    channels, rate = _little_endian(content, 22, 2), _little_endian(content, 24, 4)
-    bits, size = _little_endian(content, 34, 2), _little_endian(content, 40, 4)
-    frames = F.floor(size / F.nullif(channels * bits / 8, F.lit(0.0)))
+    """``struct<channels, rate, bits, frames, duration_s>`` of a WAV file, as its chunks declare it,
+    wherever they stand. NULL for other files, and for those without format or data."""
+    facts = F.pandas_udf(_wav_facts, "channels int, rate int, bits int, frames bigint, size bigint")(content)
+    seconds = F.try_divide(facts["frames"].cast("double"), facts["rate"].cast("double"))
     return F.when(
-        plain,
+        facts["size"].isNotNull(),
         F.struct(
-            channels.cast("int").alias("channels"),
-            rate.cast("int").alias("rate"),
-            bits.cast("int").alias("bits"),
-            frames.alias("frames"),
-            F.try_divide(frames.cast("double"), rate.cast("double")).alias("duration_s"),
+            facts["channels"].alias("channels"), facts["rate"].alias("rate"), facts["bits"].alias("bits"),
+            facts["frames"].alias("frames"), seconds.alias("duration_s"),
         ),
     )
 
@@ -96,54 +101,70 @@ def _open(path: str):
     return system.open_input_file(inner)
 
 
-def _pcm_layout(header: bytes, size: int) -> dict | None:
-    """Channels, rate, bits, byte order and data range of PCM WAV or AIFF, else None."""
-    if header[:4] == b"RIFF" and header[8:12] == b"WAVE":
-        return _walk(header, size, "<", _wav_chunk)
-    if header[:4] == b"FORM" and header[8:12] == b"AIFF":
-        return _walk(header, size, ">", _aiff_chunk)
-    return None
-
-
-def _walk(header: bytes, size: int, order: str, read: Callable) -> dict | None:
+def _pcm_layout(source, size: int) -> dict | None:
+    """Channels, rate, bits, byte order and data range of PCM or float WAV or AIFF, else None."""
+    facts = _header_facts(source, size)
+    if facts is None:
+        return None
+    widths = {"int": (8, 16, 24, 32), "float": (32, 64)}.get(facts["encoding"], ())
+    return facts if facts["bits"] in widths else None
+
+
+def _header_facts(source, size: int) -> dict | None:
+    """What the chunks of a WAV or AIFF file say, wherever they stand: the reader goes from one
+    chunk's head to the next."""
+    head = source.read(12)
+    if head[:4] == b"RIFF" and head[8:12] == b"WAVE":
+        order, wanted, read = "<", (b"fmt ", b"data"), _wav_chunk
+    elif head[:4] == b"FORM" and head[8:12] == b"AIFF":
+        order, wanted, read = ">", (b"COMM", b"SSND"), _aiff_chunk
+    else:
+        return None
     at, facts = 12, {"order": order}
-    while at + 8 <= len(header):
-        name = header[at : at + 4]
-        (length,) = binary.unpack(f"{order}I", header[at + 4 : at + 8])
-        read(name, header[at + 8 : at + 8 + length], at + 8, min(length, size - at - 8), facts)
-        if "offset" in facts and "bits" in facts:
-            return facts if facts["bits"] in (8, 16, 24, 32) and facts.get("pcm") else None
+    while at + 8 <= size and not ("offset" in facts and "bits" in facts):
+        source.seek(at)
+        name_and_length = source.read(8)
+        if len(name_and_length) < 8:
+            break
+        name, length = name_and_length[:4], binary.unpack(f"{order}I", name_and_length[4:])[0]
+        if name in wanted:
+            read(name, source.read(min(length, 40)), at + 8, length, facts)
         at += 8 + length + length % 2
-    return None
+    if "offset" not in facts or "bits" not in facts:
+        return None
+    return facts | {"bytes": min(facts["declared"], size - facts["offset"])}
 
 
-def _wav_chunk(name, body, at, available, facts):
+def _wav_chunk(name, body, at, length, facts):
     if name == b"fmt " and len(body) >= 16:
         kind, facts["channels"], facts["rate"], _, _, facts["bits"] = binary.unpack("<HHIIHH", body[:16])
-        facts["pcm"] = kind in (1, 0xFFFE)
+        if kind == 0xFFFE and len(body) >= 26:  # the real tag begins the sub-format
+            kind = binary.unpack("<H", body[24:26])[0]
+        facts["encoding"] = {1: "int", 3: "float"}.get(kind)
     elif name == b"data":
-        facts["offset"], facts["bytes"] = at, available
+        facts["offset"], facts["declared"] = at, length
 
 
-def _aiff_chunk(name, body, at, available, facts):
+def _aiff_chunk(name, body, at, length, facts):
     if name == b"COMM" and len(body) >= 18:
         facts["channels"], _, facts["bits"] = binary.unpack(">hIh", body[:8])
         exponent, mantissa = binary.unpack(">HQ", body[8:18])
         facts["rate"] = int(math.ldexp(mantissa, (exponent & 0x7FFF) - 16383 - 63))
-        facts["pcm"] = True
+        facts["encoding"] = "int"
     elif name == b"SSND":
-        facts["offset"], facts["bytes"] = at + 8, available - 8
+        facts["offset"], facts["declared"] = at + 8, length - 8
 
 
 _LAYOUT = (
     "recording_id string, path string, channels int, rate int, bits int, byte_order string, "
-    "data_offset bigint, frames bigint, error_code string"
+    "data_offset bigint, frames bigint, error_code string, encoding string"
 )
 
 
-def pcm_layouts(files: DataFrame) -> DataFrame:
-    """Header facts of audio files ``(recording_id, path, length)``; only the head of each file
-    is read. Unreadable ones carry ``error_code``."""
+def pcm_layouts(files: DataFrame, *, max_seconds: int = MAX_SECONDS) -> DataFrame:
+    """Header facts of audio files ``(recording_id, path, length)``; only the heads of the chunks
+    of each file are read. Unreadable ones, and those of more than ``max_seconds``, carry
+    ``error_code``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,22 +173,22 @@ def pcm_layouts(files: DataFrame) -> DataFrame:
                 facts = None
                 try:
                     with _open(path) as source:
-                        facts = _pcm_layout(source.read(HEADER_BYTES), size)
+                        facts = _pcm_layout(source, size)
                 except OSError:
                     facts = None
-                if facts is None or not facts["channels"] or not facts["rate"]:
-                    rows.append((rid, path, None, None, None, None, None, None, "undecodable_audio"))
+                if facts is None or facts["channels"] <= 0 or facts["rate"] <= 0:
+                    rows.append((rid, path, *[None] * 6, "undecodable_audio", None))
                     continue
                 frames = facts["bytes"] // (facts["channels"] * facts["bits"] // 8)
                 error = None
                 if frames <= 0:
                     error = "undecodable_audio"
-                elif frames > MAX_SECONDS * facts["rate"]:
+                elif frames > max_seconds * facts["rate"]:
                     error = "audio_too_long"
                 rows.append((rid, path, facts["channels"], facts["rate"], facts["bits"],
-                             facts["order"], facts["offset"], frames, error))
+                             facts["order"], facts["offset"], frames, error, facts["encoding"]))
             kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(),
-                     pa.int64(), pa.int64(), pa.string()]
+                     pa.int64(), pa.int64(), pa.string(), pa.string()]
             columns = list(zip(*rows)) or [[] for _ in kinds]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(v), type=k) for v, k in zip(columns, kinds)],
@@ -242,7 +263,13 @@ def _read_frames(row: dict, first: int, count: int) -> np.ndarray:
     with _open(row["path"]) as source:
         source.seek(row["data_offset"] + low * channels * width)
         data = source.read((high - low) * channels * width)
-    frames = _as_int16_scale(data, width, row["byte_order"]).reshape(-1, channels)
+    if row["encoding"] == "float":
+        values = np.frombuffer(data[: len(data) // width * width], f"{row['byte_order']}f{width}")
+        # As far over full scale as a sample may be, it is clipped later; what is no number is silence.
+        frames = np.nan_to_num(values.astype(np.float64), nan=0.0) * 32768.0
+    else:
+        frames = _as_int16_scale(data, width, row["byte_order"])
+    frames = frames[: len(frames) // channels * channels].reshape(-1, channels)
     if rate == SAMPLE_RATE:
         return frames[:count]
     grid = np.arange(len(frames))

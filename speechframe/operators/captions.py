@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from speechframe.functions import timing
 from speechframe.functions.text import tokens
-from speechframe.operators.assemble import PART_ROWS
-from speechframe.operators.ordered import Hot, measure, prefix_scan, with_slices
+from speechframe.operators.assemble import number_parts
+from speechframe.operators.ordered import HOT_ROWS, Hot, measure, prefix_scan, without_slices
 
 WIDTH = 42
 MAX_LINES = 2
@@ -132,27 +132,27 @@ def _line_sum(lines: Column, field: str) -> Column:
 
 
 def number_cues(
-    cues: DataFrame, keys: Sequence[str] = ("recording_id",), *, part_rows: int | None | Hot = PART_ROWS
+    cues: DataFrame, keys: Sequence[str] = ("recording_id",), *, hot_rows: int | None | Hot = HOT_ROWS
 ) -> DataFrame:
-    """Cue numbers per recording by start; ``part`` splits very long recordings (see
-    :func:`assemble_text`)."""
-    hot = measure(cues, keys, "start_ms", part_rows)
+    """Cue numbers per recording by start."""
     numbered = prefix_scan(
-        with_slices(cues, keys, "start_ms", hot),
+        cues,
         keys,
         ["start_ms", "ord", "cue"],
         {"number": ("count", F.lit(1), True)},
-        hot_rows=hot,
+        hot_rows=hot_rows,
     )
-    return numbered.withColumnRenamed("_slice", "part").drop("_hot")
+    return without_slices(numbered)
 
 
 def _numbered(segments, keys, width, max_lines, part_rows) -> DataFrame:
-    """Numbered cues; long recordings are found by their segments, before any text is wrapped."""
+    """Numbered cues; hot keys are found by their segments, before any text is wrapped. ``part`` is
+    0, or counts the document's parts of ``part_rows`` cues."""
     timed = segments.withColumn("start_ms", timing.cue_start_ms(F.col("start")))
-    hot = measure(timed, keys, "start_ms", part_rows)
+    hot = measure(timed, keys, "start_ms")
     cues = caption_cues(segments, keys, width=width, max_lines=max_lines)
-    return number_cues(cues, keys, part_rows=hot)
+    number = F.lit(0) if part_rows is None else F.floor((F.col("number") - 1) / F.lit(part_rows))
+    return number_cues(cues, keys, hot_rows=hot).withColumn("part", number.cast("bigint"))
 
 
 def _document(lines: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -167,18 +167,14 @@ def render_text(
     segments: DataFrame,
     keys: Sequence[str] = ("recording_id",),
     *,
-    part_rows: int | None | Hot = PART_ROWS,
+    part_rows: int | None = None,
 ) -> DataFrame:
-    """``(keys, part, body)``: one labelled line per non-empty segment."""
-    spoken = segments.where(F.col("text") != "")
-    hot = measure(spoken, keys, "start", part_rows)
-    rows = with_slices(spoken, keys, "start", hot).withColumnRenamed("_slice", "part")
+    """``(keys, part, body)``: one labelled line per non-empty segment. Like all renderings, one row
+    per recording, or parts of ``part_rows`` if asked for."""
+    spoken = segments.where(F.col("text") != "").withColumn("_ch", F.coalesce("channel", F.lit(0)))
+    order = ["start", "_ch", "ord"]
     line = F.concat(timing.speaker_label(F.col("channel")), F.col("text"), F.lit("\n"))
-    return _document(
-        rows.withColumn("_line", line).withColumn("_ch", F.coalesce("channel", F.lit(0))),
-        keys,
-        ["start", "_ch", "ord"],
-    )
+    return _document(number_parts(spoken, keys, order, part_rows).withColumn("_line", line), keys, order)
 
 
 def render_srt(
@@ -187,7 +183,7 @@ def render_srt(
     *,
     width: int = WIDTH,
     max_lines: int = MAX_LINES,
-    part_rows: int | None | Hot = PART_ROWS,
+    part_rows: int | None = None,
 ) -> DataFrame:
     cues = _numbered(segments, keys, width, max_lines, part_rows)
     line = F.concat(
@@ -208,7 +204,7 @@ def render_vtt(
     recordings: DataFrame | None = None,
     width: int = WIDTH,
     max_lines: int = MAX_LINES,
-    part_rows: int | None | Hot = PART_ROWS,
+    part_rows: int | None = None,
 ) -> DataFrame:
     """With ``recordings`` (their keys), recordings without segments get the bare header."""
     cues = _numbered(segments, keys, width, max_lines, part_rows)

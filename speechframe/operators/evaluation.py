@@ -240,10 +240,23 @@ def rollup_with_tags(scores: DataFrame, tags: str = "tags", config: str = "confi
     return rollup(scores.withColumn("tag", F.explode(named)), [config, "tag"])
 
 
+def one_decimal(value: Column) -> Column:
+    """Text of a number of 0 or more with one decimal, rounded from its exact binary value; only a
+    value that is itself half-way goes to the even neighbour. The built-in formatter rounds the
+    shortest decimal text of the value instead."""
+    low = F.floor(value * 10)
+    middle = (low * 2 + 1) / F.lit(20.0)
+    # The nearest double to the middle: whether it lies above or below, in two exact products.
+    coarse = F.floor(middle * (1 << 20)) / F.lit(float(1 << 20))
+    beyond = (coarse * 20 - (low * 2 + 1)) + (middle - coarse) * 20
+    up = (value > middle) | ((value == middle) & ((beyond > 0) | ((beyond == 0) & (low % 2 == 1))))
+    tenths = low + up.cast("bigint")
+    return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+
 def percent(value: Column) -> Column:
-    """One decimal, halves to even: the formatter itself rounds halves up."""
-    tenths = F.rint(value * 1000) / 10
-    return F.when(value.isNull(), "n/a").otherwise(F.format_string("%.1f%%", tenths))
+    """A rate of 0 or more in percent with one decimal."""
+    return F.when(value.isNull(), "n/a").otherwise(F.concat(one_decimal(value * 100), F.lit("%")))
 
 
 def number(value: Column, fmt: str = "%d") -> Column:
@@ -266,7 +279,7 @@ def report_lines(rates: DataFrame, *, cells_only: bool = False) -> DataFrame:
         "seam_errors",
         percent(F.col("seam_error_share")),
         percent(F.col("near_seam_audio_share")),
-        number(F.rint(F.col("x_realtime") * 10) / 10, "%.1f"),
+        F.coalesce(one_decimal(F.col("x_realtime")), F.lit("n/a")),
     )
     cell = F.concat_ws(
         "; ",
@@ -289,13 +302,14 @@ def clip_cell(scores: DataFrame) -> Column:
     return F.when(F.col("ref_words") == 0, F.format_string("%d words", "hyp_words")).otherwise(
         F.format_string(
             "%s (%d errors near %d seams)",
-            percent(errors / F.col("ref_words")),
+            percent(F.try_divide(errors, "ref_words")),
             "seam_errors",
             "seams",
         )
     )
 
 
+# The report's headings.
 _AGGREGATE_HEAD = (
     "| config | WER | CER | sub / del / ins | hallucinated words (no-speech clips) | seams "
     "| errors ≤1 s from a seam | share of errors | share of audio | speed (x realtime) |"
@@ -344,7 +358,7 @@ def markdown_report(scores: DataFrame, configs: Sequence[str], title: str, notes
                                f"| tag | clips | {names} |", rule]))
         .unionByName(table(3, tagged, "tag", F.max("clips").cast("string")))
         .unionByName(lines(4, ["", "## Per clip", "", f"| clip | audio s | {names} |", rule]))
-        .unionByName(table(5, clips, "clip_id", F.format_string("%.1f", F.max("audio_s"))))
+        .unionByName(table(5, clips, "clip_id", one_decimal(F.max("audio_s"))))
     )
 
 

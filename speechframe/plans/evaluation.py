@@ -276,7 +276,7 @@ def corpus_rollup(spark, sf_dir):
 
 
 def _sql_pct(x: str) -> str:
-    return f"CASE WHEN {x} IS NULL THEN 'n/a' ELSE printf('%.1f%%', round_even({x} * 1000, 0) / 10) END"
+    return f"CASE WHEN {x} IS NULL THEN 'n/a' ELSE printf('%.1f%%', 100 * {x}) END"
 
 
 @query(
@@ -288,14 +288,81 @@ SELECT config, tag, CASE WHEN tag IS NULL THEN printf('| %s | %s | %s | %d / %d
   config, {_sql_pct('wer')}, {_sql_pct('cer')}, substitutions, deletions, insertions,
   coalesce(hallucinated_words::VARCHAR, 'n/a'), seams, seam_errors, {_sql_pct('seam_error_share')},
   {_sql_pct('near_seam_audio_share')},
-  CASE WHEN x_realtime IS NULL THEN 'n/a' ELSE printf('%.1f', round_even(x_realtime * 10, 0) / 10) END)
+  CASE WHEN x_realtime IS NULL THEN 'n/a' ELSE printf('%.1f', x_realtime) END)
   ELSE printf('| %s | %d | %s | %s |', tag, clips, config, cell) END AS line FROM cells"""
 )
 def report_lines(spark, sf_dir):
     return evaluation.report_lines(evaluation.rollup_with_tags(_scores(spark, sf_dir))).drop("clips")
 
 
-@query()
+# The table of edit distances is kept by row, and the way back follows the documented preference.
+_GRID_SQL = f"""RECURSIVE clips AS (SELECT item_id AS clip_id, text, {_sql_wer('text')} AS ref,
+  length(text) / 16.0::DOUBLE AS audio_s FROM benchmark),
+turns AS (SELECT item_id - 1 AS clip_id, unnest(string_split(text, '. ')) AS text,
+  generate_subscripts(string_split(text, '. '), 1) - 1 AS ord FROM benchmark),
+said AS (SELECT t.clip_id, t.ord, {_sql_wer('t.text')} AS w FROM turns t JOIN clips USING (clip_id)),
+tok AS (SELECT clip_id, 'shifted' AS config, ord, unnest(string_split(w, ' ')) AS text,
+    generate_subscripts(string_split(w, ' '), 1) AS sub, ord * 4.0::DOUBLE AS s, ord * 4.0::DOUBLE + 3.5 AS e
+    FROM said WHERE w <> ''
+  UNION ALL SELECT clip_id, 'whole', 0, unnest(string_split(ref, ' ')),
+    generate_subscripts(string_split(ref, ' '), 1), 0.0::DOUBLE, audio_s FROM clips WHERE ref <> ''),
+heard AS (SELECT clip_id, config, list(text ORDER BY ord, sub) AS h, list(s ORDER BY ord, sub) AS hs,
+  list(e ORDER BY ord, sub) AS he FROM tok GROUP BY clip_id, config),
+lists AS (SELECT c.clip_id, g.config, audio_s, ref, list_filter(string_split(ref, ' '), lambda t: t <> '') AS r,
+    coalesce(h, []) AS h, coalesce(hs, []) AS hs, coalesce(he, []) AS he
+  FROM clips c CROSS JOIN (SELECT unnest(['shifted', 'whole']) AS config) g
+  LEFT JOIN heard USING (clip_id, config)),
+marks AS (SELECT t.clip_id, 'shifted' AS config, t.ord * 4.0::DOUBLE AS t FROM turns t
+    JOIN clips USING (clip_id) WHERE t.ord > 0
+  UNION ALL SELECT clip_id, 'whole', i * 30.0::DOUBLE FROM (SELECT clip_id, audio_s,
+    unnest(range(1, greatest(1, floor(audio_s / 30)::BIGINT) + 1)) AS i FROM clips) WHERE i * 30.0 < audio_s),
+dp AS (SELECT clip_id, config, 0 AS i, range(len(h) + 1) AS row FROM lists WHERE ref <> ''
+  UNION ALL SELECT clip_id, config, i + 1, list_transform(range(1, len(best) + 1), lambda j:
+      list_min(list_transform(range(1, j + 1), lambda q: best[q] - q)) + j)
+  FROM (SELECT dp.clip_id, dp.config, dp.i, list_transform(range(1, len(l.h) + 2), lambda j:
+          CASE WHEN j = 1 THEN dp.i + 1 ELSE least(dp.row[j] + 1,
+            dp.row[j - 1] + CASE WHEN l.h[j - 1] = l.r[dp.i + 1] THEN 0 ELSE 1 END) END) AS best
+        FROM dp JOIN lists l ON l.clip_id = dp.clip_id AND l.config = dp.config AND dp.i < len(l.r))),
+ways AS (SELECT clip_id, config, NULL::VARCHAR AS op, NULL::BIGINT AS spot, len(r) AS i, len(h) AS j
+    FROM lists WHERE ref <> ''
+  UNION ALL SELECT clip_id, config, op, j,
+    CASE WHEN op = 'insert' THEN i ELSE i - 1 END, CASE WHEN op = 'delete' THEN j ELSE j - 1 END
+  FROM (SELECT b.clip_id, b.config, b.i, b.j,
+      CASE WHEN b.i > 0 AND b.j > 0 AND l.r[b.i] = l.h[b.j] AND d.row[b.j + 1] = p.row[b.j] THEN 'equal'
+           WHEN b.i > 0 AND b.j > 0 AND d.row[b.j + 1] = p.row[b.j] + 1 THEN 'substitute'
+           WHEN b.i > 0 AND d.row[b.j + 1] = p.row[b.j + 1] + 1 THEN 'delete' ELSE 'insert' END AS op
+    FROM ways b JOIN lists l ON l.clip_id = b.clip_id AND l.config = b.config AND b.i + b.j > 0
+    JOIN dp d ON d.clip_id = b.clip_id AND d.config = b.config AND d.i = b.i
+    LEFT JOIN dp p ON p.clip_id = b.clip_id AND p.config = b.config AND p.i = b.i - 1)),
+spans AS (SELECT w.clip_id, w.config, op,
+    CASE WHEN op = 'delete' THEN CASE WHEN spot > 0 THEN l.he[spot] ELSE 0.0 END ELSE l.hs[spot] END AS s,
+    CASE WHEN op = 'delete' THEN coalesce(l.hs[spot + 1], l.audio_s) ELSE l.he[spot] END AS e
+  FROM ways w JOIN lists l ON l.clip_id = w.clip_id AND l.config = w.config
+  WHERE op IS NOT NULL AND op <> 'equal'),
+counted AS (SELECT clip_id, config, count(*) FILTER (WHERE op = 'substitute') AS substitutions,
+    count(*) FILTER (WHERE op = 'delete') AS deletions, count(*) FILTER (WHERE op = 'insert') AS insertions,
+    count(*) FILTER (WHERE EXISTS (SELECT 1 FROM marks m WHERE m.clip_id = spans.clip_id
+      AND m.config = spans.config AND m.t - 1.0 <= spans.e AND spans.s <= m.t + 1.0)) AS seam_errors
+  FROM spans GROUP BY clip_id, config),
+reach AS (SELECT m.*, least(t + 1.0, audio_s) AS until, max(least(t + 1.0, audio_s)) OVER (
+    PARTITION BY m.clip_id, m.config ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach
+  FROM marks m JOIN clips USING (clip_id)),
+covered AS (SELECT clip_id, config, count(*) AS seams,
+    sum(greatest(0.0, until - greatest(t - 1.0, coalesce(reach, 0.0), 0.0)))::DOUBLE AS near_seam_s
+  FROM reach GROUP BY clip_id, config)"""
+
+
+@query(
+    f"""WITH {_GRID_SQL} SELECT l.clip_id, l.config, audio_s, 0.0::DOUBLE AS seconds,
+  len(r)::BIGINT AS ref_words, len(h)::BIGINT AS hyp_words, coalesce(substitutions, 0) AS substitutions,
+  coalesce(deletions, 0) AS deletions,
+  CASE WHEN ref = '' THEN len(h) ELSE coalesce(insertions, 0) END::BIGINT AS insertions,
+  length(ref)::BIGINT AS ref_chars, CASE WHEN ref = '' THEN 0 ELSE
+    levenshtein({_one_byte('ref')}, {_one_byte("array_to_string(h, ' ')")}) END::BIGINT AS char_errors,
+  coalesce(seams, 0) AS seams, coalesce(seam_errors, 0) AS seam_errors,
+  coalesce(near_seam_s, 0.0)::DOUBLE AS near_seam_s, array_to_string(h, ' ') AS hypothesis
+FROM lists l LEFT JOIN counted USING (clip_id, config) LEFT JOIN covered USING (clip_id, config)"""
+)
 def score_grid(spark, sf_dir):
     """Full scoring of benchmark items against two front ends (the reference shifted by one
     item, and cut in windows), through tokens, seams and alignment."""

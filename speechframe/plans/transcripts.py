@@ -154,13 +154,11 @@ def guarded_transcript(spark, sf_dir):
     """Raw segments to guarded transcripts: the flagship query."""
     reasons = _reasons(spark, sf_dir).withColumn("channel", F.lit(None).cast("int"))
     kept = F.col("reason").isNull()
-    # A document is one row of text, so its lines always fit one part again.
     return assemble.assemble_text(
         reasons,
         ["doc_id"],
         keep=kept,
         counts={"kept": F.count_if(kept), "dropped": F.count_if(~kept)},
-        part_rows=None,
     ).select("doc_id", "text", "kept", "dropped")
 
 
@@ -226,9 +224,9 @@ row_number() OVER (PARTITION BY conv_id ORDER BY start_ms, ord, cue) AS number F
 def caption_cues(spark, sf_dir):
     turns = turn_segments(spark, sf_dir)
     starts = turns.withColumn("start_ms", cue_start_ms(F.col("start")))
-    hot = measure(starts, ["conv_id"], "start_ms", captions.PART_ROWS)
+    hot = measure(starts, ["conv_id"], "start_ms")
     cues = captions.number_cues(
-        captions.caption_cues(turns, ["conv_id"]), ["conv_id"], part_rows=hot
+        captions.caption_cues(turns, ["conv_id"]), ["conv_id"], hot_rows=hot
     )
     return cues.select(
         "conv_id",

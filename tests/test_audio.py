@@ -99,6 +99,42 @@ def test_decoding(spark, folder):
     assert list(whole(eight, "g.wav")) == [-32768, 0, 32512]
 
 
+def riff(kind, bits, data, before=b"", sub=None):
+    """A mono WAV of 16 kHz with other chunks before its sound."""
+    fmt = struct.pack("<HHIIHH", kind, 1, RATE, RATE * bits // 8, bits // 8, bits)
+    if sub is not None:
+        fmt += struct.pack("<HHIH", 22, bits, 0, sub) + bytes.fromhex("000000001000800000aa00389b71")
+    body = b"WAVEfmt " + struct.pack("<I", len(fmt)) + fmt + before + b"data" + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def test_headers_of_any_length_and_floats(spark, tmp_path):
+    sound = np.arange(-500, 500, dtype="<i2")
+    half = np.array([0.5, -0.5, 2.0, np.nan])
+    long_list = b"LIST" + struct.pack("<I", 1 << 20) + bytes(1 << 20)
+    (tmp_path / "long.wav").write_bytes(riff(1, 16, sound.tobytes(), long_list))
+    (tmp_path / "f32.wav").write_bytes(riff(3, 32, half.astype("<f4").tobytes()))
+    (tmp_path / "ext.wav").write_bytes(riff(0xFFFE, 32, half.astype("<f4").tobytes(), sub=3))
+    (tmp_path / "f64.wav").write_bytes(riff(3, 64, half.astype("<f8").tobytes()))
+    (tmp_path / "law.wav").write_bytes(riff(7, 8, bytes(100)))
+    sounds = b"SSND" + struct.pack(">III", 8 + 2000, 0, 0) + sound.astype(">i2").tobytes()
+    common = b"COMM" + struct.pack(">IhIhHQ", 18, 1, 1000, 16, 16383 + 13, RATE << 50) + bytes(0)
+    form = b"AIFF" + sounds + common
+    (tmp_path / "late.aiff").write_bytes(b"FORM" + struct.pack(">I", len(form)) + form)
+    layouts = audio.pcm_layouts(files(spark, tmp_path)).cache()
+    errors = {r.recording_id: r.error_code for r in layouts.collect()}
+    assert {n for n, e in errors.items() if e} == {"law.wav"} and errors["law.wav"] == "undecodable_audio"
+    blocks = audio.decode_blocks(layouts)
+    assert np.array_equal(whole(blocks, "long.wav"), sound) and np.array_equal(whole(blocks, "late.aiff"), sound)
+    for name in ("f32.wav", "ext.wav", "f64.wav"):
+        assert list(whole(blocks, name)) == [16384, -16384, 32767, 0]
+    heads = {r.n: r.h for r in readers.audio_objects(spark, str(tmp_path)).select(
+        F.regexp_extract("path", "([^/]+)$", 1).alias("n"), audio.wav_header(F.col("content")).alias("h")).collect()}
+    assert (heads["long.wav"].frames, heads["long.wav"].rate) == (1000, RATE) and heads["late.aiff"] is None
+    short = audio.pcm_layouts(files(spark, tmp_path), max_seconds=0).where("recording_id = 'long.wav'")
+    assert short.first().error_code == "audio_too_long"
+
+
 def test_regions_and_plan(spark, folder):
     blocks = audio.decode_blocks(audio.pcm_layouts(files(spark, folder)), block_samples=RATE // 2)
     found = audio.detect_regions(blocks).where("recording_id = 'a.wav'").orderBy("start").collect()

@@ -49,14 +49,32 @@ def distance(a, b):
     return row[-1]
 
 
-def test_alignment_is_minimal_and_consistent(monkeypatch):
+def traced(ref, hyp):
+    """Operations by the documented preference, from the whole table."""
+    cost = [[distance(ref[:i], hyp[:j]) for j in range(len(hyp) + 1)] for i in range(len(ref) + 1)]
+    i, j, found = len(ref), len(hyp), []
+    while i or j:
+        if i and j and cost[i][j] == cost[i - 1][j - 1] + (ref[i - 1] != hyp[j - 1]):
+            i, j = i - 1, j - 1
+            found.append(("equal" if ref[i] == hyp[j] else "substitute", i, j))
+        elif i and cost[i][j] == cost[i - 1][j] + 1:
+            i -= 1
+            found.append(("delete", i, j))
+        else:
+            j -= 1
+            found.append(("insert", i, j))
+    return found[::-1]
+
+
+def test_alignment_is_the_documented_one_at_any_length(monkeypatch):
     rng = random.Random(2)
-    for cells in (align.MATRIX_CELLS, 40):
-        monkeypatch.setattr(align, "MATRIX_CELLS", cells)
-        for _ in range(120):
+    for rows in (align.BLOCK_ROWS, 1, 3):
+        monkeypatch.setattr(align, "BLOCK_ROWS", rows)
+        for _ in range(60):
             ref = [rng.choice("abcd") for _ in range(rng.randrange(0, 18))]
             hyp = [rng.choice("abcde") for _ in range(rng.randrange(0, 18))]
             ops = align.align_words(ref, hyp)
+            assert ops == traced(ref, hyp)
             assert sum(o[0] != "equal" for o in ops) == distance(ref, hyp)
             assert [o[1] for o in ops if o[0] != "insert"] == list(range(len(ref)))
             assert [o[2] for o in ops if o[0] != "delete"] == list(range(len(hyp)))
@@ -160,4 +178,15 @@ def test_rollup_and_report(spark):
 
 def test_last_row_matches_plain():
     a, b = np.array([1, 2, 3]), np.array([2, 3, 4])
-    assert align._last_row(a, b)[-1] == 2
+    steps = row = np.arange(4)
+    for i, word in enumerate(a, 1):
+        row = align._next_row(row, word, b, i, steps)
+    assert row[-1] == 2
+
+
+def test_percent_rounds_the_exact_value(spark):
+    rates = [n / d for d in (3, 7, 40, 200, 400, 1000, 2000) for n in range(0, 2 * d, 1 + d // 150)] + [1234567.25 / 100]
+    df = spark.createDataFrame([(v,) for v in rates], "v double")
+    got = df.select("v", evaluation.percent(F.col("v")).alias("p"), evaluation.one_decimal(F.col("v")).alias("d")).collect()
+    assert [(r.p, r.d) for r in got] == [(f"{r.v:.1%}", f"{r.v:.1f}") for r in got]
+    assert df.select(evaluation.percent(F.lit(None).cast("double"))).first()[0] == "n/a"
