@@ -209,7 +209,7 @@ def _verify(
     return pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(run, "a binary, b binary")
 
 
-def shared_counts(sets: list[np.ndarray], first: int, columns: int = 4096) -> np.ndarray:
+def shared_counts(sets: list[np.ndarray], first: int, columns: int = 1024) -> np.ndarray:
     """How many elements each of the ``first`` sets shares with each of the others: products of
     their incidence matrices, a few elements at a time, without those that only one set has. If all
     sets are first ones, they are compared among themselves."""
@@ -269,11 +269,12 @@ def _across(
             second = first % len(sets)
             shared = shared_counts(sets, first).astype("f8")
             alike = 100 * shared >= percent * (sizes[:first, None] + sizes[None, second:] - shared)
-            x, y = np.nonzero(alike)
-            x, y = (x, y + second) if second else (x[x < y], y[x < y])
-            fps, labels = group["fp"].tolist(), group["root"].tolist()
-            apart = [i for i in range(len(x)) if labels[x[i]] != labels[y[i]]]
-            root = label_roots(len(sets), x[apart], y[apart])
+            # Only links between classes that are still apart; a block with itself counts once.
+            known = pd.factorize(group["root"])[0]
+            alike &= known[:first, None] != known[None, second:]
+            x, y = np.nonzero(alike if second else np.triu(alike, 1))
+            root = label_roots(len(sets), x, y + second)
+            fps = group["fp"].tolist()
             linked = [i for i in range(len(sets)) if root[i] != i]
             if linked:
                 yield pd.DataFrame({"a": [fps[i] for i in linked], "b": [fps[root[i]] for i in linked]})
