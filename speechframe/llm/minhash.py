@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from speechframe.llm.common import components, cut, label_roots, number_rows, runs, small
+from speechframe.llm.common import components, cut, label_roots, number_rows, runs, small, tidy
 
 SKETCH = 64
 #: Retained values that two sets of similarity 0.8 share at least, when both sets are larger than
@@ -92,7 +92,7 @@ def sketch_documents(docs: DataFrame, *, width: int, k: int = SKETCH) -> DataFra
                 }
             )
 
-    return docs.select("doc_id", "text").mapInPandas(run, SKETCHES)
+    return docs.select("doc_id", "text").mapInPandas(tidy(run), SKETCHES)
 
 
 def prefix_length(n: Column, k: int, similarity: float) -> Column:
@@ -164,7 +164,7 @@ def _estimated(pairs: DataFrame, k: int, similarity: float) -> DataFrame:
             out = batch[["a", "b"]].assign(estimate=[x[1] for x in found])
             yield out[[x[0] for x in found]]
 
-    return pairs.mapInPandas(run, "a binary, b binary, estimate double")
+    return pairs.mapInPandas(tidy(run), "a binary, b binary, estimate double")
 
 
 def _full_sets(wanted: DataFrame, docs: DataFrame, sketched: DataFrame, width: int) -> DataFrame:
@@ -181,7 +181,7 @@ def _full_sets(wanted: DataFrame, docs: DataFrame, sketched: DataFrame, width: i
             found = [own.shingles(t).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"fp": [xxhash.xxh3_128_digest(s) for s in found], "whole": found})
 
-    full = texts.mapInPandas(sets, "fp binary, whole binary")
+    full = texts.mapInPandas(tidy(sets), "fp binary, whole binary")
     full = full.join(small(chosen.select(F.col("wanted").alias("fp"))), "fp", "left_semi")
     # Several rows may show the same set.
     return cut(full.dropDuplicates(["fp"]))
@@ -206,7 +206,7 @@ def _verify(
                 links.append(100 * shared >= percent * (len(x) + len(y) - shared))
             yield batch.loc[links, ["a", "b"]]
 
-    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(run, "a binary, b binary")
+    return pairs.select("a", "b").join(a, "a").join(b, "b").mapInPandas(tidy(run), "a binary, b binary")
 
 
 def shared_counts(sets: list[np.ndarray], first: int, columns: int = 1024) -> np.ndarray:
@@ -214,11 +214,12 @@ def shared_counts(sets: list[np.ndarray], first: int, columns: int = 1024) -> np
     their incidence matrices, a few elements at a time, without those that only one set has. If all
     sets are first ones, they are compared among themselves."""
     second = first % len(sets)
-    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    rows = np.repeat(np.arange(len(sets), dtype="i4"), [len(s) for s in sets])
     _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     common = times[element] > 1
     number = (np.cumsum(times > 1) - 1)[element[common]]
     rows = rows[common]
+    del element, common
     order = np.argsort(number, kind="stable")
     number, rows = number[order], rows[order]
     shared = np.zeros((first, len(sets) - second), dtype="f4")
@@ -267,11 +268,13 @@ def _across(
             sizes = np.array([len(s) for s in sets], dtype="f8")
             first = int((group["block"] == group["i"].iloc[0]).sum())
             second = first % len(sets)
-            shared = shared_counts(sets, first).astype("f8")
-            alike = 100 * shared >= percent * (sizes[:first, None] + sizes[None, second:] - shared)
+            shared = shared_counts(sets, first)
+            alike = np.zeros(shared.shape, dtype=bool)
             # Only links between classes that are still apart; a block with itself counts once.
             known = pd.factorize(group["root"])[0]
-            alike &= known[:first, None] != known[None, second:]
+            for i, counts in enumerate(shared.astype("i4")):
+                union = sizes[i] + sizes[second:] - counts
+                alike[i] = (100.0 * counts >= percent * union) & (known[i] != known[second:])
             x, y = np.nonzero(alike if second else np.triu(alike, 1))
             root = label_roots(len(sets), x, y + second)
             fps = group["fp"].tolist()
@@ -280,7 +283,7 @@ def _across(
                 yield pd.DataFrame({"a": [fps[i] for i in linked], "b": [fps[root[i]] for i in linked]})
 
     dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j", "block")
-    return dealt.mapInPandas(run, "a binary, b binary")
+    return dealt.mapInPandas(tidy(run), "a binary, b binary")
 
 
 def near_duplicates(

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from speechframe.llm.common import number_rows
+from speechframe.llm.common import number_rows, tidy
 
 #: Words a worker remembers with their ids; beyond it, it starts afresh (results don't change).
 MEMO_WORDS = 400_000
@@ -125,7 +125,7 @@ def cut_pieces(
             out = pd.DataFrame(rows, columns=names)
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    return docs.select("doc_id", "text").mapInPandas(cut, schema + ", ids array<int>" * ids)
+    return docs.select("doc_id", "text").mapInPandas(tidy(cut), schema + ", ids array<int>" * ids)
 
 
 def pack_histogram(
