@@ -27,7 +27,7 @@ def pipeline(
     kept = guards.guard_reasons(guards.to_absolute(engine.raw_segments(raw), plan)).where(
         F.col("reason").isNull()
     )
-    ordered = kept.withColumn("ord", F.col("chunk") * 1_000_000 + F.col("ord"))
+    ordered = kept.withColumn("ord", F.col("chunk").cast("bigint") * 1_000_000 + F.col("ord"))
     spans = plan.select(
         "recording_id", "index", seconds(F.col("start")).alias("start"), seconds(F.col("end")).alias("end")
     )
@@ -55,7 +55,7 @@ def naive(
         engine.transcribe_chunks(heard, engine_factory, word_timestamps=True, **options)
     )
     ordered = raw.withColumn("_at", F.col("chunk") * float(window_s)).withColumn(
-        "ord", F.col("chunk") * 1_000_000 + F.col("ord")
+        "ord", F.col("chunk").cast("bigint") * 1_000_000 + F.col("ord")
     )
     tokens = evaluation.timed_tokens(ordered, ["recording_id"], F.col("_at"))
     marks = plan.where(F.col("start") > 0).select("recording_id", seconds(F.col("start")).alias("t"))

@@ -283,11 +283,6 @@ def asof_duplicate(
     return scanned.where(F.col("_kind") == 0).select("_req.*", "duplicate_of")
 
 
-def shard(df: DataFrame, key: str, shards: int) -> DataFrame:
-    """Disjoint work claims: every id belongs to exactly one of ``shards``."""
-    return df.withColumn("shard", F.pmod(F.xxhash64(key), F.lit(shards)).cast("int"))
-
-
 def concurrency(
     intervals: DataFrame, *, start: str = "start", end: str = "end", hot_rows: int | None | Hot = HOT_ROWS
 ) -> DataFrame:

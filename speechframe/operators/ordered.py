@@ -9,8 +9,9 @@ its own, and the slices are stitched with small per-slice summaries:
 * :func:`prefix_scan`  running sum / max / count / last value over the whole key;
 * :func:`fold_states`  a sequential state machine over the whole key.
 
-What is broadcast has a bound that does not depend on skew: at most ``rows / hot_rows`` hot keys
-exist, and together they have at most ``OVERSPLIT * rows / hot_rows + hot keys`` slices.
+What is broadcast has a bound that depends neither on skew nor on size: the limit is at least
+``rows / MOST_HOT``, so at most ``MOST_HOT`` hot keys exist, and together they have at most
+``OVERSPLIT * MOST_HOT + hot keys`` slices.
 On the sliced path inputs that are read twice are checkpointed, so a chain of scans stays linear.
 """
 
@@ -18,16 +19,24 @@ from __future__ import annotations
 
 import tempfile
 from collections import deque
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-HOT_ROWS = 1_000_000
+
+class SessionLimit(int):
+    """A row limit that a session's setting may replace; plain numbers are taken as they are."""
+
+
+HOT_ROWS = SessionLimit(1_000_000)
 HOT_ROWS_SETTING = "spark.speechframe.hotRows"
+MOST_HOT = 10_000
 OVERSPLIT = 8
 CELLS = 64
 FOREVER = (1 << 63) - 1
@@ -45,10 +54,13 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names; only a session without one gets its own."""
+    """Checkpoint in the folder the cluster names; only a session on one machine without one gets
+    its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
@@ -71,6 +83,7 @@ def measure(
     """Find keys of more than ``hot_rows`` rows, with quantiles of the numeric column ``pos``.
 
     The default limit can be changed for a session by the setting ``spark.speechframe.hotRows``.
+    Either is raised to a ``MOST_HOT``-th of all rows, so that the hot keys stay few at any size.
     ``None`` is for keys whose size is bounded by construction (one chunk, one text). An earlier
     result is passed through: it stays useful for tables derived from ``df`` with about as many
     rows per key and positions in the same range (and right for any)."""
@@ -78,16 +91,18 @@ def measure(
         return hot_rows
     if hot_rows is None:
         return NO_HOT
-    if hot_rows == HOT_ROWS:
+    if isinstance(hot_rows, SessionLimit):
         hot_rows = int(df.sparkSession.conf.get(HOT_ROWS_SETTING, str(HOT_ROWS)))
     names = [f"_h{i}" for i in range(len(keys))]
     rows = df.select(
         *[F.col(k).alias(n) for k, n in zip(keys, names)], F.col(pos).cast("double").alias("_pos")
     )
-    counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_hn")).where(F.col("_hn") > hot_rows)
-    if counts.isEmpty():
+    counts = rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_hn"))
+    most, total = counts.agg(F.max("_hn"), F.sum("_hn")).first()
+    hot_rows = max(hot_rows, (total or 0) // MOST_HOT)
+    if (most or 0) <= hot_rows:
         return NO_HOT
-    found = counts.select(*[F.col(n).alias(f"{n}k") for n in names])
+    found = counts.where(F.col("_hn") > hot_rows).select(*[F.col(n).alias(f"{n}k") for n in names])
     pairs = [(n, f"{n}k") for n in names]
     of_hot = rows.join(F.broadcast(found), null_safe(rows, found, pairs), "left_semi")
     points = [i / CELLS for i in range(CELLS + 1)]
@@ -399,15 +414,8 @@ def _slice_entries(sliced, keys, order, machine, pos, force) -> DataFrame:
     columns = list(dict.fromkeys([*group, *sliced.columns]))
 
     def transitions(batches):
-        key, rows = None, []
-        for row in rows_of(batches, columns):
-            here = tuple(row[c] for c in group)
-            if here != key:
-                if key is not None:
-                    yield _table_batch(key, transition_table(machine, rows, pos, force), table_schema)
-                key, rows = here, []
-            rows.append(row)
-        if key is not None:
+        # A group has the slice besides a key, so the getter gives tuples.
+        for key, rows in groupby(rows_of(batches, columns), itemgetter(*group)):
             yield _table_batch(key, transition_table(machine, rows, pos, force), table_schema)
 
     tables = _sorted_groups(hot, group, order).mapInArrow(transitions, table_schema)
@@ -459,7 +467,7 @@ def _table_batch(key, table, schema) -> pa.RecordBatch:
     )
 
 
-def transition_table(machine: Machine, rows: list[dict], pos: str, force: str | None):
+def transition_table(machine: Machine, rows: Iterable[dict], pos: str, force: str | None):
     """Where each possible starting state of a slice ends up: a list of
     ``(tag, upto, exit_tag, exit_wake)``. Per tag an entry covers wakes in ``(previous upto, upto]``;
     wakes beyond the last entry leave the slice unchanged.

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from speechframe.functions.ids import parse_object_key
 from speechframe.operators.audio import audio_info
-from speechframe.schema import CLIPS, DLQ, LOGS, PROBE, RESPONSE
+from speechframe.schema import CLIPS, DLQ, PROBE, RESPONSE
 
 
 def audio_objects(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -27,15 +27,19 @@ def owned_objects(objects: DataFrame, prefix: str) -> DataFrame:
     return objects.withColumn("_k", ids).select("*", "_k.*").drop("_k")
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation clips of JSON lines; ``audio`` is resolved against the file's directory."""
-    folder = F.regexp_replace(F.col("_metadata.file_path"), "/[^/]*$", "")
-    return (
-        spark.read.schema(CLIPS)
-        .json(path)
-        .withColumn("audio", F.concat(folder, F.lit("/"), F.col("audio")))
-        .where(F.col("id").isNotNull())
+def manifest(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Evaluation clips of JSON lines: ``(clips, rejects)``. ``audio`` is resolved against the
+    file's directory. Lines that are no JSON of a clip, or have no id, are rejects ``(file, line)``;
+    blank lines are neither."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    clip = F.from_json("value", f"{CLIPS}, _bad string", {"columnNameOfCorruptRecord": "_bad"})
+    rows = lines.where(F.trim("value") != "").select("file", "value", clip.alias("_c"))
+    complete = F.col("_c._bad").isNull() & F.col("_c.id").isNotNull()
+    folder = F.regexp_replace("file", "/[^/]*$", "")
+    clips = rows.where(complete).select(
+        "_c.id", F.concat(folder, F.lit("/"), F.col("_c.audio")).alias("audio"), "_c.reference", "_c.tags"
     )
+    return clips, rows.where(~complete).select("file", F.col("value").alias("line"))
 
 
 def log_lines(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -125,5 +129,3 @@ def dead_letters(spark: SparkSession, path: str, count: int) -> DataFrame:
     """The oldest ``count`` dead letters."""
     return spark.read.schema(DLQ).json(path).orderBy("id").limit(count)
 
-
-LOG_COLUMNS = LOGS

@@ -16,10 +16,20 @@ def write_json(df: DataFrame, path: str, *, mode: str = "append") -> None:
 
 
 def write_documents(
+    documents: DataFrame, path: str, *, key: str = "recording_id", mode: str = "append", buckets: int = 64
+) -> None:
+    """Rows ``(key, part, body)`` in ``buckets`` directories by a hash of the key, so the number of
+    files doesn't grow with the recordings and one recording is found in one directory."""
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    rows = documents.select(key, "part", "body", bucket)
+    rows.hint("rebalance", "bucket").write.mode(mode).partitionBy("bucket").parquet(path)
+
+
+def export_documents(
     documents: DataFrame, path: str, *, key: str = "recording_id", mode: str = "append"
 ) -> None:
-    """One directory per recording; the parts of a long one are lines of separate files in
-    order of their names. The last line break is the writer's own."""
+    """Text files for small exports, one directory per recording; the parts of a long one are
+    lines of separate files in order of their names. The last line break is the writer's own."""
     body = F.regexp_replace("body", r"\n\z", "")
     documents.select(key, "part", body.alias("value")).write.mode(mode).partitionBy(
         key, "part"

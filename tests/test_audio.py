@@ -258,8 +258,10 @@ def test_incremental_runs_skip_finished_chunks(spark, folder, tmp_path):
 
 def test_readers(spark, tmp_path):
     lines = [{"id": "a", "audio": "x/a.wav", "reference": "ref", "tags": ["t"]}, {"id": "b", "audio": "b.wav", "reference": "", "tags": []}]
-    (tmp_path / "m.jsonl").write_text(json.dumps(lines[0]) + "\n\n" + json.dumps(lines[1]) + "\n")
-    got = readers.manifest(spark, str(tmp_path / "m.jsonl")).orderBy("id").collect()
+    (tmp_path / "m.jsonl").write_text(json.dumps(lines[0]) + "\n\n" + json.dumps(lines[1]) + "\n{broken\n" + '{"audio":"c.wav"}\n')
+    clips, rejects = readers.manifest(spark, str(tmp_path / "m.jsonl"))
+    got = clips.orderBy("id").collect()
+    assert sorted(r.line for r in rejects.collect()) == ['{"audio":"c.wav"}', "{broken"]
     assert [r.id for r in got] == ["a", "b"] and got[0].audio.endswith(f"{tmp_path}/x/a.wav")
     (tmp_path / "log.json").write_text('{"ts":"2024-05-01T10:00:00.123+00:00","level":"info","logger":"l","msg":"m","job_id":"j","n":3}\nnot json\n')
     log = readers.read_logs(spark, str(tmp_path / "log.json")).where("level IS NOT NULL").first()
@@ -277,7 +279,10 @@ def test_readers(spark, tmp_path):
 
 def test_sinks(spark, tmp_path):
     docs = spark.createDataFrame([("r", 0, "WEBVTT\n\n"), ("s", 0, "a\n\nb\n\n"), ("s", 1, "c\n")], "recording_id string, part bigint, body string")
-    sinks.write_documents(docs, str(tmp_path / "out"))
+    sinks.write_documents(docs, str(tmp_path / "rows"), buckets=4)
+    rows = spark.read.parquet(str(tmp_path / "rows")).select("recording_id", "part", "body")
+    assert sorted(map(tuple, rows.collect())) == sorted(map(tuple, docs.collect()))
+    sinks.export_documents(docs, str(tmp_path / "out"))
     text = {p.parent.name + p.parent.parent.name: p.read_text() for p in (tmp_path / "out").rglob("*.txt")}
     assert text["part=0recording_id=r"] == "WEBVTT\n\n" and text["part=0recording_id=s"] == "a\n\nb\n\n"
     schema = "job_id string, idx int, engine string, ts int"
