@@ -140,6 +140,39 @@ def transcribe_recordings(
     return led.unionByName(transcribe_chunks(rest, engine_factory, **options))
 
 
+class Failover:
+    """An engine with a second one behind it and a breaker between: a chunk that the first is
+    unavailable for goes to the second at once, without a retry. After ``threshold`` of these in a
+    row the first is left alone for ``reset_s``; then one chunk is its trial. Any other failure
+    shows that the first is there, and stays the chunk's own.
+
+    Built by :func:`transcribe_chunks` once per task, so every task has a breaker of its own. Rows
+    name the engine that answered; errors are under the first one's name."""
+
+    def __init__(
+        self, primary: Engine, second: Engine, *, threshold: int = 3, reset_s: float = 60.0,
+        clock: Callable[[], float] = time.monotonic,
+    ):
+        self.primary, self.second, self.name = primary, second, primary.name
+        self.threshold, self.reset_s, self.clock = threshold, reset_s, clock
+        self.failures, self.retry_at = 0, 0.0
+
+    def transcribe(self, audio: np.ndarray, **options) -> dict:
+        if self.failures < self.threshold or self.clock() >= self.retry_at:
+            try:
+                found = self.primary.transcribe(audio, **options)
+            except EngineFailure as failure:
+                if failure.code != "asr_engine_unavailable":
+                    self.failures = 0
+                    raise
+                self.failures += 1
+                self.retry_at = self.clock() + self.reset_s
+            else:
+                self.failures = 0
+                return {"engine": self.primary.name, **found}
+        return {"engine": self.second.name, **self.second.transcribe(audio, **options)}
+
+
 def with_fallback(
     chunks: DataFrame, primary: DataFrame, fallback_factory: Callable[[], Engine], **options
 ) -> DataFrame:

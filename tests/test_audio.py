@@ -211,6 +211,31 @@ def test_language_pin_and_fallback(spark):
     assert len(both) == 4 and {r.engine for r in both} == {"spare"}
 
 
+    def guarded():
+        return engine.Failover(Fake(fail=(99, "asr_engine_unavailable")), Spare())
+
+    rows = engine.transcribe_chunks(cut_chunks(spark), guarded).collect()
+    assert len(rows) == 4 and {(r.engine, r.error_code, r.attempts) for r in rows} == {("spare", None, 1)}
+
+
+def test_failover_breaker():
+    now, ask = [0.0], {"language": None, "prompt": None, "word_timestamps": False}
+    audio_, first = np.zeros(160, np.float32), Fake(fail=(3, "asr_engine_unavailable"))
+    second = Fake()
+    second.name = "spare"
+    both = engine.Failover(first, second, threshold=2, reset_s=30, clock=lambda: now[0])
+    assert [both.transcribe(audio_, **ask)["engine"] for _ in range(4)] == ["spare"] * 4 and first.calls == 2
+    now[0] = 30.0  # the trial fails, and the first is left alone again
+    assert [both.transcribe(audio_, **ask)["engine"] for _ in range(2)] == ["spare"] * 2 and first.calls == 3
+    now[0] = 60.0
+    assert both.transcribe(audio_, **ask)["engine"] == "fake" and both.failures == 0
+    other = engine.Failover(Fake(fail=(9, "asr_engine_error", True)), second, threshold=2)
+    for _ in range(5):
+        with pytest.raises(engine.EngineFailure):
+            other.transcribe(audio_, **ask)
+    assert other.primary.calls == 5 and other.failures == 0
+
+
 def test_files_to_captions(spark, folder):
     blocks = audio.decode_blocks(audio.pcm_layouts(files(spark, folder)), block_samples=RATE)
     regions = audio.detect_regions(blocks)
