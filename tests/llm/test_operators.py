@@ -490,6 +490,30 @@ def test_rules(spark):
     assert rules.apply_rules(docs.limit(0)).collect() == []
 
 
+def test_rules_see_every_byte():
+    import base64
+
+    import zstandard
+
+    compressor = zstandard.ZstdCompressor(level=3)
+    random.seed(11)
+    raw = base64.b64encode(random.randbytes(20_000)).decode()
+    syllables = [a + b for a in "bdfgklmnprstv" for b in "aeiou"]
+    lexicon = ["".join(random.choices(syllables, k=random.randint(1, 4))) for _ in range(900)]
+    clean = " ".join(random.choices(lexicon, k=3000))
+
+    def junk(size, width=8):
+        return " ".join(raw[i : i + width] for i in range(0, len(raw), width))[:size]
+
+    for good, bad in ((4096, 4090), (1500, 2500), (1000, 1500), (0, 460), (0, 739), (0, 5000), (8192, 8000)):
+        found = rules.judge(clean[:good] + junk(bad), compressor)
+        assert not found[5] and not found[6] and found[10] in ("chunks", "incompressible"), (good, bad, found)
+    for size in (600, 1000, 3000, 4096, 4097, 5000, 16_000):
+        assert rules.judge(clean[:size], compressor)[6], size
+    # A fifth of garbage is below the share, whether the last chunk reaches back or not.
+    assert rules.judge(clean[:4097] + junk(1024), compressor)[6]
+
+
 # --- helpers ---------------------------------------------------------------------------------
 
 
