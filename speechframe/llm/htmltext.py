@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -38,14 +39,24 @@ DROPPED = RAW | frozenset(
     "nav footer aside form button select option head svg canvas object audio video dialog menu "
     "fieldset label".split()
 )
-#: Words of class, id and role that mark what isn't the article.
-BOILERPLATE = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|advert|adverts|advertisement|adsense|banner|breadcrumb|breadcrumbs|"
-    r"comment|comments|consent|cookie|cookies|disclaimer|disqus|footer|gdpr|hidden|masthead|menu|"
-    r"modal|nav|navbar|navigation|newsletter|notice|overlay|pagination|pager|popup|promo|promoted|"
-    r"recommended|related|replies|reply|share|sharing|sidebar|signup|social|sponsor|sponsored|"
-    r"subscribe|subscription|toolbar|widget)(?=$|[\s_-])"
+#: Words of class, id and role that mark what isn't the article. A name marks it if all its parts are
+#: among these or the FILLERS ("cookie-notice", "site-footer"); parts with another meaning ("no-comments",
+#: "with-sidebar", "related-work", "share-price") make it another name.
+BOILERPLATE = frozenset(
+    "ad ads advert adverts advertisement adsense banner breadcrumb breadcrumbs comment comments "
+    "consent cookie cookies disclaimer disqus footer gdpr hidden masthead menu modal nav navbar "
+    "navigation newsletter notice overlay pagination pager popup promo promoted recommended related "
+    "replies reply share sharing sidebar signup social sponsor sponsored subscribe subscription "
+    "toolbar widget".split()
 )
+#: Of them, what readers wrote: often longer than the article.
+READERS = frozenset("comment comments disqus replies reply".split())
+FILLERS = frozenset(
+    "site page main top bottom left right primary secondary global list section area container "
+    "wrapper wrap box block bar button buttons link links inner outer slot unit form posts articles "
+    "stories items post entry icon icons thread module".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTAINERS = frozenset("article main section div td body".split())
 #: Weight of a container's tag in its page's score.
 WEIGHT = {"article": 1.5, "main": 1.25}
@@ -55,23 +66,52 @@ _TOKEN = re.compile(
     r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_NONE = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+_PARTS = re.compile(r"[-_]+")
+
+
+def attributes_of(raw: str) -> dict[str, str]:
+    """The attributes of a start tag; of repeated ones the first counts."""
+    found: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(raw):
+        value = m[2] or m[3] or m[4] or ""
+        found.setdefault(m[1].lower(), html.unescape(value) if "&" in value else value)
+    return found
+
+
+def boilerplate_words(names: str) -> set[str]:
+    """The words by which names mark what isn't the article; none if no name does."""
+    words: set[str] = set()
+    for name in names.lower().split():
+        parts = {x for x in _PARTS.split(name) if x and not x.isdigit()}
+        if parts <= BOILERPLATE | FILLERS:
+            words |= parts & BOILERPLATE
+    return words
 
 
 class Element:
-    __slots__ = ("tag", "path", "dropped", "parts", "score", "linked")
+    __slots__ = ("tag", "path", "dropped", "named", "readers", "parent", "size", "links", "score", "linked")
 
-    def __init__(self, tag: str, path: str, dropped: bool):
-        self.tag, self.path, self.dropped = tag, path, dropped
+    def __init__(self, tag: str, path: str, dropped: bool, words: set[str], parent: Element | None):
+        self.tag, self.path, self.dropped, self.parent = tag, path, dropped, parent
+        self.named = bool(words)  # by its names it isn't the article
+        self.readers = bool(words & READERS)
+        self.size = self.links = 0  # characters of its text, of them inside links
         self.score = 0.0  # characters of text that count for it
         self.linked = 0.0  # of them, inside links
 
 
-def page_blocks(page: str) -> tuple[list[tuple[str, tuple[Element, ...]]], list[Element]]:
+class Block(NamedTuple):
+    text: str
+    linked: int
+    around: tuple[Element, ...]  # all containers and named elements, outermost first
+
+
+def page_blocks(page: str) -> tuple[list[Block], list[Element]]:
     """The page's blocks of text outside dropped elements, each with the containers around it, and
     all containers, in page order. Unclosed, misnested and cut-off markup is accepted."""
-    blocks: list[tuple[str, tuple[Element, ...]]] = []
+    blocks: list[Block] = []
     containers: list[Element] = []
     stack: list[Element] = []
     text: list[str] = []
@@ -82,14 +122,9 @@ def page_blocks(page: str) -> tuple[list[tuple[str, tuple[Element, ...]]], list[
         nonlocal linked
         joined = " ".join("".join(text).split())
         text.clear()
-        if joined and not (stack and stack[-1].dropped):
-            around = tuple(e for e in stack if e.tag in CONTAINERS)
-            blocks.append((joined, around))
-            share = 1.0
-            for element in reversed(around):
-                element.score += share * len(joined)
-                element.linked += share * min(linked, len(joined))
-                share *= 0.5  # a text counts half for each container further out
+        if joined:
+            around = tuple(e for e in stack if e.tag in CONTAINERS or e.named)
+            blocks.append(Block(joined, min(linked, len(joined)), around))
         linked = 0
 
     def pop_to(depth: int) -> None:
@@ -144,41 +179,90 @@ def page_blocks(page: str) -> tuple[list[tuple[str, tuple[Element, ...]]], list[
                     break
             flush()
             links = sum(e.tag == "a" for e in stack)
-        attributes = found[3]
-        names = kept_class = ""
-        for m in _ATTRIBUTE.finditer(attributes):
-            value = (m[2] or m[3] or m[4] or "").lower()
-            names += " " + value
-            if m[1].lower() == "class":
-                kept_class = value
+        attributes = attributes_of(found[3]) if found[3] else {}
         parent = stack[-1] if stack else None
         inside = any(e.tag in ("article", "main") for e in stack)
+        words: set[str] = set()
+        if attributes and tag in BLOCK and tag not in ("html", "body"):
+            names = [attributes.get("class", ""), attributes.get("role", "")]
+            if tag not in HEADINGS:  # the ids of headings say what they are about
+                names.append(attributes.get("id", ""))
+            words = boilerplate_words(" ".join(names))
         dropped = (
             (parent is not None and parent.dropped)
             or tag in DROPPED
             or (tag == "header" and not inside)
-            or (tag not in ("html", "body") and BOILERPLATE.search(names) is not None)
-            or (bool(attributes) and _HIDDEN.search(attributes) is not None)
+            or "hidden" in attributes
+            or attributes.get("aria-hidden", "").strip().lower() == "true"
+            or _NONE.search(attributes.get("style", "")) is not None
         )
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if attributes.rstrip().endswith("/") and tag not in BLOCK:
+        if found[3].rstrip().endswith("/") and tag not in BLOCK:
             continue
         # Numbers in classes differ from page to page.
-        classes = ".".join(sorted(re.sub(r"\d+", "#", kept_class).split()))
+        classes = ".".join(sorted(re.sub(r"\d+", "#", attributes.get("class", "").lower()).split()))
         step = f"{tag}.{classes}" if classes else tag
-        above = next((e.path for e in reversed(stack) if e.tag in CONTAINERS), "")
+        holder = next((e for e in reversed(stack) if e.tag in CONTAINERS), None)
+        above = holder.path if holder else ""
         path = f"{above}>{step}" if tag in CONTAINERS else above
-        element = Element(tag, path, dropped)
+        element = Element(tag, path, dropped, words, holder)
         stack.append(element)
         if tag == "a":
             links += 1
         if tag in CONTAINERS and not dropped:
             containers.append(element)
     flush()
-    return blocks, containers
+    unname_wrappers(blocks)
+    kept = [b for b in blocks if not any(e.named for e in b.around)]
+    for block in kept:
+        share = 1.0
+        for element in reversed(block.around):
+            if element.tag not in CONTAINERS:
+                continue
+            element.size += len(block.text)
+            element.links += block.linked
+            element.score += share * len(block.text)
+            element.linked += share * block.linked
+            share *= 0.5  # a text counts half for each container further out
+    return kept, containers
+
+
+def unname_wrappers(blocks: list[Block]) -> None:
+    """Names of layouts ("sidebar") also stand on elements around the article or nearly all text, which
+    are no boilerplate then. Readers' words are, unless there is nothing else."""
+    while any(e.named for b in blocks for e in b.around):
+        outside = inside = 0  # characters outside named elements; of them, in article or main
+        sizes: dict[Element, int] = {}
+        articles: dict[Element, dict[Element, int]] = {}
+        for text, _, around in blocks:
+            first = next((i for i, e in enumerate(around) if e.named), None)
+            semantic = next((e for e in around if e.tag in ("article", "main")), None)
+            if first is None:
+                outside += len(text)
+                inside += len(text) * (semantic is not None)
+                continue
+            sizes[around[first]] = sizes.get(around[first], 0) + len(text)
+            held = next((e for e in around[first:] if e.tag in ("article", "main")), None)
+            if held is not None:
+                own = articles.setdefault(around[first], {})
+                own[held] = own.get(held, 0) + len(text)
+        wrappers = []
+        for element, size in sizes.items():
+            if element.readers:
+                wraps = not outside and len(sizes) == 1
+            elif element in articles:
+                wraps = max(articles[element].values()) > outside
+            else:
+                wraps = size > (9 if inside else 3) * outside
+            if wraps:
+                wrappers.append(element)
+        if not wrappers:
+            return
+        # One at a time, the one with most text: the others are seen beside it then.
+        max(wrappers, key=sizes.__getitem__).named = False
 
 
 def container_score(element: Element) -> float:
@@ -205,7 +289,7 @@ def extract(page: str | None, path: str | None) -> str:
     blocks, containers = page_blocks(page)
 
     def at(wanted: str | None) -> str:
-        return "\n".join(b for b, around in blocks if any(e.path == wanted for e in around))
+        return "\n".join(b.text for b in blocks if any(e.path == wanted and e.tag in CONTAINERS for e in b.around))
 
     found = at(path) if path else ""
     if found:
@@ -213,7 +297,7 @@ def extract(page: str | None, path: str | None) -> str:
     best = max(containers, key=container_score, default=None)
     if best is not None and container_score(best) > 0:
         return at(best.path)
-    return "\n".join(b for b, _ in blocks)
+    return "\n".join(b.text for b in blocks)
 
 
 def host_of(url):

@@ -451,6 +451,31 @@ def test_main_text(spark):
     assert htmltext.main_text(table.limit(0)).collect() == []
 
 
+LONG = "A sentence of the article that says something, and some more of it after the comma. " * 6
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        ("<article><p>One two.</p><section id='related-work'><h2>Related work</h2><p>Three.</p></section></article>", "One two.|Related work|Three."),
+        ("<article><p>One two.</p><h2 id='comments'>Comments</h2><p>Three.</p></article>", "One two.|Comments|Three."),
+        ("<article><div id='social-history'><p>Three.</p></div><p>Four</p></article>", "Three.|Four"),
+        ("<article><p>One <span class='share-price'>12</span> two.</p><p class='share-price'>3</p></article>", "One 12 two.|3"),
+        ("<article><p>One <a class='related' href='x'>two</a> three.</p></article>", "One two three."),
+        ("<article class='post no-comments'><p>One two.</p></article>", "One two."),
+        ("<div class='content with-sidebar'><article><p>One two.</p></article></div>", "One two."),
+        ("<div class='sidebar'><article><p>One two.</p><div class='comments'>No no no no no no</div></article></div>", "One two."),
+        (f"<div id='page' class='sidebar-right'><p>{LONG}</p><div class='sidebar'>Side</div></div>", LONG.strip()),
+        (f"<article><p>One.</p></article><div class='comment-list'><p>{LONG}</p></div>", "One."),
+        ("<article><p title='a hidden gem in town'>One <a title='hidden'>two</a>.</p></article>", "One two."),
+        ("<article><p>One.</p><p hidden>Two.</p><p style='color:red; display: none'>3</p><p aria-hidden=true>4</p></article>", "One."),
+        ("<article><p>One <b hidden>x<p>Two.</p></b></p></article>", "One|Two."),
+    ],
+)
+def test_names_drop_no_article_text(page, wanted):
+    assert htmltext.extract(f"<html><body>{page}</body></html>", None) == wanted.replace("|", "\n")
+
+
 # --- rules -----------------------------------------------------------------------------------
 
 
