@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
 import pandas as pd
@@ -60,6 +60,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 CONTAINERS = frozenset("article main section div td body".split())
 #: Weight of a container's tag in its page's score.
 WEIGHT = {"article": 1.5, "main": 1.25}
+#: Below this share of a page's text, the path of its host isn't taken.
+MINOR = 1 / 3
 
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<[!?][^>]*(?:>|\Z)|"
@@ -282,22 +284,70 @@ def best_path(page: str | None) -> tuple[str | None, float]:
     return (best.path, score) if score > 0 else (None, 0.0)
 
 
+def widened(element: Element, size: int, links: int) -> Element:
+    """The container of the whole article around one of ``size`` characters: an article, a main if
+    most of what it adds isn't links, or else the outermost one that adds no more text than there is and
+    not mostly links."""
+    around = [element]
+    while around[-1].parent is not None:
+        around.append(around[-1].parent)
+    article = next((e for e in reversed(around) if e.tag == "article"), None)
+    if article is not None:
+        return article
+    main = next((e for e in reversed(around) if e.tag == "main"), None)
+    if main is not None and 2 * (main.links - links) <= main.size - size:
+        return main
+    best = element
+    for e in around[1 : around.index(main) if main else None]:
+        if e.size <= size:
+            continue
+        if e.size - size > size or 2 * (e.links - links) > e.size - size:
+            break
+        if e.size > best.size:
+            best = e
+    return best
+
+
 def extract(page: str | None, path: str | None) -> str:
-    """Text of the containers at ``path``; of the page's own best path if it has none there."""
+    """Text of the containers at ``path``, widened to the whole article; of the page's own best container
+    if there is none at ``path``, or if a minor share of the page's text is."""
     if not page:
         return ""
     blocks, containers = page_blocks(page)
 
-    def at(wanted: str | None) -> str:
-        return "\n".join(b.text for b in blocks if any(e.path == wanted and e.tag in CONTAINERS for e in b.around))
+    def roots(found: Iterable[Element]) -> set[Element]:
+        """Whole articles. Neighbours at one path are seen together."""
+        found = set(found)
+        size: dict[Element, list[int]] = {}
+        for block in blocks:
+            if any(e in found for e in block.around):
+                for e in block.around:
+                    sums = size.setdefault(e, [0, 0])
+                    sums[0] += len(block.text)
+                    sums[1] += block.linked
+        out = set()
+        for e in found:
+            if e not in size:
+                continue
+            above = e if e.parent is None else e.parent
+            together = size.get(above, size[e]) if len(found) > 1 else size[e]
+            out.add(widened(e, *together))
+        return out
+
+    def text(chosen: set[Element]) -> list[str]:
+        return [b.text for b in blocks if any(e in chosen for e in b.around)]
 
-    found = at(path) if path else ""
-    if found:
-        return found
     best = max(containers, key=container_score, default=None)
-    if best is not None and container_score(best) > 0:
-        return at(best.path)
-    return "\n".join(b.text for b in blocks)
+    own = roots([best]) if best is not None and container_score(best) > 0 else set()
+    voted = roots(e for e in containers if e.path == path) if path else set()
+    if voted:
+        found = text(voted)
+        # Long talk below a short article doesn't outvote the article.
+        loose = not any(e.tag in ("article", "main") for e in voted) or any(e.tag == "article" for e in own)
+        share = sum(map(len, found)) / sum(len(b.text) for b in blocks)
+        if not own or share >= MINOR or not loose:
+            return "\n".join(found)
+    return "\n".join(text(own) if own else [b.text for b in blocks])
 
 
 def host_of(url):

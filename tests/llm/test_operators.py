@@ -476,6 +476,25 @@ def test_names_drop_no_article_text(page, wanted):
     assert htmltext.extract(f"<html><body>{page}</body></html>", None) == wanted.replace("|", "\n")
 
 
+def test_whole_articles_around_the_voted_path(spark):
+    text = LONG.strip()
+    wrapped = f"<article><h1>Head</h1><p class=lead>Lead.</p><div class=entry-content><p>{LONG}</p><p>{LONG}</p></div></article>"
+    divs = f"<div class=post><h1>Head</h1><div class=entry><p>{LONG}</p></div><div class=links><a href=x>{LONG * 2}</a></div></div>"
+    two = f"<article><div class=part-a><p>{LONG}</p></div><div class=part-b><p>Rest.</p></div></article>"
+    other = f"<div class=post><div class=teaser>Short.</div></div><div class=story><p>{LONG}</p><p>{LONG}</p></div>"
+    teaser = "<div class=post><div class=teaser>The whole article of this page.</div></div>"
+    pages = [(1, "a", wrapped), (2, "b", divs.replace("<div class=links>", "<div class=more>")), (3, "c", two)]
+    pages += [(10, "d", other), *[(i, "d", teaser) for i in (11, 12)]]
+    rows = [(i, f"http://{host}.org/{i}", f"<html><body>{body}</body></html>") for i, host, body in pages]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string")
+    found = {r["page_id"]: r["text"] for r in htmltext.main_text(table).collect()}
+    assert found[1] == f"Head\nLead.\n{text}\n{text}" and found[3] == f"{text}\nRest."
+    assert found[10].endswith(f"{text}\n{text}") and found[11] == "The whole article of this page."
+    lead = f"<div class=post><h1>Head</h1><p>Lead.</p><div class=entry><p>{LONG}</p></div></div>"
+    assert htmltext.extract(lead, ">div.post>div.entry") == f"Head\nLead.\n{text}"
+    assert htmltext.extract(divs, ">div.post>div.entry") == text
+
+
 # --- rules -----------------------------------------------------------------------------------
 
 
