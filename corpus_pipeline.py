@@ -31,11 +31,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their ids and places in sequences of at most 2048 ids."""
+    """Pieces of the documents and their places in training sequences of at most 2048 ids. ``input_ids``,
+    the sequence itself, is on the row of its first piece (offset 0), NULL on the others."""
     configure(spark)
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
-    pieces = packing.cut_pieces(docs, tokenizer, capacity=2048, end_id=1, ids=False)
-    return packing.pack(pieces, capacity=2048)
+    pieces = packing.cut_pieces(docs, tokenizer, capacity=2048, end_id=1, ids=False, packed=True)
+    return packing.assemble(pieces, capacity=2048)
 
 
 STAGES = [

@@ -10,11 +10,14 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
 
+from speechframe.llm import common
 from speechframe.llm.common import number_rows, tidy
 
 #: Words a worker remembers with their ids; beyond it, it starts afresh (results don't change).
@@ -97,20 +100,27 @@ def word_encoder(path: str) -> WordEncoder:
 
 
 def cut_pieces(
-    docs: DataFrame, tokenizer: str, *, capacity: int = 2048, end_id: int = 1, ids: bool = True
+    docs: DataFrame,
+    tokenizer: str,
+    *,
+    capacity: int = 2048,
+    end_id: int = 1,
+    ids: bool = True,
+    packed: bool = False,
 ) -> DataFrame:
     """Documents (doc_id, text) to pieces of at most ``capacity`` ids.
 
-    (doc_id, start, length, ids_crc32, doc_tokens[, ids]): a document's ids and ``end_id``, cut
+    (doc_id, start, length, ids_crc32, doc_tokens[, ids][, packed]): a document's ids and ``end_id``, cut
     every ``capacity`` ids; ``start`` counts its ids before the piece. NULL and empty texts are
     one piece with the end id alone; a NULL doc_id stays NULL; repeated rows give repeated pieces.
-    ``ids=False`` leaves the ids out (placements only).
+    ``ids=False`` leaves the ids out (placements only); ``packed`` adds them as compressed bytes.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     end = np.asarray([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = word_encoder(tokenizer)
+        compress = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -120,12 +130,15 @@ def cut_pieces(
                 for start in range(0, total, capacity):
                     piece = data[4 * start : 4 * (start + capacity)]
                     row = (doc_id, start, len(piece) // 4, zlib.crc32(piece), total)
-                    rows.append((*row, np.frombuffer(piece, "<u4").astype("i4")) if ids else row)
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * ids]
+                    if ids:
+                        row = (*row, np.frombuffer(piece, "<u4").astype("i4"))
+                    rows.append((*row, compress(piece)) if packed else row)
+            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * ids, *["packed"] * packed]
             out = pd.DataFrame(rows, columns=names)
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
 
-    return docs.select("doc_id", "text").mapInPandas(tidy(cut), schema + ", ids array<int>" * ids)
+    schema += ", ids array<int>" * ids + ", packed binary" * packed
+    return docs.select("doc_id", "text").mapInPandas(tidy(cut), schema)
 
 
 def pack_histogram(
@@ -242,3 +255,77 @@ def sequences(placed: DataFrame, *, capacity: int = 2048, pad_id: int = 0) -> Da
     return joined.select(
         "sequence_id", ids.alias("ids"), F.transform("p", lambda x: x["offset"]).alias("doc_starts")
     ).select("sequence_id", F.concat("ids", fill).alias("input_ids"), "doc_starts", n.cast(LongType()).alias("n_tokens"))
+
+
+def assemble(pieces: DataFrame, *, capacity: int = 2048, pad_id: int = 0, ids: bool = True) -> DataFrame:
+    """Pieces with ``packed`` ids (:func:`cut_pieces`) packed and put together to sequences.
+
+    All pieces with their places (:func:`pack`), without ``packed``, and (n_tokens, in_place[, input_ids]):
+    the ids of the piece's sequence without padding; whether the sequence, read at the piece's place, has
+    the piece's checksum; and the sequence itself, padded as in :func:`sequences`, on the row of its first
+    piece (offset 0) and NULL on the others, so that ``input_ids IS NOT NULL`` gives every sequence once and
+    the other rows its bounds. ``ids=False`` assembles and checks, but leaves ``input_ids`` out.
+
+    Pieces are written down once, with a number of their own, and only their lengths are sorted for packing.
+    A sequence has at most ``capacity`` pieces, so no task gathers more than that.
+    """
+    key = "__piece"
+    keyed = common.cut(pieces.withColumn(key, F.monotonically_increasing_id()))
+    placed = pack(keyed.drop("packed"), capacity=capacity)
+    joined = placed.join(keyed.select(key, "packed"), key).drop(key)
+    dealt = joined.repartition("sequence_id").sortWithinPartitions("sequence_id", "offset")
+    schema = StructType([f for f in joined.schema if f.name != "packed"])
+    schema = schema.add("n_tokens", LongType()).add("in_place", BooleanType())
+    if ids:
+        schema = schema.add("input_ids", ArrayType(IntegerType()))
+    pad = np.asarray([pad_id], dtype="<i4").tobytes()
+
+    def whole(rows: pa.Table, decompress) -> pa.Table:
+        """Rows of whole sequences."""
+        numbers, offsets, lengths, sums = (
+            rows[c].to_numpy() for c in ("sequence_id", "offset", "length", "ids_crc32")
+        )
+        data = [decompress(x) for x in rows["packed"].to_pylist()]
+        begins = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+        first = np.zeros(len(numbers), dtype=bool)
+        right = np.zeros(len(numbers), dtype=bool)
+        totals = np.zeros(len(numbers), dtype="int64")
+        padded = []
+        for a, b in zip(begins, begins[1:]):
+            sequence = b"".join(data[a:b])
+            n = len(sequence) // 4
+            first[a], totals[a:b] = True, n
+            for i in range(a, b):
+                piece = sequence[4 * offsets[i] : 4 * (offsets[i] + lengths[i])]
+                right[i] = n <= capacity and len(piece) == 4 * lengths[i] and zlib.crc32(piece) == sums[i]
+            padded.append(sequence if n & (n - 1) == 0 else sequence + pad * (capacity - n))
+        out = rows.drop_columns("packed")
+        out = out.append_column("n_tokens", pa.array(totals)).append_column("in_place", pa.array(right))
+        if not ids:
+            return out
+        sizes = np.zeros(len(numbers) + 1, dtype="int32")
+        sizes[1:][first] = [len(x) // 4 for x in padded]
+        lists = pa.ListArray.from_arrays(
+            pa.array(np.cumsum(sizes, dtype="int32")),
+            pa.array(np.frombuffer(b"".join(padded), "<i4")),
+            mask=pa.array(~first),
+        )
+        return out.append_column("input_ids", lists)
+
+    def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decompress = zstandard.ZstdDecompressor().decompress
+        held = None  # rows of a sequence that may go on in the next batch
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            rows = rows if held is None else pa.concat_tables([held, rows])
+            if not rows.num_rows:
+                continue
+            numbers = rows["sequence_id"].to_numpy()
+            last = int(np.searchsorted(numbers, numbers[-1]))
+            held = rows.slice(last)
+            if last:
+                yield from whole(rows.slice(0, last), decompress).combine_chunks().to_batches()
+        if held is not None and held.num_rows:
+            yield from whole(held, decompress).combine_chunks().to_batches()
+
+    return dealt.mapInArrow(tidy(put_together), schema)

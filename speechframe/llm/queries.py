@@ -51,11 +51,14 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, cut and packed into sequences of at most 2048 ids."""
+    """All documents, cut and packed into sequences of at most 2048 ids. The sequences are assembled, and
+    ``in_place`` tells whether each piece is found at its place there."""
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     docs = load(spark, sf_dir, "documents")
-    pieces = packing.cut_pieces(docs, tokenizer, capacity=CAPACITY, end_id=END_ID, ids=False)
-    return packing.pack(pieces, capacity=CAPACITY)
+    pieces = packing.cut_pieces(
+        docs, tokenizer, capacity=CAPACITY, end_id=END_ID, ids=False, packed=True
+    )
+    return packing.assemble(pieces, capacity=CAPACITY, ids=False)
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

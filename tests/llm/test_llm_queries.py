@@ -147,6 +147,20 @@ def test_pipeline(spark, table, result):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["quality classifier", "quality rules", "MinHash near-dedup", "packing"]
 
 
+def test_pipeline_gives_training_sequences(table, result):
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    docs = {d["doc_id"]: plain.encode(d["text"], add_special_tokens=False).ids + [1] for d in table("documents")}
+    rows = result("pipeline")
+    whole = {r["sequence_id"]: r["input_ids"] for r in rows if r["input_ids"] is not None}
+    assert rows and set(whole) == {r["sequence_id"] for r in rows}
+    for r in rows:
+        ids = whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+        assert ids == docs[r["doc_id"]][r["start"] : r["start"] + r["length"]] and r["in_place"]
+    assert all(r["in_place"] for r in result("op2_packing"))
+
+
 def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:

@@ -133,6 +133,25 @@ def test_packed_pieces_give_the_documents_back(spark):
     assert packing.pack(pieces.limit(0), capacity=64).collect() == []
 
 
+def test_assembled_sequences_hold_every_piece(spark):
+    random.seed(2)
+    rows = ODD + [(i, " ".join(random.choices("alpha beta gamma délta".split(), k=i))) for i in range(10, 120)]
+    rows += [((1 << 60) + 1, "long id")]
+    pieces = packing.cut_pieces(documents(spark, rows), WORDS, capacity=64, packed=True)
+    plain = collections.Counter((r["doc_id"], r["start"], tuple(r["ids"])) for r in pieces.collect())
+    got = packing.assemble(pieces.drop("ids"), capacity=64, pad_id=7).collect()
+    whole = {r["sequence_id"]: r["input_ids"] for r in got if r["input_ids"] is not None}
+    assert all((r["offset"] == 0) == (r["input_ids"] is not None) and r["in_place"] for r in got)
+    assert set(whole) == {r["sequence_id"] for r in got}
+    parts = [(r, whole[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]) for r in got]
+    assert plain == collections.Counter((r["doc_id"], r["start"], tuple(ids)) for r, ids in parts)
+    for r in got:
+        ids, n = whole[r["sequence_id"]], r["n_tokens"]
+        assert len(ids) == (n if n & (n - 1) == 0 else 64) and set(ids[n:]) <= {7}
+        assert n == sum(x["length"] for x in got if x["sequence_id"] == r["sequence_id"])
+    assert packing.assemble(pieces.drop("ids").limit(0), capacity=64).collect() == []
+
+
 # --- pieces ----------------------------------------------------------------------------------
 
 
