@@ -38,16 +38,24 @@ def dictionaries(
 ) -> dict[str, bytes]:
     """Raw dictionary content for each language of the rows (doc_id, text, lang) that ``learn``
     marks: the texts of ``max_docs`` documents for each language at most, chosen by a hash of
-    the text, each no longer than a fortieth of the dictionary, ``max_bytes`` in all. A bounded sample,
-    chosen over all rows; rows without text or language teach nothing; a text counts once."""
+    the text, ``max_bytes`` in all. A text longer than a fortieth of the dictionary gives an excerpt of
+    that size, at a place by its hash. A bounded sample, chosen over all rows of any length (predictions
+    read whole texts); rows without text or language teach nothing; a text counts once."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & (F.length(F.trim("text")) > 0))
-    keyed = rows.select("lang", F.xxhash64("text").alias("h"), F.octet_length("text").alias("n"))
+    keyed = rows.select("lang", F.xxhash64("text").alias("h"))
     # The least hash of each of max_docs classes: minima combine before the shuffle, and a language
     # with most of the rows spreads over its classes.
-    picked = keyed.filter(F.col("n") <= max_bytes // 40).groupBy("lang", F.pmod("h", F.lit(max_docs)).alias("r"))
+    picked = keyed.groupBy("lang", F.pmod("h", F.lit(max_docs)).alias("r"))
     picked = picked.agg(F.min("h").alias("h"))
+    # As many characters as a fortieth of the dictionary holds, at the text's mean bytes a character.
+    size = F.length("text").cast("bigint")
+    share = F.greatest(F.lit(1), F.call_function("div", size * (max_bytes // 40), F.octet_length("text")))
+    place = F.pmod(F.xxhash64("text", F.lit(1)), size - share + 1) + 1
+    excerpt = F.when(F.octet_length("text") <= max_bytes // 40, F.col("text")).otherwise(
+        F.substring("text", place.cast("int"), share.cast("int"))
+    )
     # At most max_docs rows for each language.
-    chosen = rows.select("lang", F.xxhash64("text").alias("h"), "text").join(
+    chosen = rows.select("lang", F.xxhash64("text").alias("h"), excerpt.alias("text")).join(
         F.broadcast(picked), ["lang", "h"]
     )
     texts = chosen.groupBy("lang", "h").agg(F.min("text").alias("text"), F.min("r").alias("r"))

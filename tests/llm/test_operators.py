@@ -234,6 +234,24 @@ def test_language_of_odd_rows(spark):
     assert langid.identify(docs.limit(0), contents).collect() == []
 
 
+def test_languages_of_long_texts_alone(spark):
+    random.seed(8)
+    syllables = {"xx": ["ka", "mo", "ri", "tu"], "yy": ["日本", "語の", "文章", "です"], "zz": ["schl", "ung", "eit"]}
+
+    def text(lang, words):
+        return " ".join("".join(random.choices(syllables[lang], k=3)) for _ in range(words))
+
+    rows = [(i, text(lang, 9000 if lang != "xx" else 40), lang) for i, lang in enumerate(["xx", "yy", "zz"] * 6)]
+    rows += [(100 + i, text(lang, 60), None) for i, lang in enumerate(["xx", "yy", "zz"] * 6)]
+    assert min(len(t.encode()) for _, t, lang in rows if lang in ("yy", "zz")) > langid.DICTIONARY_BYTES // 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    contents = langid.dictionaries(docs, F.col("lang").isNotNull())
+    assert set(contents) == {"xx", "yy", "zz"}
+    assert all(len(c) <= 6 * (langid.DICTIONARY_BYTES // 40 + 1) for c in contents.values())
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, contents).collect()}
+    assert all(found[100 + i] == ("xx", "yy", "zz")[i % 3] for i in range(18))
+
+
 # --- conversations ---------------------------------------------------------------------------
 
 
