@@ -65,15 +65,23 @@ def _div(number: Column, by: int) -> Column:
 
 def walk_length(spark: SparkSession, rows: int, seed: int) -> int:
     """How often the network has to be applied at most until every number lands below ``rows``:
-    the longest chain inside the few numbers from ``rows`` up, followed in Spark."""
+    the longest chain inside the few numbers from ``rows`` up, followed in Spark. Chains begin at the
+    numbers that no other of these leads to; a cycle among these has no beginning, and no number
+    below ``rows`` ever reaches it."""
     high, low = halves(rows)
-    steps, outside = 1, spark.range(rows, high * low).select("id")
-    while high * low > rows:
-        outside = outside.select(permute_once(F.col("id"), rows, seed).alias("id"))
-        outside = outside.filter(F.col("id") >= rows)
+    if high * low <= rows:
+        return 1
+
+    def follow(numbers: DataFrame) -> DataFrame:
+        found = numbers.select(permute_once(F.col("id"), rows, seed).alias("id"))
+        return found.filter(F.col("id") >= rows)
+
+    outside = spark.range(rows, high * low).select("id")
+    outside = outside.join(follow(outside), "id", "left_anti")
+    steps = 1
+    while not outside.isEmpty():
+        outside = follow(outside)
         steps += 1
-        if outside.isEmpty():
-            break
     return steps
 
 

@@ -61,6 +61,14 @@ def test_shards_follow_the_plain_form_whatever_the_layout(spark):
         assert (r["shard"], r["slot"]) == sharding.locate(r["row_number"], 1000, 24, seed=9)
 
 
+@pytest.mark.parametrize("rows, seed", [(3, 2024), (21, 2024), (5, 0), (703, 0), (100, 7), (257, 3)])
+def test_walks_end_where_cycles_lie_outside(spark, rows, seed):
+    steps = sharding.walk_length(spark, rows, seed)
+    number = sharding.permute(F.col("id"), rows, seed, steps)
+    placed = sorted(tuple(r) for r in spark.range(rows).select("id", number.alias("p")).collect())
+    assert placed == [(i, sharding.locate(i, rows, 1, seed)[1]) for i in range(rows)]
+
+
 def test_shards_of_odd_rows(spark):
     table = spark.createDataFrame([(None, 1)] * 40 + [(1, None)] * 3 + [(2, 2)], "doc_id long, size long")
     found = sharding.shard_rows(table, 4, order=["doc_id"]).collect()
