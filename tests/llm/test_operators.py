@@ -178,6 +178,19 @@ def test_pieces_equal_the_library_in_any_parts():
         assert parts + stream.finish() == wanted
 
 
+def test_both_forms_of_the_search_give_equal_ids():
+    import pyarrow.parquet as pq
+
+    model = sentencepieces.PieceModel(PIECES)
+    own = sentencepieces.Encoder(model)
+    seen = set()
+    for text in pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist():
+        seen.update(own.split.findall(model.normalize(text or "")))
+    for segment in seen:
+        stream = sentencepieces.StreamEncoder(model)
+        assert stream.feed(segment) + stream.finish() == own._window(segment), segment
+
+
 def test_window_stays_small_without_spaces():
     model = sentencepieces.PieceModel(PIECES)
     random.seed(4)
