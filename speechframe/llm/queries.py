@@ -11,9 +11,13 @@ from speechframe.llm import (
     gridorder,
     htmltext,
     langid,
+    merkle,
     minhash,
+    naming,
+    oracles,
     packing,
     quality,
+    resample,
     rules,
     sentencepieces,
     sharding,
@@ -22,6 +26,8 @@ from speechframe.llm import (
 SHARDS = 24
 SHARD_SEED = 2024
 CAPACITY = 2048
+BUCKETS = 10_000
+DRAW_SEED = 2024
 END_ID = 1
 
 
@@ -122,6 +128,47 @@ def op10_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.apply_rules(load(spark, sf_dir, "documents"))
 
 
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of 20 words or more, drawn by importance for the benchmark's texts."""
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    target = load(spark, sf_dir, "benchmark").select("text")
+    gains = resample.bucket_gains(
+        resample.bucket_counts(docs, buckets=BUCKETS),
+        resample.bucket_counts(target, buckets=BUCKETS),
+        buckets=BUCKETS,
+    )
+    weighed = resample.weigh(docs, gains, buckets=BUCKETS)
+    drawn = resample.draw(weighed, seed=DRAW_SEED, percent=10, least_words=20)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_naming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents equal but for the case of A-Z."""
+    return naming.exact_duplicates(load(spark, sf_dir, "documents"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of all documents by source, and each document checked against it after half of them lost
+    their line ends."""
+    docs = load(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    now = F.when(hit, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    found = docs.withColumn("leaf_now", merkle.leaf([*columns[:-1], now]))
+    entries = merkle.manifest(
+        found, columns, group="source", order="doc_id", arity=3, carry=["leaf_now"]
+    )
+    folded = merkle.fold(F.col("leaf_now"), F.col("path"))
+    return entries.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        merkle.digest(merkle.proof(F.col("path"))).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
     import corpus_pipeline
@@ -142,9 +189,12 @@ QUERIES = {
         op8_embeddings,
         op9_html,
         op10_rules,
+        op11_resample,
+        op12_naming,
+        op13_merkle,
         pipeline,
     )
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = oracles.ORACLES
