@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from functools import wraps
 
@@ -37,6 +38,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The rows as a table in the checkpoint folder, read from there. Unlike a checkpoint it brings nothing of
+    the plan along: where many small joins follow each other, what the optimizer has inferred about
+    their columns would grow with every one of them."""
+    checkpoint_folder(df.sparkSession)
+    path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """The table with a broadcast hint if it was counted to be small, as it is otherwise.
     Counting stops at the limit; the table should be cheap to read twice (a checkpoint)."""

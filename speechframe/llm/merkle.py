@@ -17,8 +17,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import cut, number_rows, small
+from speechframe.llm.common import number_rows, small, written
 
+#: So many levels are joined on the way down before the paths are written.
+PLAN_LEVELS = 4
 #: One level of a path: the digests, 32 bytes each, of the siblings before and after the node.
 PATH = "array<struct<before: binary, after: binary>>"
 
@@ -72,20 +74,22 @@ def _with_siblings(nodes: DataFrame, arity: int) -> DataFrame:
 
 def grow(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
     """The levels (group, index, digest, before, after) of one tree for each group, leaves first, and the
-    roots (group, digest). ``leaves`` are (group, index, digest) with indices 0 .. n-1 in each group.
+    roots (group, digest, height). ``leaves`` are (group, index, digest) with indices 0 .. n-1 in each group.
 
-    A group's tree ends where it has one node left, so a lone leaf is its root. Each level is checkpointed.
+    A group's tree ends where it has one node left, so a lone leaf is a root of height 0. Each level is
+    written.
     """
-    nodes, levels, roots = cut(leaves.select("group", "index", "digest")), [], None
+    nodes, levels, roots = written(leaves.select("group", "index", "digest")), [], None
+    widest = nodes.agg(F.max("index")).first()[0]
     while True:
-        widest = nodes.agg(F.max("index")).first()[0]
+        height = F.lit(len(levels)).alias("height")
         if not widest:
-            left = nodes.select("group", "digest")
+            left = nodes.select("group", "digest", height)
             return levels, left if roots is None else roots.union(left)
-        level = cut(_with_siblings(nodes, arity))
+        level = written(_with_siblings(nodes, arity))
         # Only a node without others has index 0 and no siblings.
         alone = (F.col("index") == 0) & (F.length("before") + F.length("after") == 0)
-        done = level.filter(alone).select("group", "digest")
+        done = level.filter(alone).select("group", "digest", height)
         roots = done if roots is None else roots.union(done)
         levels.append(level.filter(~alone))
         nodes = levels[-1].filter(F.pmod("index", F.lit(arity)) == 0).select(
@@ -93,37 +97,36 @@ def grow(leaves: DataFrame, arity: int) -> tuple[list[DataFrame], DataFrame]:
             F.expr(f"index div {arity}").alias("index"),
             F.unhex(digest(hexed(F.col("digest")), hexed(F.col("after")))).alias("digest"),
         )
+        widest //= arity
 
 
 def paths(levels: list[DataFrame], roots: DataFrame, leaves: DataFrame, arity: int) -> DataFrame:
     """The rows of ``leaves`` (group, index, others) with ``path``, their siblings level by level. ``roots``
-    (group, path) is what follows above each group's own tree.
+    (group, height, path) have what follows above each group's own tree.
 
     A parent's path goes to the at most ``arity`` nodes of its run, so what is shuffled for the leaves is one
     path for each run of them.
     """
-    known = roots.select("group", F.lit(0).cast("long").alias("parent"), F.col("path").alias("rest"))
+
+    def ends(height: int) -> DataFrame:
+        own = roots.filter(F.col("height") == height)
+        return own.select("group", F.lit(0).cast("long").alias("parent"), F.col("path").alias("rest"))
+
     above = None
     for depth in range(len(levels) - 1, -1, -1):
         step = F.array(F.struct("before", "after")).cast(PATH)
-        parent = F.expr(f"index div {arity}")
-        keyed = levels[depth].select("group", "index", parent.alias("parent"), step.alias("step"))
+        parent = F.expr(f"index div {arity}").alias("parent")
+        keyed = levels[depth].select("group", "index", parent, step.alias("step"))
         if depth == 0:
             keyed = keyed.join(leaves, ["group", "index"])
-        rest = known
+        rest = ends(depth + 1)
         if above is not None:
-            # A group of this level that isn't in the one above has its root there.
-            low = known.join(above.select("group").distinct(), "group", "left_anti")
-            rest = above.select("group", F.col("index").alias("parent"), F.col("path").alias("rest"))
-            rest = rest.union(low)
+            rest = above.select("group", F.col("index").alias("parent"), F.col("path").alias("rest")).union(rest)
         joined = keyed.join(rest, ["group", "parent"]).withColumn("path", F.concat("step", "rest"))
         above = joined.drop("parent", "step", "rest")
-        if depth:
-            above = cut(above)
-    lone = leaves
-    if levels:
-        lone = leaves.filter(F.col("index") == 0).join(levels[0].select("group").distinct(), "group", "left_anti")
-    lone = lone.join(roots.select("group", "path"), "group")
+        if depth and depth % PLAN_LEVELS == 0:
+            above = written(above)
+    lone = ends(0).join(leaves, "group").withColumn("path", F.col("rest")).drop("parent", "rest")
     return lone if above is None else above.unionByName(lone)
 
 
@@ -169,24 +172,24 @@ def manifest(
         *[F.col(c).alias(e) for c, e in zip(carry, extra)],
     )
     numbered, _ = number_rows(narrow, ["g", "o", "digest"], "place")
-    numbered = cut(numbered)
+    numbered = written(numbered)
     # From here on a group is known by the number of its first leaf.
-    firsts = small(cut(numbered.groupBy(F.col("g").alias("name")).agg(F.min("place").alias("group"))))
+    firsts = small(written(numbered.groupBy(F.col("g").alias("name")).agg(F.min("place").alias("group"))))
     leaves = numbered.join(firsts, F.col("g").eqNullSafe(F.col("name"))).select(
         "group", (F.col("place") - F.col("group")).alias("index"), "g", "o", "digest", *extra
     )
-    leaves = cut(leaves)
+    leaves = written(leaves)
     levels, subroots = grow(leaves, arity)
     ranked, _ = number_rows(subroots, ["group"], "index")
-    ranked = cut(
-        ranked.select(F.lit(0).cast("long").alias("group"), "index", "digest", F.col("group").alias("member"))
-    )
+    zero = F.lit(0).cast("long").alias("group")
+    ranked = written(ranked.select(zero, "index", "digest", F.col("group").alias("member"), "height"))
     top_levels, tops = grow(ranked, arity)
     top = tops.select("group", "digest").first()
     root = None if top is None else bytes(top["digest"]).hex()
-    start = tops.select("group", F.array().cast(PATH).alias("path"))
-    above = cut(paths(top_levels, start, ranked, arity))
-    roots = above.select(F.col("member").alias("group"), "path", hexed(F.col("digest")).alias("subroot"))
+    start = tops.select("group", "height", F.array().cast(PATH).alias("path"))
+    above = written(paths(top_levels, start, ranked, arity))
+    subroot = hexed(F.col("digest")).alias("subroot")
+    roots = above.select(F.col("member").alias("group"), "height", "path", subroot)
     whole = paths(levels, roots, leaves, arity).join(small(roots.select("group", "subroot")), "group")
     return whole.select(
         F.col("o").alias(order),
