@@ -198,7 +198,7 @@ def pcm_layouts(files: DataFrame, *, max_seconds: int = MAX_SECONDS) -> DataFram
     return files.select("recording_id", "path", "length").mapInArrow(run, _LAYOUT)
 
 
-def _output_samples() -> Column:
+def output_samples() -> Column:
     return F.floor(F.col("frames") * F.lit(SAMPLE_RATE) / F.col("rate"))
 
 
@@ -209,7 +209,7 @@ def track_lengths(layouts: DataFrame, *, split_channels: bool = False) -> DataFr
         F.array(F.lit(None).cast("int"))
     )
     return layouts.where(F.col("error_code").isNull()).select(
-        "recording_id", F.explode(tracks).alias("channel"), _output_samples().alias("audio_samples")
+        "recording_id", F.explode(tracks).alias("channel"), output_samples().alias("audio_samples")
     )
 
 
@@ -221,7 +221,7 @@ def decode_blocks(
     apart with ``split_channels``; other rates are interpolated linearly."""
     blocks = (
         layouts.where(F.col("error_code").isNull())
-        .withColumn("_n", _output_samples())
+        .withColumn("_n", output_samples())
         .where(F.col("_n") > 0)
         .withColumn("block_idx", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / block_samples).cast("int") - 1)))
         .repartition("path", "block_idx")
@@ -232,7 +232,7 @@ def decode_blocks(
             for row in batch.to_pylist():
                 first = row["block_idx"] * block_samples
                 count = min(block_samples, row["_n"] - first)
-                frames = _read_frames(row, first, count)
+                frames = read_frames(row, first, count)
                 tracks = (
                     [(c, frames[:, c]) for c in range(row["channels"])]
                     if split_channels and row["channels"] > 1
@@ -254,7 +254,7 @@ def decode_blocks(
     return blocks.mapInArrow(run, PCM_BLOCKS)
 
 
-def _read_frames(row: dict, first: int, count: int) -> np.ndarray:
+def read_frames(row: dict, first: int, count: int) -> np.ndarray:
     """Output samples ``[first, first + count)`` as float64, shape (count, channels)."""
     rate, channels, width = row["rate"], row["channels"], row["bits"] // 8
     places = (first + np.arange(count)) * (rate / SAMPLE_RATE)

@@ -9,12 +9,13 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.types import StructType
 
 from speechframe.functions.language import normalise_language
+from speechframe.operators import onepass
 from speechframe.operators.assemble import serve_with_fallback
 from speechframe.operators.ordered import cut_lineage
 from speechframe.schema import RAW_CHUNKS
@@ -60,30 +61,78 @@ def transcribe_chunks(
     The engine is built once per task. Retryable failures are tried again with full jitter; what
     still fails becomes a row with ``error_code`` instead of failing the task.
     """
+    wanted = chunks if "language" in chunks.columns else chunks.withColumn(
+        "language", F.lit(None).cast("string")
+    )
+
+    def heard(batch: pa.RecordBatch) -> Iterator[tuple]:
+        names = ("recording_id", "index", "language")
+        for i, facts in enumerate(zip(*(batch.column(c).to_pylist() for c in names))):
+            yield *facts, np.asarray(batch.column("samples")[i].values)
+
+    task = _recogniser(
+        engine_factory, heard, prompt, word_timestamps, max_retries, base_delay_s, sleep
+    )
+    return wanted.select("recording_id", "index", "language", "samples").mapInArrow(task, RAW_CHUNKS)
+
+
+def transcribe_spans(
+    chunks: DataFrame,
+    layouts: DataFrame,
+    engine_factory: Callable[[], Engine],
+    *,
+    decoder: onepass.Decoder = onepass.read_frames,
+    prompt: str | None = None,
+    word_timestamps: bool = False,
+    max_retries: int = 3,
+    base_delay_s: float = 1.0,
+    sleep: Callable[[float], None] = time.sleep,
+) -> DataFrame:
+    """As :func:`transcribe_chunks`, for chunks ``(recording_id, channel, index, start, end[, language])``
+    of files with these layouts: each task reads the byte ranges of its own chunks. A chunk that can't be read is a
+    row with ``undecodable_audio``, without an attempt."""
+    wanted = chunks if "language" in chunks.columns else chunks.withColumn(
+        "language", F.lit(None).cast("string")
+    )
+
+    def heard(batch: pa.RecordBatch) -> Iterator[tuple]:
+        for row in batch.to_pylist():
+            try:
+                samples = onepass.read_span(row, decoder)
+            except (OSError, ValueError):
+                samples = None
+            yield row["recording_id"], row["index"], row["language"], samples
+
+    task = _recogniser(
+        engine_factory, heard, prompt, word_timestamps, max_retries, base_delay_s, sleep
+    )
+    spans = wanted.select("recording_id", "channel", "index", "start", "end", "language")
+    placed = onepass.with_layouts(spans, layouts)
+    # Chunks of one file are many, and each is expensive: deal them out one by one.
+    return placed.repartition("recording_id", "index").mapInArrow(task, RAW_CHUNKS)
+
+
+def _recogniser(engine_factory, heard, prompt, word_timestamps, max_retries, base_delay_s, sleep):
     schema = StructType.fromDDL(RAW_CHUNKS)
     kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         engine = None
         for batch in batches:
-            names = ("recording_id", "index", "language")
-            facts = zip(*(batch.column(c).to_pylist() for c in names))
-            for i, (rid, index, language) in enumerate(facts):
+            for rid, index, language, samples in heard(batch):
                 engine = engine or engine_factory()
-                samples = np.asarray(batch.column("samples")[i].values, dtype=np.float32)
-                row = _attempt(
-                    engine, samples / np.float32(32768), language, prompt, word_timestamps,
-                    max_retries, base_delay_s, sleep,
-                )
-                values = (rid, index, *row)
+                if samples is None:
+                    row = engine.name, None, None, None, "undecodable_audio", 0
+                else:
+                    scaled = samples.astype(np.float32) / np.float32(32768)
+                    row = _attempt(
+                        engine, scaled, language, prompt, word_timestamps, max_retries, base_delay_s, sleep
+                    )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([v], type=k) for v, k in zip(values, kinds)], names=schema.names
+                    [pa.array([v], type=k) for v, k in zip((rid, index, *row), kinds)], names=schema.names
                 )
 
-    wanted = chunks if "language" in chunks.columns else chunks.withColumn(
-        "language", F.lit(None).cast("string")
-    )
-    return wanted.select("recording_id", "index", "language", "samples").mapInArrow(run, schema)
+    return run
 
 
 def _attempt(engine, audio, language, prompt, word_timestamps, max_retries, base_delay_s, sleep):
@@ -115,29 +164,79 @@ def transcribe_recordings(
     requested: DataFrame | None = None,
     **options,
 ) -> DataFrame:
-    """All chunks, the language pinned per recording.
-
-    The first chunk of a recording without a requested language detects it; the others then run
-    in parallel with that language."""
-    asked = (
-        chunks.select("recording_id").distinct().withColumn("_asked", F.lit(None).cast("string"))
-        if requested is None
-        else requested.select("recording_id", normalise_language(F.col("language")).alias("_asked"))
-    )
-    known = chunks.join(asked, "recording_id", "left")
-    first = chunks.groupBy("recording_id").agg(F.min("index").alias("_first"))
-    marked = known.join(first, "recording_id")
-    lead = marked.where((F.col("index") == F.col("_first")) & F.col("_asked").isNull())
-    # Read twice, and recognition is by far the most expensive step.
-    led = cut_lineage(transcribe_chunks(lead.drop("_asked", "_first"), engine_factory, **options))
-    pins = led.select("recording_id", normalise_language(F.col("language")).alias("_pin"))
-    rest = (
-        marked.where((F.col("index") != F.col("_first")) | F.col("_asked").isNotNull())
-        .join(pins, "recording_id", "left")
-        .withColumn("language", F.coalesce("_asked", "_pin"))
-        .drop("_asked", "_first", "_pin")
+    """All chunks ``(recording_id, index, samples)``, the language pinned per recording by the first chunk that
+    detects one, or as ``requested``."""
+    def hear(wanted: DataFrame) -> DataFrame:
+        own = chunks.drop("language").join(wanted, ["recording_id", "index"])
+        return transcribe_chunks(own, engine_factory, **options)
+
+    return transcribe_pinned(chunks.select("recording_id", "index"), hear, requested)
+
+
+def transcribe_pinned(
+    chunks: DataFrame,
+    hear: Callable[[DataFrame], DataFrame],
+    known: DataFrame | None = None,
+    *,
+    save: Callable[[DataFrame], None] | None = None,
+) -> DataFrame:
+    """Rows of ``RAW_CHUNKS`` for all ``(recording_id, index)``, as if each recording's chunks were heard in order:
+    without a language until one detects it, with that language from the next chunk on.
+
+    ``known`` ``(recording_id, language)`` are languages asked for or found before. ``hear`` transcribes rows
+    ``(recording_id, index, language)``. Recordings without a language go on in rounds from their lowest
+    undecided chunk, 1, 2, 4, ... chunks at a time; what lies behind a chunk that detects is heard again with its
+    language. So there are as many rounds as the logarithm of the longest plan, at most twice the work until a
+    language is known, and recordings and pinned chunks run side by side. ``save`` gets each round's rows.
+    """
+    ranked = chunks.select(
+        "recording_id",
+        "index",
+        (F.row_number().over(Window.partitionBy("recording_id").orderBy("index")) - 1).alias("_rank"),
     )
-    return led.unionByName(transcribe_chunks(rest, engine_factory, **options))
+    if known is None:
+        ranked = ranked.withColumn("language", F.lit(None).cast("string"))
+    else:
+        code = normalise_language(F.col("language")).alias("language")
+        ranked = ranked.join(known.select("recording_id", code), "recording_id", "left")
+    ranked = cut_lineage(ranked)
+    pinned = [ranked.where(F.col("language").isNotNull())]
+    undecided = ranked.where(F.col("language").isNull())
+    done, low, width = [], 0, 1
+
+    def finish(rows: DataFrame) -> None:
+        if save is not None:
+            save(rows)
+        done.append(rows)
+
+    while not undecided.isEmpty():
+        front = undecided.where((F.col("_rank") >= low) & (F.col("_rank") < low + width))
+        # Read several times, and recognition is by far the most expensive step.
+        heard = cut_lineage(hear(front.drop("_rank")))
+        found = normalise_language(F.col("language"))
+        detected = heard.where(found.isNotNull()).groupBy("recording_id").agg(
+            F.min("chunk").alias("_at"), F.min_by(found, "chunk").alias("_pin")
+        )
+        in_order = F.col("_at").isNull() | (F.col("chunk") <= F.col("_at"))
+        finish(heard.join(detected, "recording_id", "left").where(in_order).drop("_at", "_pin"))
+        after = undecided.join(detected, "recording_id", "left")
+        after = cut_lineage(
+            after.where((F.col("index") > F.col("_at")) | (F.col("_at").isNull() & (F.col("_rank") >= low + width)))
+            .withColumn("language", F.col("_pin"))
+            .drop("_at", "_pin")
+        )
+        pinned.append(after.where(F.col("language").isNotNull()))
+        undecided = after.where(F.col("language").isNull())
+        low, width = low + width, 2 * width
+    rest = pinned[0]
+    for part in pinned[1:]:
+        rest = rest.union(part)
+    last = hear(rest.drop("_rank"))
+    finish(last if save is None else cut_lineage(last))
+    out = done[0]
+    for part in done[1:]:
+        out = out.unionByName(part)
+    return out
 
 
 class Failover:

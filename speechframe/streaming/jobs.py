@@ -4,13 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from speechframe.operators import audio, chunks, engine, metrics
-from speechframe.operators.engine import Engine
-from speechframe.operators.ordered import cut_lineage
-from speechframe.schema import RAW_CHUNKS
+from speechframe.operators import metrics
 from speechframe.sources import sinks
 
 
@@ -55,57 +51,3 @@ def save_chunks(path: str, order: Sequence[str]) -> Callable[[DataFrame, int], N
         )
 
     return write
-
-
-def transcribe_new_files(
-    spark: SparkSession,
-    source: str,
-    results: str,
-    checkpoint: str,
-    engine_factory: Callable[[], Engine],
-    *,
-    block_samples: int = audio.BLOCK_SAMPLES,
-    detect: dict | None = None,
-    **options,
-):
-    """Transcribe audio files that appear in ``source``, once: each run takes the new files, skips
-    chunks already in ``results``, and appends the rest. Returns the started query; await it."""
-    schema = RAW_CHUNKS
-
-    def work(batch: DataFrame, epoch: int) -> None:
-        files = batch.select(
-            F.regexp_extract("path", "([^/]+)$", 1).alias("recording_id"), "path", "length"
-        )
-        layouts = cut_lineage(audio.pcm_layouts(files))
-        blocks = audio.decode_blocks(layouts, block_samples=block_samples)
-        lengths = audio.track_lengths(layouts)
-        regions = audio.detect_regions(blocks, lengths=lengths, **(detect or {}))
-        plan = chunks.plan_recordings(regions, blocks, block_samples=block_samples)
-        done = _finished(spark, results, schema, epoch)
-        pending = chunks.pending_chunks(
-            plan, done.withColumnRenamed("chunk", "index"), ["recording_id", "index"]
-        )
-        heard = chunks.slice_audio(pending, blocks, block_samples=block_samples)
-        raw = engine.transcribe_chunks(heard, engine_factory, **options)
-        raw.write.mode("overwrite").parquet(f"{results}/batch={epoch}")
-
-    return (
-        spark.readStream.format("binaryFile")
-        .schema("path string, modificationTime timestamp, length bigint, content binary")
-        .load(source)
-        .select("path", "length")
-        .writeStream.foreachBatch(work)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
-def _finished(spark: SparkSession, results: str, schema: str, epoch: int) -> DataFrame:
-    """Chunks of earlier batches; the batch's own directory is what it is about to replace."""
-    keys = ["recording_id", "chunk"]
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(results)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
-        return spark.createDataFrame([], "recording_id string, chunk int")
-    rows = spark.read.schema(f"{schema}, batch bigint").option("basePath", results).parquet(results)
-    return rows.where((F.col("batch") != epoch) & F.col("error_code").isNull()).select(*keys)

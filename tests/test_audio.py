@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from speechframe.operators import audio, captions, chunks, engine, evaluation, front_ends, guards
 from speechframe.schema import PCM_BLOCKS
 from speechframe.sources import readers, sinks
-from speechframe.streaming import jobs as streams
 
 RATE = 16_000
 
@@ -260,27 +259,6 @@ def test_front_ends(spark, folder):
     assert one.substitutions == 2 and len(got) == 6
 
 
-def test_incremental_runs_skip_finished_chunks(spark, folder, tmp_path):
-    results, checkpoint = str(tmp_path / "results"), str(tmp_path / "cp")
-
-    def go(cp):
-        query = streams.transcribe_new_files(spark, str(folder), results, cp, Fake, block_samples=RATE)
-        assert query.awaitTermination(240)
-        return spark.read.option("basePath", results).parquet(results)
-
-    first = go(checkpoint)
-    assert first.where("recording_id = 'a.wav'").count() == 2
-    total = first.count()
-    (folder / "z.wav").write_bytes(wav(np.concatenate([quiet(1), speech(1), quiet(1)])))
-    assert go(checkpoint).count() == total + 1
-    (folder / "y.wav").write_bytes(wav(np.concatenate([quiet(1), speech(1), quiet(1)])))
-    spark.read.option("basePath", results).parquet(results).where("batch = 0").drop("batch").write.parquet(str(tmp_path / "seed" / "batch=7"))
-    again = streams.transcribe_new_files(spark, str(folder), str(tmp_path / "seed"), str(tmp_path / "cp2"), Fake, block_samples=RATE)
-    assert again.awaitTermination(240)
-    seeded = spark.read.option("basePath", str(tmp_path / "seed")).parquet(str(tmp_path / "seed"))
-    assert {r.recording_id for r in seeded.where("batch = 0").collect()} == {"y.wav", "z.wav"}
-
-
 def test_readers(spark, tmp_path):
     lines = [{"id": "a", "audio": "x/a.wav", "reference": "ref", "tags": ["t"]}, {"id": "b", "audio": "b.wav", "reference": "", "tags": []}]
     (tmp_path / "m.jsonl").write_text(json.dumps(lines[0]) + "\n\n" + json.dumps(lines[1]) + "\n{broken\n" + '{"audio":"c.wav"}\n')
