@@ -273,15 +273,26 @@ def span_energy(spans: DataFrame, layouts: DataFrame, keys: Sequence[str], decod
     return rows.select(*wanted).mapInArrow(run, schema)
 
 
+def scan_regions(
+    layouts: DataFrame, *, cell: int, frame: int = FRAME, block_samples: int = BLOCK_SAMPLES,
+    min_silence_ms: int = SILENCE_MS, speech_pad_ms: int = PAD_MS, **scan,
+) -> tuple[DataFrame, DataFrame]:
+    """(scans, regions) of readable files. The scan is checkpointed, so the audio is read once."""
+    scans = cut_lineage(scan_blocks(layouts, cell=cell, frame=frame, block_samples=block_samples, **scan))
+    regions = scanned_regions(scans, min_silence_ms=min_silence_ms, speech_pad_ms=speech_pad_ms)
+    return scans, cut_lineage(regions)
+
+
 def scan_files(
     layouts: DataFrame, *, block_samples: int = BLOCK_SAMPLES, frame: int = FRAME, speech_pad_ms: int = PAD_MS,
-    min_silence_ms: int = SILENCE_MS, max_chunk: int = plans.MAX_CHUNK, cut_window: int = plans.CUT_WINDOW,
-    cut_frame: int = plans.CUT_FRAME, max_gap: int = plans.MAX_GAP, **scan,
+    max_chunk: int = plans.MAX_CHUNK, cut_window: int = plans.CUT_WINDOW, cut_frame: int = plans.CUT_FRAME,
+    max_gap: int = plans.MAX_GAP, **scan,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(scans, regions, plan) of readable files. The scan is checkpointed, so the audio is read once."""
+    """(scans, regions, plan) of readable files, from one pass over their audio."""
     cell = cell_samples(frame, speech_pad_ms, max_chunk, cut_window, cut_frame)
-    scans = cut_lineage(scan_blocks(layouts, cell=cell, frame=frame, block_samples=block_samples, **scan))
-    regions = cut_lineage(scanned_regions(scans, min_silence_ms=min_silence_ms, speech_pad_ms=speech_pad_ms))
+    scans, regions = scan_regions(
+        layouts, cell=cell, frame=frame, block_samples=block_samples, speech_pad_ms=speech_pad_ms, **scan
+    )
     plan = plan_scans(
         scans, regions, cell=cell, block_samples=block_samples, max_chunk=max_chunk,
         max_gap=max_gap, cut_window=cut_window, cut_frame=cut_frame,

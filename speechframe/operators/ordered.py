@@ -25,7 +25,7 @@ from itertools import groupby
 from operator import itemgetter
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,15 +53,20 @@ def null_safe(left: DataFrame, right: DataFrame, pairs: Sequence[tuple[str, str]
     return condition
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Checkpoint in the folder the cluster names; only a session on one machine without one gets
-    its own."""
-    context = df.sparkSession.sparkContext
+def checkpoint_path(spark: SparkSession) -> str:
+    """The checkpoint folder, which the cluster names; only a session on one machine without one gets its own."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder and not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Checkpoint in the folder of :func:`checkpoint_path`."""
+    checkpoint_path(df.sparkSession)
     return df.checkpoint()
 
 

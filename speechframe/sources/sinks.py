@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import struct
+import uuid
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechframe.functions.ids import canonical_uuid
 from speechframe.operators.jobs import upsert_latest
+from speechframe.operators.ordered import cut_lineage
 
 
 def write_json(df: DataFrame, path: str, *, mode: str = "append") -> None:
@@ -88,3 +93,39 @@ def compact_checkpoint(
 
 def chunks_done(results: DataFrame) -> DataFrame:
     return results.groupBy("job_id").agg(F.count_distinct("idx").alias("chunks_done"))
+
+
+def write_wav(
+    sounds: DataFrame, folder: str, *, rate: int, bits: int = 8, channels: int = 1
+) -> DataFrame:
+    """WAV files ``folder/<recording_id>.wav`` of rows ``(recording_id, pcm binary)``, written by the tasks;
+    ``(recording_id, path, length)`` of each. ``pcm`` are whole little-endian frames, unsigned at 8 bits; what is left
+    over is dropped. A file appears under its name when it is complete, so a repeated task leaves the same."""
+    width = channels * bits // 8
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, inner = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        system.create_dir(inner, recursive=True)
+        for batch in batches:
+            rows = []
+            for rid, pcm in zip(*(batch.column(c).to_pylist() for c in ("recording_id", "pcm"))):
+                size = len(pcm) // width * width
+                head = struct.pack(
+                    "<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, 1, channels, rate,
+                    rate * width, width, bits, b"data", size,
+                )
+                path = f"{inner}/{rid}.wav"
+                part = f"{path}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write(head)
+                    out.write(pcm[:size])
+                system.move(part, path)
+                rows.append((rid, f"{folder}/{rid}.wav", 44 + size))
+            columns = list(zip(*rows)) or [[], [], []]
+            kinds = (pa.string(), pa.string(), pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(list(c), type=k) for c, k in zip(columns, kinds)], names=["recording_id", "path", "length"]
+            )
+
+    wanted = sounds.select(F.col("recording_id").cast("string"), F.col("pcm").cast("binary"))
+    return cut_lineage(wanted.mapInArrow(run, "recording_id string, path string, length bigint"))
