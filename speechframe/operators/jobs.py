@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -438,9 +439,55 @@ def expired_objects(objects: DataFrame, *, prefix: str, days: int, now: str) ->
     )
 
 
+#: Intervals a round of the search for the oldest message kept divides its range into.
+INTERVALS = 1024
+
+
 def newest_messages(messages: DataFrame, keep: int, order: str = "id") -> DataFrame:
-    """Trim a message table to the newest ``keep`` (the retention of the stream)."""
-    return messages.orderBy(F.desc(order)).limit(keep)
+    """Trim a message table to the newest ``keep`` (the retention of the stream).
+
+    The value of ``order``, a whole number, that the oldest kept message has is found by counting messages in
+    ever smaller intervals, at most 1024 counts each time; then messages are filtered by it. Nothing is sorted,
+    and no task holds more than its own rows, however many are kept. Of messages with that value, those
+    with the greatest hash of all their columns stay, and of wholly equal ones as many as there is room
+    for. Messages without a value are older than all others.
+    """
+    value = F.coalesce(F.col(order).cast("bigint"), F.lit(-(1 << 63)))
+    ranked = messages.withColumns({"_value": value, "_hash": F.xxhash64(*messages.columns)})
+    newer, at, room = _cutoff(ranked, "_value", keep)
+    if at is None:
+        return messages.limit(0) if keep <= 0 else messages
+    kept = ranked.where(F.col("_value") > at)
+    ties = ranked.where(F.col("_value") == at)
+    _, tie, places = _cutoff(ties, "_hash", room)
+    if tie is None:
+        kept = kept.union(ties)
+    else:
+        # Equal hashes are equal messages but by rare chance, so which of them stay makes no difference.
+        kept = kept.union(ties.where(F.col("_hash") > tie)).union(ties.where(F.col("_hash") == tie).limit(places))
+    return kept.drop("_value", "_hash")
+
+
+def _cutoff(rows: DataFrame, column: str, keep: int) -> tuple[int, int | None, int]:
+    """How many rows lie above the ``keep``-th greatest value, that value, and how many rows of that value there is room
+    for. No value if there is room for all rows, or for none."""
+    low, high, total = rows.agg(F.min(column), F.max(column), F.count(F.lit(1))).first()
+    if keep <= 0 or total <= keep:
+        return 0, None, 0
+    newer = 0
+    while low < high:
+        width = (high - low) // INTERVALS + 1
+        # As decimals: the range of all whole numbers doesn't fit into one.
+        behind = F.col(column).cast("decimal(20,0)") - F.lit(low)
+        place = F.call_function("div", behind, F.lit(Decimal(width))).cast("int").alias("i")
+        inside = rows.where(F.col(column).between(low, high))
+        counts = dict(inside.groupBy(place).count().collect())
+        for i in sorted(counts, reverse=True):
+            if newer + counts[i] >= keep:
+                break
+            newer += counts[i]
+        low, high = low + i * width, min(high, low + (i + 1) * width - 1)
+    return newer, low, keep - newer
 
 
 def error_facts(df: DataFrame, code: str = "error_code") -> DataFrame:

@@ -561,8 +561,8 @@ def _event_words(spark, sf_dir) -> DataFrame:
     )
 
 
-@query(
-    f"""WITH {EVENTS_SQL},
+#: Events as words, with the number of their segment: ``g``.
+GROUPED_SQL = f"""WITH {EVENTS_SQL},
 w AS (SELECT user_id, us AS ord,
     CASE WHEN event_type = 'view' THEN ' ' WHEN k % 5 = 0 THEN event_type || '. '
          ELSE event_type END AS text,
@@ -577,6 +577,11 @@ p AS (SELECT *, last_value(CASE WHEN is_word THEN "end" END IGNORE NULLS) OVER w
                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 g AS (SELECT *, sum(CASE WHEN is_word AND (prev_end IS NULL OR prev_ends OR start - prev_end > 7200)
                          THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ord) AS grp FROM p)
+"""
+
+
+@query(
+    f"""{GROUPED_SQL}
 SELECT user_id, grp::BIGINT AS grp, arg_min(start, ord) FILTER (WHERE is_word) AS start,
   arg_max("end", ord) FILTER (WHERE is_word) AS "end",
   trim(string_agg(text, '' ORDER BY ord)) AS text, avg(logprob) FILTER (WHERE is_word) AS avg_logprob,
@@ -596,6 +601,38 @@ def group_words(spark, sf_dir):
     )
 
 
+def _grouped_events(spark, sf_dir) -> DataFrame:
+    return words.grouped_words(_event_words(spark, sf_dir), ["user_id"], pause=7200.0)
+
+
+@query(
+    f"""{GROUPED_SQL}
+SELECT user_id, grp::BIGINT AS grp, arg_min(start, ord) FILTER (WHERE is_word) AS start,
+  arg_max("end", ord) FILTER (WHERE is_word) AS "end", count(*) FILTER (WHERE is_word) AS words,
+  avg(logprob) FILTER (WHERE is_word) AS avg_logprob, round(min(exp(logprob)) FILTER (WHERE is_word), 9) AS least
+FROM g WHERE is_word OR NOT coalesce(prev_ends, true) GROUP BY user_id, grp"""
+)
+def segment_spans(spark, sf_dir):
+    """Bounds, counts and probabilities of segments of any length, from partial aggregates alone."""
+    spans = words.segment_spans(_grouped_events(spark, sf_dir), ["user_id"])
+    least = F.round("least_probability", 9).alias("least")
+    return spans.select("user_id", F.col("group").alias("grp"), "start", "end", "words", "avg_logprob", least)
+
+
+@query(
+    f"""{GROUPED_SQL},
+numbered AS (SELECT user_id, grp, ord, text,
+    (row_number() OVER (PARTITION BY user_id, grp ORDER BY ord) - 1) // 3 AS part
+  FROM g WHERE is_word OR NOT coalesce(prev_ends, true))
+SELECT user_id, grp::BIGINT AS grp, part, string_agg(text, '' ORDER BY ord) AS text
+FROM numbered GROUP BY user_id, grp, part"""
+)
+def segment_texts(spark, sf_dir):
+    """Texts of segments in parts of three words or spacings."""
+    parts = words.segment_texts(_grouped_events(spark, sf_dir), ["user_id"], part_rows=3)
+    return parts.withColumnRenamed("group", "grp")
+
+
 def _code() -> Column:
     v = F.col("doc_id") % 7
     return (

@@ -22,7 +22,7 @@ def test_query(spark, con, name):
     assert not result.startswith("FAIL"), result
 
 
-ORDERED = """merge_regions pack_chunks plan_violations chunk_coverage group_words seams near_seam_errors
+ORDERED = """merge_regions pack_chunks plan_violations chunk_coverage group_words segment_spans segment_texts seams near_seam_errors
 seam_coverage asof_duplicate rate_limit admission batch_files job_lifecycle stalls breaker_timeline
 outbox_state concurrency sessions""".split()
 
