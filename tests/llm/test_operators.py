@@ -635,3 +635,50 @@ def test_components(spark):
     alone = {a for a, b in edges if a == b} - {x for a, b in edges if a != b for x in (a, b)}
     assert {(r["v"], r["root"]) for r in found} == {(x, root(x)) for x in up if x not in alone}
     assert len(found) == len({r["v"] for r in found})
+
+
+# --- pages that are laid out in odd ways, or made to take long --------------------------------
+
+PROSE = "Words of the article and more of them. " * 8
+
+
+@pytest.mark.parametrize(
+    "page,wanted",
+    [
+        # Servers wrap pages into one form; forms to fill in are no text.
+        (f"<body><form action=x><input type=hidden><article><h1>T</h1><p>{PROSE}</p></article><input></form>", f"T\n{PROSE}"),
+        ("<body><form><p>some text here</p></form></body>", "some text here"),
+        (f"<article><p>{PROSE}</p></article><form>Get our news <input><button>Go</button></form>", PROSE),
+        (f"<article><p>{PROSE}</p></article><fieldset><label>Name</label><select></select></fieldset>", PROSE),
+        # A quote opens a value only behind its sign.
+        (f"<article><h1>T</h1><p title=don't>{PROSE}</p><p>end</p></article>", f"T\n{PROSE}\nend"),
+        (f"<article><p a=\"x>y\" b='>' c=d/>{PROSE}</p></article>", PROSE),
+        ("<article><p>The <label>marked</label> word</p><xmp>a <b> &amp; c</xmp></article>", "The marked word\na <b> &amp; c"),
+        # A page is shown by its script later; elements inside it may be hidden.
+        (f"<body style='display: none' hidden><article><p>{PROSE}</p><p hidden>no</p></article></body>", PROSE),
+        ("<p>1 < 2 & 3 > 2 <!-- no --> x <![CDATA[y]]> z", "1 < 2 & 3 > 2 x z"),
+    ],
+)
+def test_odd_layouts(page, wanted):
+    path, _ = htmltext.best_path(page)
+    found = htmltext.extract(page, path)
+    assert found == "\n".join(" ".join(x.split()) for x in wanted.split("\n")) == htmltext.extract(page, None)
+
+
+@pytest.mark.parametrize(
+    "part,after",
+    [
+        ("<a ", ""), ("<a ", ">"), ("<a b=\"", ""), ("<a b='", "'>"), ("<div>", ""), ("<div class=sidebar>", "x"),
+        ("<div class=sidebar><div class=menu>t", ""), ("<ul><li>x", ""), ("<i><p>", "</i>" * 9000), ("<font>", "<div>x" * 9000),
+        ("<b>", "</i>" * 9000), ("<blockquote>", "<p>x" * 9000), ("<!--", ""), ("<script>", ""), ("<xmp>", ""), ("<", ""),
+        ("&", ""), ("<div class=a>", "text</div>" * 9000), ("<article>", "x"), ("<a =", ""), ("</div", ">"),
+    ],
+)
+def test_time_is_in_proportion_to_the_page(part, after):
+    """Pages of 300 KB that would take minutes if anything were looked at again for each element."""
+    import time
+
+    page = part * (300_000 // len(part)) + after
+    started = time.process_time()
+    htmltext.extract(page, htmltext.best_path(page)[0])
+    assert time.process_time() - started < 15
