@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from test_operators import brute_components, brute_rules
+from test_operators import brute_components, brute_kept, brute_rules
 
 import corpus_pipeline
 from __spark_entry__ import queries
@@ -132,6 +132,7 @@ def test_rules(table, result):
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     for d in table("documents"):
         assert tuple(found[d["doc_id"]][n] for n in names) == brute_rules(d["text"])
+        assert found[d["doc_id"]]["kept"] == brute_kept(d["text"])
     good = {r["doc_id"] for r in table("labels") if r["quality"] == 1}
     assert all(found[i]["kept"] for i in good if not found[i]["base_failed"])
 
