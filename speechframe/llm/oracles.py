@@ -1,5 +1,7 @@
 """DuckDB SQL of the training-data queries that SQL can express."""
 
+from speechframe.llm.sharding import PRIME, ROUNDS, round_keys
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: CRC-32: the table of its polynomial, as a list in a one-row relation.
@@ -14,11 +16,8 @@ crc_table AS (
 
 def crc(text: str) -> str:
     """Checksum of a text's UTF-8 bytes; ``crc_table`` must be in scope."""
-    digits = f"hex(encode({text}))"
-    octets = (
-        f"list_transform(range(1, length({digits}), 2), "
-        f"lambda j: ('0x' || substr({digits}, j, 2))::BIGINT)"
-    )
+    pairs = f"regexp_extract_all(hex(encode({text})), '..')"
+    octets = f"list_transform({pairs}, lambda p: ('0x' || p)::BIGINT)"
     return (
         f"xor(list_reduce(list_prepend(4294967295::BIGINT, {octets}), "
         f"lambda c, b: xor(c >> 8, crc_table.t[xor(c, b) % 256 + 1])), 4294967295)"
@@ -134,4 +133,58 @@ JOIN top_ends b ON b.key = l.key
 CROSS JOIN (SELECT h FROM top_nodes WHERE n = 1) r
 """
 
-ORACLES = {"op11_resample": RESAMPLE, "op12_naming": NAMING, "op13_merkle": MERKLE}
+
+def _sharding(shards: int, seed: int) -> str:
+    """Rounds of the network one by one; a number outside goes on with another pass."""
+    keys = [f"{k}" for k in round_keys(seed)]
+    once = f"((v + [{', '.join(keys)}][2 * k + 1]) % {PRIME})"
+    twice = f"(({once} * {once} + [{', '.join(keys)}][2 * k + 2]) % {PRIME})"
+    even = f"(i % {ROUNDS}) % 2 = 0"
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+sizes AS (SELECT n, high, (n + high - 1) // high AS low FROM (
+  SELECT count(*) AS n, floor(sqrt(greatest(count(*) - 1, 0)))::BIGINT + 1 AS high FROM documents)),
+numbered AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS number FROM documents),
+walk AS (
+  SELECT number, number // low AS l, number % low AS r, 0 AS i FROM numbered, sizes
+  UNION ALL
+  SELECT number, CASE WHEN {even} THEN (l + mixed) % high ELSE l END,
+         CASE WHEN {even} THEN r ELSE (r + mixed) % low END, i + 1
+  FROM (
+    SELECT *, {twice} * {twice} % {PRIME} AS mixed FROM (
+      SELECT *, CASE WHEN {even} THEN r ELSE l END AS v, i % {ROUNDS} AS k FROM walk, sizes
+      WHERE i = 0 OR i % {ROUNDS} > 0 OR l * low + r >= n))),
+places AS (
+  SELECT number, l * low + r AS place FROM walk, sizes WHERE i > 0 AND i % {ROUNDS} = 0 AND l * low + r < n)
+SELECT d.doc_id, strlen(coalesce(text, '')) + 8 AS size, {crc("coalesce(text, '')")} AS text_crc32,
+       'rows' AS law, (place % {shards})::INT AS shard, place // {shards} AS slot,
+       NULL::INT AS grown_shard, number AS row_number
+FROM documents d JOIN numbered USING (doc_id) JOIN places USING (number), crc_table
+"""
+
+
+EMBEDDINGS = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+reached AS (
+  SELECT vec_id AS v, vec_id AS r FROM embeddings
+  UNION
+  SELECT l.b, reached.r FROM reached JOIN links l ON l.a = reached.v),
+roots AS (SELECT v, min(r) AS root FROM reached GROUP BY v),
+degrees AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT v AS vec_id, coalesce(n, 0) AS n_links, root AS component_id, v = root AS kept
+FROM roots LEFT JOIN degrees ON a = v
+"""
+
+ORACLES = {
+    "op1_sharding": _sharding(24, 2024),
+    "op8_embeddings": EMBEDDINGS,
+    "op11_resample": RESAMPLE,
+    "op12_naming": NAMING,
+    "op13_merkle": MERKLE,
+}

@@ -166,3 +166,34 @@ def test_stages_of_an_empty_table(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SMALL).collect() == []
+
+
+def test_embeddings(spark, tmp_path):
+    """The registered query over a table with planted links, chains of them, copies and odd vectors, against its
+    SQL: the given table has no pair."""
+    from oracle_check import connect, rows
+
+    from __spark_entry__ import oracle_sql
+
+    rng = np.random.default_rng(3)
+    vectors = []
+    for _ in range(20):
+        at = rng.normal(size=64)
+        for _ in range(6):  # a chain: neighbours are near, its ends are not
+            vectors.append(at.tolist())
+            at = at + rng.normal(size=64) * 0.42
+    vectors += [vectors[0], [3 * x for x in vectors[7]], [0.0] * 64, None, [float("nan")] * 64]
+    table = [(i * 3, v, i % 5) for i, v in enumerate(vectors)]
+    given = spark.read.parquet(f"{SMALL}/embeddings.parquet")
+    column = next(f.name for f in given.schema if f.name.startswith("emb"))
+    made = spark.createDataFrame(table, f"vec_id long, {column} array<double>, label int")
+    made.withColumn(column, made[column].cast(given.schema[column].dataType)).coalesce(1).write.parquet(str(tmp_path / "t"))
+    next((tmp_path / "t").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    con = connect(SMALL)
+    con.execute(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    found = queries()["op8_embeddings"](spark, str(tmp_path))
+    cursor = con.execute(oracle_sql()["op8_embeddings"])
+    wanted = rows([d[0] for d in cursor.description], cursor.fetchall())
+    assert rows(found.columns, [tuple(r) for r in found.collect()]) == wanted
+    linked = [r for r in found.collect() if r["n_links"]]
+    assert len(linked) > 60 and len({r["component_id"] for r in linked}) > 10
