@@ -84,16 +84,25 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str) -> tuple[DataFra
     return numbered.select(*columns, (F.col(copy) + inside).alias(name)), total
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame, limit: int = 60, rows: int | None = None) -> DataFrame:
     """(v, root) for every vertex of ``edges`` (a, b): the smallest vertex it is connected with.
 
     Alternating large-star and small-star steps over grouped minima; a vertex of many edges is
     pre-aggregated in the grouping, and its rows of the join back are split by adaptive execution.
+    With ``rows``, a step over few edges is spread over no more partitions than hold so many each, whatever
+    the session's number: the edges are counted, and their number never grows.
     """
     current = cut(edges.filter(F.col("a") != F.col("b")).select("a", "b").distinct())
+    if rows:
+        parts = -(-current.count() // rows) or 1
+        current = current.coalesce(parts)
     seen = None
     for _ in range(limit):
-        both = current.union(current.select(F.col("b"), F.col("a")))
+        if rows:
+            ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+            both = current.select(F.inline(ends))
+        else:
+            both = current.union(current.select(F.col("b"), F.col("a")))
         least = both.groupBy("a").agg(F.min("b").alias("m"))
         large = (
             both.join(least, "a")
@@ -103,12 +112,13 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
         )
         lowest = large.groupBy("a").agg(F.min("b").alias("m"))
         stars = large.join(lowest, "a")
-        current = cut(
+        current = (
             stars.filter(F.col("b") != F.col("m"))
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .union(lowest.select("a", F.col("m").alias("b")))
             .distinct()
         )
+        current = cut(current.coalesce(parts) if rows else current)
         state = current.agg(
             F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 31)))
         ).first()

@@ -8,7 +8,8 @@
 3. In every list each class meets the list's smallest class; sketches estimate their overlap (the
    union's sketch is part of both), and what passes is verified on the full sets.
 4. Classes of lists that are not yet connected are dealt in blocks, and two blocks that a list joins
-   are compared inside a task, on the full sets. Tasks return spanning forests. So no list is written
+   are compared inside a task: by their sketches, then on the full sets of the classes that
+   sketches leave a partner for. Tasks return spanning forests of components. So no list is written
    out as pairs, yet no link between different components is missed.
 """
 
@@ -30,8 +31,11 @@ SKETCH = 64
 #: Retained values that two sets of similarity 0.8 share at least, when both sets are larger than
 #: the sketch. The expected number is 51 with deviation 3.2; fewer than this has odds below 1e-8.
 SHARED = 30
-#: Classes of a block; two blocks are compared at once.
+#: Classes of a block, if their sets have up to so many shingles; two blocks are compared at once.
 BLOCK = 1024
+BLOCK_SET = 1024
+#: Edges that a task of the search for components takes at least.
+EDGES = 50_000
 #: Words a worker remembers with their hashes.
 MEMO_WORDS = 1_000_000
 
@@ -232,34 +236,86 @@ def shared_counts(sets: list[np.ndarray], first: int, columns: int = 1024) -> np
     return shared
 
 
+def _blocks(members: DataFrame) -> tuple[DataFrame, int]:
+    """(fp, n, root, block) of the classes in ``members``, and how many they are. Classes of common lists
+    stand side by side. A block holds at most ``BLOCK`` sets of up to ``BLOCK_SET`` shingles, half as many
+    for every doubling of their size, so its sets stay within a bound in bytes too."""
+    doubled = F.floor(F.log2(F.col("n") / BLOCK_SET)).cast("int")
+    level = F.least(F.greatest(doubled, F.lit(0)), F.lit(20))
+    placed = members.groupBy("fp").agg(
+        F.first("n").alias("n"), F.first("root").alias("root"), F.min("near").alias("near")
+    )
+    numbered, total = number_rows(placed.withColumn("level", level), ["level", "near", "fp"], "number")
+    size = F.greatest(F.call_function("shiftright", F.lit(BLOCK), F.col("level")), F.lit(1))
+    block = F.shiftleft(F.col("level").cast("long"), 48) + F.call_function("div", F.col("number"), size)
+    return cut(numbered.select("fp", "n", "root", block.alias("block"))), total
+
+
+def _candidates(rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Of the rows (i, j, block, fp, root, n, sketch) of pairs of blocks, those whose class has a class of another
+    component and of the other block that the sketch of their union doesn't rule out."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in runs(batches, ["i", "j"]):
+            sketches = group["sketch"].tolist()
+            sizes = group["n"].to_numpy("f8")
+            first = int((group["block"] == group["i"].iloc[0]).sum())
+            second = first % len(sketches)
+            known = pd.factorize(group["root"])[0]
+            found = np.zeros(len(sketches), dtype=bool)
+            for i, counts in enumerate(shared_counts(sketches, first)):
+                # No estimate is above what the two sketches share.
+                whole = np.maximum(sizes[i], sizes[second:]) <= k
+                union = np.where(whole, sizes[i] + sizes[second:] - counts, k)
+                bound = np.where(whole, similarity, similarity - slack(k))
+                near = (counts >= (bound - 1e-9) * union) & (known[i] != known[second:])
+                for j in (np.flatnonzero(near) + second).tolist():
+                    if found[i] and found[j]:
+                        continue
+                    if _passes(sketches[i], sketches[j], sizes[i], sizes[j], k, similarity)[0]:
+                        found[i] = found[j] = True
+            yield group.loc[found, ["i", "j", "block", "fp", "root"]]
+
+    dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j", "block")
+    return dealt.mapInPandas(tidy(run), "i long, j long, block long, fp binary, root binary")
+
+
 def _across(
-    lists: DataFrame, roots: DataFrame, docs: DataFrame, sketched: DataFrame, *, width: int, similarity: float
+    lists: DataFrame,
+    roots: DataFrame,
+    classes: DataFrame,
+    docs: DataFrame,
+    sketched: DataFrame,
+    *,
+    width: int,
+    similarity: float,
+    k: int,
 ) -> DataFrame:
-    """(a, b): edges that connect all links between different components of one list.
+    """(a, b): edges between components (roots) that connect all those with a link between classes of one list.
 
-    Classes of lists that aren't one component yet are dealt in blocks, those of common lists side
-    by side, and every two blocks that some list joins are compared once, on full sets. A task
-    returns a spanning forest of the links it found, so copies of each other give no pairs."""
+    Classes of lists that aren't one component yet are dealt in blocks, and every two blocks that some list
+    joins are compared once: first their sketches, then the full sets of the classes that
+    have a likely partner there. A task returns a spanning forest of the links it found, so copies of
+    each other give no pairs."""
     labelled = lists.join(roots.select(F.col("v").alias("fp"), "root"), "fp", "left")
-    labelled = labelled.select("value", "fp", F.coalesce("root", "fp").alias("root"))
+    labelled = labelled.select("value", "fp", "n", F.coalesce("root", "fp").alias("root"))
     ends = labelled.groupBy("value").agg(
         F.min("root").alias("x"), F.max("root").alias("y"), F.min("fp").alias("near")
     )
     open_lists = ends.filter(F.col("x") != F.col("y")).select("value", "near")
     members = cut(labelled.join(open_lists, "value"))
-    placed = members.groupBy("fp").agg(F.first("root").alias("root"), F.min("near").alias("near"))
-    numbered, total = number_rows(placed, ["near", "fp"], "number")
+    blocks, total = _blocks(members)
     if not total:
         return lists.select(F.col("fp").alias("a"), F.col("fp").alias("b")).limit(0)
-    block = F.call_function("div", F.col("number"), F.lit(BLOCK))
-    blocks = cut(numbered.select("fp", "root", block.alias("block")))
     held = members.select("value", "fp").join(blocks.select("fp", "block"), "fp").select("value", "block").distinct()
     other = held.select("value", F.col("block").alias("j"))
     pairs = held.join(other, "value").filter(F.col("block") <= F.col("j"))
     pairs = cut(pairs.select(F.col("block").alias("i"), "j").distinct())
     sides = pairs.select("i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    full = _full_sets(blocks.select("fp"), docs, sketched, width)
-    rows = sides.join(blocks.join(full, "fp"), "block").select("i", "j", "block", "fp", "root", "whole")
+    outlined = blocks.join(classes.select("fp", "sketch"), "fp")
+    likely = cut(_candidates(sides.join(outlined, "block"), k, similarity))
+    full = _full_sets(likely.select("fp").distinct(), docs, sketched, width)
+    rows = likely.join(full, "fp").select("i", "j", "block", "root", "whole")
     percent = round(100 * similarity)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -269,18 +325,19 @@ def _across(
             first = int((group["block"] == group["i"].iloc[0]).sum())
             second = first % len(sets)
             shared = shared_counts(sets, first)
-            alike = np.zeros(shared.shape, dtype=bool)
-            # Only links between classes that are still apart; a block with itself counts once.
-            known = pd.factorize(group["root"])[0]
+            # Only links between components that are still apart.
+            known, names = pd.factorize(group["root"])
+            x, y = [], []
             for i, counts in enumerate(shared.astype("i4")):
                 union = sizes[i] + sizes[second:] - counts
-                alike[i] = (100.0 * counts >= percent * union) & (known[i] != known[second:])
-            x, y = np.nonzero(alike if second else np.triu(alike, 1))
-            root = label_roots(len(sets), x, y + second)
-            fps = group["fp"].tolist()
-            linked = [i for i in range(len(sets)) if root[i] != i]
-            if linked:
-                yield pd.DataFrame({"a": [fps[i] for i in linked], "b": [fps[root[i]] for i in linked]})
+                alike = (100.0 * counts >= percent * union) & (known[i] != known[second:])
+                met = np.unique(known[second:][alike])
+                x.append(np.full(len(met), known[i]))
+                y.append(met)
+            root = label_roots(len(names), np.concatenate(x), np.concatenate(y))
+            linked = np.flatnonzero(root != np.arange(len(names)))
+            if len(linked):
+                yield pd.DataFrame({"a": names[linked], "b": names[root[linked]]})
 
     dealt = rows.repartition("i", "j").sortWithinPartitions("i", "j", "block")
     return dealt.mapInPandas(tidy(run), "a binary, b binary")
@@ -312,13 +369,15 @@ def near_duplicates(
     best = cut(likely.groupBy("a").agg(F.max(F.struct("estimate", "b")).alias("x")).select("a", "x.b"))
     options = {"width": width, "similarity": similarity}
     links = cut(_verify(best, docs, sketched, **options))
-    rest = _across(lists, components(links), docs, sketched, **options)
-    roots = components(links.union(rest))
-    ids = roots.join(classes.select(F.col("fp").alias("v"), "least"), "v")
-    ids = ids.groupBy("root").agg(F.min("least").alias("id"))
-    merged = cut(roots.join(ids, "root").select(F.col("v").alias("fp"), "id"))
-    owners = classes.select("fp", "least").join(merged, "fp", "left")
-    owners = owners.select("fp", F.coalesce("id", "least").alias("component_id"))
+    apart = components(links, rows=EDGES)
+    joined = components(_across(lists, apart, classes, docs, sketched, **options, k=k), rows=EDGES)
+    inner = apart.select(F.col("v").alias("fp"), F.col("root").alias("inner"))
+    outer = joined.select(F.col("v").alias("inner"), "root")
+    owners = classes.select("fp", "least").join(inner, "fp", "left")
+    owners = owners.withColumn("inner", F.coalesce("inner", "fp")).join(outer, "inner", "left")
+    owners = cut(owners.select("fp", "least", F.coalesce("root", "inner").alias("root")))
+    ids = owners.groupBy("root").agg(F.min("least").alias("component_id"))
+    owners = owners.select("fp", "root").join(ids, "root").select("fp", "component_id")
     # A class of many copies is a hot key on the left side only, which adaptive execution splits.
     joined = some.select("doc_id", "n", "fp").join(owners, "fp")
     alone = sketched.filter("n = 0").select("doc_id", "n", "fp", F.col("doc_id").alias("component_id"))

@@ -420,15 +420,19 @@ def test_links_of_near_copies(spark, seed, base_words, monkeypatch):
     assert kept == {c for _, _, c in wanted}
 
 
-def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
-    """Classes that the smallest of their lists doesn't link, in lists of several blocks."""
+@pytest.mark.parametrize("block_set", [1024, 16])
+def test_long_lists_are_compared_in_blocks(spark, monkeypatch, block_set):
+    """Classes that the smallest of their lists doesn't link, in lists of several blocks, of sets of one level
+    or of two."""
     monkeypatch.setattr(minhash, "BLOCK", 4)
+    monkeypatch.setattr(minhash, "BLOCK_SET", block_set)
     random.seed(11)
     base = [f"w{i}" for i in range(40)]
     rows = []
     for i in range(60):
-        cut = random.randrange(0, 16)
-        rows.append((i, " ".join(base[: 40 - cut] + [f"x{i // 4}y{j}" for j in range(cut)])))
+        cut, more = random.randrange(0, 16), random.choice((0, 0, 6))  # 37 shingles, or more and fewer than 32
+        own = [f"x{i // 4}y{j}" for j in range(cut)]
+        rows.append((i, " ".join(base[more : 40 - cut] + own)))
     found = minhash.near_duplicates(documents(spark, rows), width=4)
     got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found.collect())
     assert got == sorted(brute_components(rows, 4))
