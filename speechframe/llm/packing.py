@@ -7,6 +7,7 @@ import zlib
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from struct import pack as pack_ids
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,8 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from speechframe.llm import common
 from speechframe.llm.common import number_rows, tidy
 
-#: Words a worker remembers with their ids; beyond it, it starts afresh (results don't change).
-MEMO_WORDS = 400_000
+#: Words a worker remembers with their ids, those used last (results don't depend on it).
+MEMO_WORDS = 1_000_000
 #: Words above this length are encoded each time.
 MEMO_CHARS = 48
 
@@ -38,6 +39,14 @@ class WordEncoder:
     #: The tokenizer's own word pattern.
     WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
+    #: The model spells a byte that is no printable Latin-1 character by the next one from 256 on.
+    BYTES = {
+        byte: 256 + number
+        for number, byte in enumerate([*range(33), *range(127, 161), 173])
+    }
+    #: The first character behind the Latin blocks of Unicode.
+    LATIN = "\u0250"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
@@ -48,48 +57,85 @@ class WordEncoder:
             self.last[number] = token.endswith("</w>")
         # The dotted capital I is the one letter that lower case makes a letter and a mark of.
         self.unusual = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()] + ["İ"]
-        self.chunks: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        # The newer half of the memory takes what is used from the older one, which goes when the newer is full.
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.long: set[str] = set()
 
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
 
-    def _learn(self, words: list[str]) -> None:
-        """Ids of new words: one text of them all, cut behind each word's last id."""
+    def _plain(self, part: str) -> bool:
+        """Letters of the Latin blocks alone, in lower case: one word, and normalised as it is."""
+        return part.isalpha() and max(part) < self.LATIN and part == part.lower()
+
+    def _learn(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of new words that the tokenizer may normalise: one text of them all, cut behind each
+        word's last id."""
+        known = {}
         for start in range(0, len(words), 1000):
             part = words[start : start + 1000]
             encoded = self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)
             ids = np.asarray(encoded[0].ids, dtype="<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
-                self.words.update((w, self._whole(w)) for w in part)
+                known.update((w, self._whole(w)) for w in part)
                 continue
             data, begin = ids.tobytes(), 0
             for word, end in zip(part, ends.tolist()):
-                self.words[word] = data[4 * begin : 4 * end]
+                known[word] = data[4 * begin : 4 * end]
                 begin = end
+        return known
+
+    def _add(self, parts: set[str]) -> None:
+        """Puts parts that are not in the newer half of the memory there. A word is a part too."""
+        new, old, split, fresh = self.new, self.old, {}, set()
+        for part in parts:
+            ids = old.get(part)
+            if ids is not None:
+                new[part] = ids
+            elif self._plain(part):
+                new[part] = self._word(part)
+            else:
+                words = split[part] = self.WORDS.findall(part)
+                fresh.update(words)
+        learn = []
+        for word in fresh.difference(new):
+            ids = old.get(word)
+            if ids is not None:
+                new[word] = ids
+            elif self._plain(word):
+                new[word] = self._word(word)
+            else:
+                learn.append(word)
+        new.update(self._learn(learn))
+        for part, words in split.items():
+            new[part] = b"".join(map(new.__getitem__, words))
+        for part in parts | fresh:
+            if len(part) > MEMO_CHARS:
+                self.long.add(part)
+
+    def _word(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.BYTES)
+        ids = [token.id for token in self.model.tokenize(word)]
+        return pack_ids(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         if any(t in text for t in self.unusual) or not unicodedata.is_normalized("NFC", text):
             return self._whole(text)
         parts = text.replace("\n", " ").encode().lower().decode().split(" ")
-        chunks = self.chunks
-        try:
-            return b"".join(map(chunks.__getitem__, parts))
-        except KeyError:
-            pass
-        if len(chunks) > MEMO_WORDS or len(self.words) > MEMO_WORDS:
-            chunks.clear()
-            self.words.clear()
-        new = {p: self.WORDS.findall(p) for p in set(parts) if p not in chunks}
-        self._learn(list({w for found in new.values() for w in found if w not in self.words}))
-        fresh = {p: b"".join(map(self.words.__getitem__, found)) for p, found in new.items()}
-        out = b"".join([chunks[p] if p in chunks else fresh[p] for p in parts])
-        chunks.update((p, ids) for p, ids in fresh.items() if len(p) <= MEMO_CHARS)
-        for word in [w for found in new.values() for w in found if len(w) > MEMO_CHARS]:
-            self.words.pop(word, None)
+        if len(self.new) > MEMO_WORDS // 2:
+            self.old, self.new = self.new, {}
+        missing = set(parts).difference(self.new)
+        if missing:
+            self._add(missing)
+        out = b"".join(map(self.new.__getitem__, parts))
+        while self.long:
+            del self.new[self.long.pop()]
         return out
 
 
@@ -113,7 +159,7 @@ def cut_pieces(
     (doc_id, start, length, ids_crc32, doc_tokens[, ids][, packed]): a document's ids and ``end_id``, cut
     every ``capacity`` ids; ``start`` counts its ids before the piece. NULL and empty texts are
     one piece with the end id alone; a NULL doc_id stays NULL; repeated rows give repeated pieces.
-    ``ids=False`` leaves the ids out (placements only); ``packed`` adds them as compressed bytes.
+    ``ids=False`` leaves the ids out (placements only); ``packed`` adds them as compressed bytes, two for each id if all fit.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
     end = np.asarray([end_id], dtype="<u4").tobytes()
@@ -121,6 +167,7 @@ def cut_pieces(
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = word_encoder(tokenizer)
         compress = zstandard.ZstdCompressor(level=1).compress
+        narrow = packed and max(len(encoder.last) - 1, end_id) < 1 << 16
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
@@ -132,7 +179,11 @@ def cut_pieces(
                     row = (doc_id, start, len(piece) // 4, zlib.crc32(piece), total)
                     if ids:
                         row = (*row, np.frombuffer(piece, "<u4").astype("i4"))
-                    rows.append((*row, compress(piece)) if packed else row)
+                    if packed:
+                        # Two bytes are enough for each id of a small vocabulary.
+                        kept = np.frombuffer(piece, "<u4").astype("<u2").tobytes() if narrow else piece
+                        row = (*row, compress(kept))
+                    rows.append(row)
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * ids, *["packed"] * packed]
             out = pd.DataFrame(rows, columns=names)
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
@@ -286,6 +337,10 @@ def assemble(pieces: DataFrame, *, capacity: int = 2048, pad_id: int = 0, ids: b
             rows[c].to_numpy() for c in ("sequence_id", "offset", "length", "ids_crc32")
         )
         data = [decompress(x) for x in rows["packed"].to_pylist()]
+        data = [
+            np.frombuffer(x, "<u2").astype("<u4").tobytes() if len(x) == 2 * n else x
+            for x, n in zip(data, lengths.tolist())
+        ]
         begins = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
         first = np.zeros(len(numbers), dtype=bool)
         right = np.zeros(len(numbers), dtype=bool)
