@@ -17,8 +17,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Segments a worker remembers with their ids; beyond it, it starts afresh (results don't change).
-MEMO_SEGMENTS = 500_000
+#: Segments a worker remembers with their ids, those used last (results don't depend on it).
+MEMO_SEGMENTS = 1_000_000
 MEMO_CHARS = 48
 #: Characters between two looks for a boundary to commit, as a multiple of the longest piece.
 COMMIT_EVERY = 4
@@ -61,6 +61,8 @@ class PieceModel:
         self.beginnings = {p[:i] for p in self.ids for i in range(1, len(p) + 1)}
         self._pairs: dict[str, dict[str, bool]] = {}
         self._history: dict[str, list[tuple[float, str, str]] | None] = {}
+        #: Behind a piece (None: at the beginning), which beginnings of pieces are pieces that may follow it.
+        self._behind: dict[str | None, dict[str, bool]] = {}
 
     def normalize(self, text: str) -> str:
         """The model's own normalisation, with its mark for spaces."""
@@ -101,6 +103,15 @@ class PieceModel:
             known = own[right] = self._apart(self.history(left), self.history(right))
         return known
 
+    def behind(self, left: str | None) -> dict[str, bool]:
+        """What is known of the pieces behind this one."""
+        own = self._behind.get(left)
+        if own is None:
+            if len(self._behind) > 200_000:
+                self._behind.clear()
+            own = self._behind[left] = {}
+        return own
+
     def _apart(self, left: list[tuple[float, str, str]], right: list[tuple[float, str, str]]) -> bool:
         never = (float("-inf"),)
         i = j = 0
@@ -212,8 +223,12 @@ class Encoder:
 
     def __init__(self, model: PieceModel):
         self.model = model
+        # Of segments and of words, the newer and the older half of the memory: what is used again moves to
+        # the newer one, and the older one goes when that is full.
         self.known: dict[str, bytes] = {}
+        self.known_before: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.words_before: dict[str, bytes] = {}
         spaced = any(SPACE in p.lstrip(SPACE) for p in model.ids) or "\n" in "".join(model.ids)
         self.split = None if spaced else self.SEGMENTS
 
@@ -228,25 +243,25 @@ class Encoder:
     def _window(self, text: str) -> list[int]:
         """The same search over a text that fits into one window: nothing to commit before its end."""
         model = self.model
-        beginnings, history, pairs = model.beginnings, model.history, model._pairs
+        beginnings, history = model.beginnings, model.history
         ids, size = model.ids, len(text)
         last: list[str | None] = [None] * (size + 1)
         for start in range(size):
             left = last[start]
             if left is None and start:
                 continue
-            known = pairs.get(left, {}) if start else None
+            known = model.behind(left)
             end, piece = start + 1, text[start]
             if piece not in ids and last[end] is None:
                 last[end] = piece
             while piece in beginnings:
-                if last[end] is None and piece in ids and history(piece) is not None:
-                    if known is None:
+                if last[end] is None:
+                    fits = known.get(piece)
+                    if fits is None:
+                        whole = piece in ids and history(piece) is not None
+                        fits = known[piece] = whole and (left is None or model.follows(left, piece))
+                    if fits:
                         last[end] = piece
-                    else:
-                        fits = known.get(piece)
-                        if model.follows(left, piece) if fits is None else fits:
-                            last[end] = piece
                 end += 1
                 if end > size:
                     break
@@ -268,7 +283,9 @@ class Encoder:
             part = word[start:i]
             ids = self.known.get(part)
             if ids is None:
-                ids = self._segment(part)
+                ids = self.known_before.get(part)
+                if ids is None:
+                    ids = self._segment(part)
                 if len(part) <= MEMO_CHARS:
                     self.known[part] = ids
             out.append(ids)
@@ -282,16 +299,19 @@ class Encoder:
         if self.split is None:
             return np.frombuffer(self._word(plain), dtype="<i4")
         parts = self.split.findall(plain)
-        words = self.words
-        try:
-            data = b"".join(map(words.__getitem__, parts))
-        except KeyError:
-            if len(words) > MEMO_SEGMENTS or len(self.known) > MEMO_SEGMENTS:
-                words.clear()
-                self.known.clear()
-            fresh = {p: self._word(p) for p in set(parts) if p not in words}
-            data = b"".join([words[p] if p in words else fresh[p] for p in parts])
-            words.update((p, ids) for p, ids in fresh.items() if len(p) <= MEMO_CHARS)
+        if len(self.words) > MEMO_SEGMENTS // 2:
+            self.words_before, self.words = self.words, {}
+        if len(self.known) > MEMO_SEGMENTS // 2:
+            self.known_before, self.known = self.known, {}
+        words, before = self.words, self.words_before
+        missing = set(parts).difference(words)
+        for part in missing:
+            ids = before.get(part)
+            words[part] = self._word(part) if ids is None else ids
+        data = b"".join(map(words.__getitem__, parts))
+        for part in missing:
+            if len(part) > MEMO_CHARS:
+                del words[part]
         return np.frombuffer(data, dtype="<i4")
 
 
