@@ -69,7 +69,8 @@ class WordEncoder:
 
     def _plain(self, part: str) -> bool:
         """Letters of the Latin blocks alone, in lower case: one word, and normalised as it is."""
-        return part.isalpha() and max(part) < self.LATIN and part == part.lower()
+        # Capitals of ASCII are gone here.
+        return part.isalpha() and (part.isascii() or (max(part) < self.LATIN and part == part.lower()))
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
         """Ids of new words that the tokenizer may normalise: one text of them all, cut behind each
@@ -99,7 +100,12 @@ class WordEncoder:
             elif self._plain(part):
                 new[part] = self._word(part)
             else:
-                words = split[part] = self.WORDS.findall(part)
+                base = part.rstrip(".,;:!?")
+                if len(base) < len(part) and self._plain(base):
+                    words = [base, part[len(base) :]]  # signs in a row are one word
+                else:
+                    words = self.WORDS.findall(part)
+                split[part] = words
                 fresh.update(words)
         learn = []
         for word in fresh.difference(new):
