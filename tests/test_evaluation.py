@@ -81,6 +81,36 @@ def test_alignment_is_the_documented_one_at_any_length(monkeypatch):
             assert all(ref[o[1]] == hyp[o[2]] for o in ops if o[0] == "equal")
 
 
+def test_alignment_in_bands_of_any_width(monkeypatch):
+    rng = random.Random(5)
+    for half, rows in ((1, 1), (2, 3), (3, 256)):
+        monkeypatch.setattr(align, "FIRST_BAND", half)
+        monkeypatch.setattr(align, "BLOCK_ROWS", rows)
+        for _ in range(80):
+            ref = [rng.choice("abcd") for _ in range(rng.randrange(0, 30))]
+            hyp = [w for w in ref if rng.random() > 0.2] if rng.random() < 0.5 else [
+                rng.choice("abcde") for _ in range(rng.randrange(0, 30))]
+            assert align.align_words(ref, hyp) == traced(ref, hyp)
+
+
+def test_alignment_of_long_clips_with_few_errors(monkeypatch):
+    cells = 0
+    plain = align._next_row
+
+    def counted(row, *rest):
+        nonlocal cells
+        cells += len(row)
+        return plain(row, *rest)
+
+    monkeypatch.setattr(align, "_next_row", counted)
+    ref = [f"w{i % 997}" for i in range(20_000)]
+    hyp = [w for i, w in enumerate(ref) if i % 1000 != 7]
+    hyp[5000:5000] = ["extra"] * 5
+    ops = align.align_words(ref, hyp)
+    assert sum(o[0] != "equal" for o in ops) == 25
+    assert cells < len(ref) * len(hyp) / 50
+
+
 def test_word_errors_equals_alignment(spark):
     rng = random.Random(4)
     rows = [([rng.choice(["a", "bb", "ç", "d"]) for _ in range(rng.randrange(0, 12))],
@@ -177,11 +207,11 @@ def test_rollup_and_report(spark):
 
 
 def test_last_row_matches_plain():
-    a, b = np.array([1, 2, 3]), np.array([2, 3, 4])
-    steps = row = np.arange(4)
-    for i, word in enumerate(a, 1):
-        row = align._next_row(row, word, b, i, steps)
-    assert row[-1] == 2
+    band = align._Band(np.array([1, 2, 3]), np.array([2, 3, 4]), 3)
+    row = band.first
+    for i in range(1, 4):
+        row = band.after(row, i)
+    assert row[3] == 2
 
 
 def test_percent_rounds_the_exact_value(spark):
