@@ -6,6 +6,7 @@ import io
 import math
 import struct as binary
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -18,6 +19,14 @@ from speechframe.schema import PCM_BLOCKS, SAMPLE_RATE
 
 BLOCK_SAMPLES = 10 * SAMPLE_RATE
 MAX_SECONDS = 4 * 3600
+#: The resampling filter: zero crossings of the sinc at each side, the band of higher rates that passes
+#: as a share of half of 16 kHz, and the shape of its Kaiser window.
+ZERO_CROSSINGS = 32
+PASS_BAND = 0.92
+KAISER_BETA = 8.6
+#: Weights that a task keeps for a rate, and those it multiplies at a time.
+TABLE_WEIGHTS = 2_000_000
+PIECE_WEIGHTS = 1_000_000
 
 
 def container(content: Column) -> Column:
@@ -102,7 +111,7 @@ def _open(path: str):
 
 
 def _pcm_layout(source, size: int) -> dict | None:
-    """Channels, rate, bits, byte order and data range of PCM or float WAV or AIFF, else None."""
+    """Channels, rate, bits, byte order and data range of PCM or float WAV, AIFF or AIFC, else None."""
     facts = _header_facts(source, size)
     if facts is None:
         return None
@@ -116,11 +125,11 @@ def _header_facts(source, size: int) -> dict | None:
     head = source.read(12)
     if head[:4] == b"RIFF" and head[8:12] == b"WAVE":
         order, wanted, read = "<", (b"fmt ", b"data"), _wav_chunk
-    elif head[:4] == b"FORM" and head[8:12] == b"AIFF":
+    elif head[:4] == b"FORM" and head[8:12] in (b"AIFF", b"AIFC"):
         order, wanted, read = ">", (b"COMM", b"SSND"), _aiff_chunk
     else:
         return None
-    at, facts = 12, {"order": order}
+    at, facts = 12, {"order": order, "compressed": head[8:12] == b"AIFC"}
     while at + 8 <= size and not ("offset" in facts and "bits" in facts):
         source.seek(at)
         name_and_length = source.read(8)
@@ -145,12 +154,27 @@ def _wav_chunk(name, body, at, length, facts):
         facts["offset"], facts["declared"] = at, length
 
 
+# Compression types of AIFC that hold plain samples, with their encoding and byte order.
+AIFC_KINDS = {
+    b"NONE": ("int", ">"),
+    b"twos": ("int", ">"),
+    b"in24": ("int", ">"),
+    b"in32": ("int", ">"),
+    b"sowt": ("int", "<"),
+    b"fl32": ("float", ">"),
+    b"FL32": ("float", ">"),
+    b"fl64": ("float", ">"),
+    b"FL64": ("float", ">"),
+}
+
+
 def _aiff_chunk(name, body, at, length, facts):
     if name == b"COMM" and len(body) >= 18:
         facts["channels"], _, facts["bits"] = binary.unpack(">hIh", body[:8])
+        kind = body[18:22] if facts["compressed"] else b"NONE"
+        facts["encoding"], facts["order"] = AIFC_KINDS.get(kind, (None, ">"))
         exponent, mantissa = binary.unpack(">HQ", body[8:18])
         facts["rate"] = int(math.ldexp(mantissa, (exponent & 0x7FFF) - 16383 - 63))
-        facts["encoding"] = "int"
     elif name == b"SSND":
         facts["offset"], facts["declared"] = at + 8, length - 8
 
@@ -218,7 +242,7 @@ def decode_blocks(
 ) -> DataFrame:
     """16 kHz int16 blocks of readable files. A block is the unit of work: each task seeks to the
     byte ranges it needs, so one long file is decoded in parallel. Channels are averaged, or kept
-    apart with ``split_channels``; other rates are interpolated linearly."""
+    apart with ``split_channels``; other rates are resampled (:func:`read_frames`)."""
     blocks = (
         layouts.where(F.col("error_code").isNull())
         .withColumn("_n", output_samples())
@@ -255,11 +279,16 @@ def decode_blocks(
 
 
 def read_frames(row: dict, first: int, count: int) -> np.ndarray:
-    """Output samples ``[first, first + count)`` as float64, shape (count, channels)."""
+    """Output samples ``[first, first + count)`` as float64, shape (count, channels).
+
+    Other rates than 16 kHz go through a windowed sinc filter, whose halo before and behind the range
+    is read along, so the samples don't depend on how a file is cut. Of higher rates what lies above 8 kHz is
+    taken out; samples of lower ones pass as they are where a place meets them. Before its start and
+    behind its end a file goes on with its outermost sample."""
     rate, channels, width = row["rate"], row["channels"], row["bits"] // 8
-    places = (first + np.arange(count)) * (rate / SAMPLE_RATE)
-    low = int(places[0])
-    high = min(row["frames"], int(places[-1]) + 2)
+    halo = 0 if rate == SAMPLE_RATE else _half_taps(rate)
+    low = max(0, first * rate // SAMPLE_RATE - halo)
+    high = min(row["frames"], (first + count - 1) * rate // SAMPLE_RATE + halo + 1)
     with _open(row["path"]) as source:
         source.seek(row["data_offset"] + low * channels * width)
         data = source.read((high - low) * channels * width)
@@ -270,10 +299,51 @@ def read_frames(row: dict, first: int, count: int) -> np.ndarray:
     else:
         frames = _as_int16_scale(data, width, row["byte_order"])
     frames = frames[: len(frames) // channels * channels].reshape(-1, channels)
-    if rate == SAMPLE_RATE:
+    if rate == SAMPLE_RATE or not len(frames):
         return frames[:count]
-    grid = np.arange(len(frames))
-    return np.stack([np.interp(places - low, grid, frames[:, c]) for c in range(channels)], axis=1)
+    return _resample(frames, rate, low, first, count)
+
+
+def _cutoff(rate: int) -> float:
+    """Band that passes, as a share of half the input rate."""
+    return PASS_BAND * SAMPLE_RATE / rate if rate > SAMPLE_RATE else 1.0
+
+
+def _half_taps(rate: int) -> int:
+    """Input samples at each side of a place that weigh in."""
+    return math.ceil(ZERO_CROSSINGS / _cutoff(rate))
+
+
+def _weights(rate: int, phases: np.ndarray) -> np.ndarray:
+    """One row of filter weights for each phase (in 16000ths of an input sample), adding up to one."""
+    half, cutoff = _half_taps(rate), _cutoff(rate)
+    away = np.arange(1 - half, half + 1) - phases[:, None] / SAMPLE_RATE
+    taper = np.i0(KAISER_BETA * np.sqrt(np.clip(1 - np.square(away / half), 0, None)))
+    weights = np.sinc(cutoff * away) * taper
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+@lru_cache(maxsize=4)
+def _phase_table(rate: int) -> np.ndarray:
+    """The weights of all phases that a rate has, in steps of its common divisor with 16000."""
+    return _weights(rate, np.arange(0, SAMPLE_RATE, math.gcd(rate, SAMPLE_RATE)))
+
+
+def _resample(frames: np.ndarray, rate: int, low: int, first: int, count: int) -> np.ndarray:
+    """Output samples from input ``frames`` that begin at input sample ``low``."""
+    half, step = _half_taps(rate), math.gcd(rate, SAMPLE_RATE)
+    held = SAMPLE_RATE // step * 2 * half <= TABLE_WEIGHTS
+    offsets = np.arange(1 - half, half + 1)
+    out = np.empty((count, frames.shape[1]))
+    piece = max(1, PIECE_WEIGHTS // (2 * half))
+    for start in range(0, count, piece):
+        places = (first + np.arange(start, min(count, start + piece), dtype=np.int64)) * rate
+        base, phase = places // SAMPLE_RATE, places % SAMPLE_RATE
+        weights = _phase_table(rate)[phase // step] if held else _weights(rate, phase)
+        near = np.clip(base[:, None] + offsets - low, 0, len(frames) - 1)
+        for c in range(frames.shape[1]):
+            out[start : start + piece, c] = np.einsum("ij,ij->i", frames[near, c], weights)
+    return out
 
 
 def _as_int16_scale(data: bytes, width: int, order: str) -> np.ndarray:

@@ -98,6 +98,69 @@ def test_decoding(spark, folder):
     assert list(whole(eight, "g.wav")) == [-32768, 0, 32512]
 
 
+def tone(hertz, rate, seconds=1.0, level=10_000):
+    return np.rint(level * np.sin(2 * np.pi * hertz * np.arange(int(rate * seconds)) / rate)).astype("<i2")
+
+
+def decoded(path, rate, size, cuts=(16_000,), channels=1):
+    """All output samples of a WAV file of the module's writer, read in ranges of the given sizes."""
+    row = {"path": str(path), "rate": rate, "channels": channels, "bits": 16, "byte_order": "<",
+           "encoding": "int", "data_offset": 44, "frames": size}
+    total, parts, at = size * RATE // rate, [], 0
+    while at < total:
+        count = min(cuts[len(parts) % len(cuts)], total - at)
+        parts.append(audio.read_frames(row, at, count))
+        at += count
+    return np.concatenate(parts)
+
+
+@pytest.mark.parametrize("rate", [8_000, 11_025, 22_050, 44_100, 48_000, 96_000, 44_101])
+def test_tones_of_other_rates(tmp_path, rate):
+    path = tmp_path / "t.wav"
+    path.write_bytes(wav(tone(1000, rate), rate=rate))
+    got = decoded(path, rate, rate)[:, 0]
+    assert len(got) == RATE
+    wanted = 10_000 * np.sin(2 * np.pi * 1000 * np.arange(RATE) / RATE)
+    inner = slice(200, -200)
+    assert np.abs(got[inner] - wanted[inner]).max() < 5
+    # What the new rate can't hold is gone instead of coming back as another tone.
+    if rate > 2 * 11_000:
+        path.write_bytes(wav(tone(11_000, rate), rate=rate))
+        assert np.abs(decoded(path, rate, rate)[inner]).max() < 5
+    path.write_bytes(wav(np.full(rate // 2, 321, dtype="<i2"), rate=rate))
+    assert np.allclose(decoded(path, rate, rate // 2), 321)
+
+
+@pytest.mark.parametrize("rate", [8_000, 44_100, 48_000, 44_101])
+def test_resampling_does_not_depend_on_the_ranges(tmp_path, rate, monkeypatch):
+    path = tmp_path / "n.wav"
+    noise = np.random.default_rng(3).integers(-9000, 9000, (rate // 4, 2)).astype("<i2")
+    path.write_bytes(wav(noise, channels=2, rate=rate))
+    whole_file = decoded(path, rate, len(noise), channels=2)
+    assert np.allclose(whole_file, decoded(path, rate, len(noise), (1, 7, 160, 3), channels=2), atol=1e-6)
+    monkeypatch.setattr(audio, "TABLE_WEIGHTS", 0)
+    monkeypatch.setattr(audio, "PIECE_WEIGHTS", 5000)
+    assert np.allclose(whole_file, decoded(path, rate, len(noise), channels=2), atol=1e-6)
+
+
+def test_aifc_with_plain_samples(spark, tmp_path):
+    sound = np.arange(-500, 500, dtype="<i2")
+    kinds = {"none": (b"NONE", 16, ">i2"), "sowt": (b"sowt", 16, "<i2"), "fl32": (b"fl32", 32, ">f4"), "ulaw": (b"ulaw", 16, ">i2")}
+    for name, (kind, bits, form) in kinds.items():
+        data = (sound / 32768 if "f" in form else sound).astype(form).tobytes()
+        comm = struct.pack(">hIhHQ", 1, len(sound), bits, 16383 + 13, RATE << 50) + kind + bytes(2)
+        body = b"AIFC" + b"FVER" + struct.pack(">II", 4, 0xA2805140)
+        body += b"COMM" + struct.pack(">I", len(comm)) + comm
+        body += b"SSND" + struct.pack(">III", 8 + len(data), 0, 0) + data
+        (tmp_path / f"{name}.aifc").write_bytes(b"FORM" + struct.pack(">I", len(body)) + body)
+    layouts = audio.pcm_layouts(files(spark, tmp_path)).cache()
+    errors = {r.recording_id: r.error_code for r in layouts.collect()}
+    assert {n for n, e in errors.items() if e} == {"ulaw.aifc"} and errors["ulaw.aifc"] == "undecodable_audio"
+    blocks = audio.decode_blocks(layouts)
+    for name in ("none", "sowt", "fl32"):
+        assert np.array_equal(whole(blocks, f"{name}.aifc"), sound)
+
+
 def riff(kind, bits, data, before=b"", sub=None):
     """A mono WAV of 16 kHz with other chunks before its sound."""
     fmt = struct.pack("<HHIIHH", kind, 1, RATE, RATE * bits // 8, bits // 8, bits)
