@@ -103,7 +103,8 @@ def audio_info(probe: Column) -> Column:
     )
 
 
-def _open(path: str):
+def open_object(path: str):
+    """An object of any file system, for reading at any place; read inside tasks."""
     from pyarrow import fs
 
     system, inner = fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
@@ -196,7 +197,7 @@ def pcm_layouts(files: DataFrame, *, max_seconds: int = MAX_SECONDS) -> DataFram
             for rid, path, size in zip(*(batch.column(c).to_pylist() for c in ("recording_id", "path", "length"))):
                 facts = None
                 try:
-                    with _open(path) as source:
+                    with open_object(path) as source:
                         facts = _pcm_layout(source, size)
                 except OSError:
                     facts = None
@@ -289,7 +290,7 @@ def read_frames(row: dict, first: int, count: int) -> np.ndarray:
     halo = 0 if rate == SAMPLE_RATE else _half_taps(rate)
     low = max(0, first * rate // SAMPLE_RATE - halo)
     high = min(row["frames"], (first + count - 1) * rate // SAMPLE_RATE + halo + 1)
-    with _open(row["path"]) as source:
+    with open_object(row["path"]) as source:
         source.seek(row["data_offset"] + low * channels * width)
         data = source.read((high - low) * channels * width)
     if row["encoding"] == "float":

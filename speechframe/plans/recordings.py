@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from speechframe.operators import audio, engine, onepass
@@ -38,17 +38,25 @@ def loud(frames: np.ndarray) -> np.ndarray:
     return np.square(frames.astype(np.int64) // 256).sum(axis=1) >= LOUD
 
 
-def sound_files(spark: SparkSession, sf_dir: str, channels: int = 1) -> DataFrame:
-    """Layouts of the documents' texts as files, as a listing of their folder finds them."""
+def sound_objects(spark: SparkSession, sf_dir: str, channels: int = 1) -> DataFrame:
+    """The documents' texts as WAV files, as a listing of their folder finds them."""
     folder = f"{checkpoint_path(spark)}/sounds-{uuid.uuid4().hex}"
     texts = load(spark, sf_dir, "documents").select("doc_id", "text")
     sinks.write_wav(
         texts.select(F.col("doc_id").alias("recording_id"), F.coalesce("text", F.lit("")).alias("pcm")),
         folder, rate=16_000, channels=channels,
     )
-    objects = readers.audio_objects(spark, folder, "*.wav")
-    name = F.regexp_extract("path", r"([^/]+)\.wav$", 1).alias("recording_id")
-    return audio.pcm_layouts(objects.select(name, "path", "length"))
+    return readers.audio_objects(spark, folder, "*.wav")
+
+
+def _name() -> Column:
+    return F.regexp_extract("path", r"([^/]+)\.wav$", 1)
+
+
+def sound_files(spark: SparkSession, sf_dir: str, channels: int = 1) -> DataFrame:
+    """Layouts of the documents' texts as files."""
+    objects = sound_objects(spark, sf_dir, channels)
+    return audio.pcm_layouts(objects.select(_name().alias("recording_id"), "path", "length"))
 
 
 def scanned(layouts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -58,6 +66,21 @@ def scanned(layouts: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
 
 
+_LE32 = "printf('%02x%02x%02x%02x', {0} & 255, ({0} >> 8) & 255, ({0} >> 16) & 255, ({0} >> 24) & 255)"
+
+
+@query(
+    f"""WITH files AS (SELECT doc_id, coalesce(strlen(text), 0)::BIGINT AS n, coalesce(hex(encode(text)), '') AS body
+  FROM documents)
+SELECT doc_id, 44 + n AS length, sha256(unhex('52494646' || {_LE32.format("(36 + n)")} || '57415645666d742010000000'
+  || '01000100803e0000803e0000' || '0100080064617461' || {_LE32.format("n")} || body)) AS sha256 FROM files"""
+)
+def object_digests(spark, sf_dir):
+    """Digests of whole files, read in pieces."""
+    found = readers.object_digests(sound_objects(spark, sf_dir), piece_bytes=4096)
+    return found.select(_name().cast("long").alias("doc_id"), "length", "sha256")
+
+
 #: ``tones(doc_id, i, v)``: samples on the 8-bit scale; ``regions``: runs of loud frames, bridged, padded, merged.
 _REGIONS = f"""
 texts AS (

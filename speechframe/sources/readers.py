@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from speechframe.functions.ids import parse_object_key
-from speechframe.operators.audio import audio_info
+from speechframe.operators.audio import audio_info, open_object
 from speechframe.schema import CLIPS, DLQ, PROBE, RESPONSE
 
 
@@ -20,6 +24,40 @@ def audio_objects(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     )
 
 
+def object_digests(objects: DataFrame, *, piece_bytes: int = 1 << 20) -> DataFrame:
+    """``(path, length, sha256)`` of listed objects, whatever their size: a task reads an object in
+    pieces and holds one of them. The bytes are counted as they are read, so ``length`` is that of
+    what was hashed; both are NULL for objects that can't be read."""
+
+    def digest(path: str | None) -> tuple[int | None, str | None]:
+        total, state = 0, hashlib.sha256()
+        try:
+            if path is None:
+                return None, None
+            with open_object(path) as source:
+                while piece := source.read(piece_bytes):
+                    total += len(piece)
+                    state.update(piece)
+        except OSError:
+            return None, None
+        return total, state.hexdigest()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            paths = batch.column("path").to_pylist()
+            found = [digest(path) for path in paths]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(paths, pa.string()),
+                    pa.array([size for size, _ in found], pa.int64()),
+                    pa.array([value for _, value in found], pa.string()),
+                ],
+                names=["path", "length", "sha256"],
+            )
+
+    return objects.select("path").mapInArrow(run, "path string, length bigint, sha256 string")
+
+
 def owned_objects(objects: DataFrame, prefix: str) -> DataFrame:
     """Objects under ``prefix`` with the ids their keys carry; foreign keys have NULL ids."""
     key = F.regexp_extract("path", f"({prefix}.*)$", 1)
