@@ -6,7 +6,8 @@ import io
 import math
 import struct as binary
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from contextlib import contextmanager, nullcontext
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -27,6 +28,11 @@ KAISER_BETA = 8.6
 #: Weights that a task keeps for a rate, and those it multiplies at a time.
 TABLE_WEIGHTS = 2_000_000
 PIECE_WEIGHTS = 1_000_000
+#: Bytes of a recording that are read with its first chunk, and those of an object that go to one task.
+HEAD_BYTES = 256
+PLACE_BYTES = 1 << 18
+#: Samples of the blocks that a task gives back at a time, or little more.
+BATCH_SAMPLES = 1 << 20
 
 
 def container(content: Column) -> Column:
@@ -111,6 +117,58 @@ def open_object(path: str):
     return system.open_input_file(inner)
 
 
+class ObjectPart:
+    """A recording inside an object, read from any place of it as if it were an object of its own."""
+
+    def __init__(self, source, offset: int, length: int):
+        self.source, self.offset, self.length, self.at = source, offset, length, 0
+        self.head = source.read_at(min(length, HEAD_BYTES), offset)
+
+    def seek(self, at: int) -> None:
+        self.at = at
+
+    def read(self, count: int) -> bytes:
+        end = min(self.at + count, self.length)
+        if end <= len(self.head):
+            data = self.head[self.at : end]
+        else:
+            data = self.source.read_at(end - self.at, self.offset + self.at) if self.at < end else b""
+        self.at += len(data)
+        return data
+
+
+class Opened:
+    """The object that a task has open: rows of one object that follow each other open it once."""
+
+    def __init__(self):
+        self.path = self.source = None
+
+    def __enter__(self) -> Opened:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._close()
+
+    def _close(self) -> None:
+        if self.source is not None:
+            self.source.close()
+        self.path = self.source = None
+
+    def __call__(self, path: str):
+        if path != self.path:
+            self._close()
+            self.source, self.path = open_object(path), path
+        return self.source
+
+
+def by_place(rows: DataFrame, at: Column) -> DataFrame:
+    """Rows ``(path, ...)`` dealt by where in their object they read (``at``, in bytes), and each task's in that order:
+    what lies near each other is read by one task, and a large object by many. They are spread over the session's
+    number of partitions whatever they weigh themselves, as it is the bytes they name that take the time."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, "path", F.floor(at / PLACE_BYTES)).sortWithinPartitions("path", at)
+
+
 def _pcm_layout(source, size: int) -> dict | None:
     """Channels, rate, bits, byte order and data range of PCM or float WAV, AIFF or AIFC, else None."""
     facts = _header_facts(source, size)
@@ -189,38 +247,44 @@ _LAYOUT = (
 def pcm_layouts(files: DataFrame, *, max_seconds: int = MAX_SECONDS) -> DataFrame:
     """Header facts of audio files ``(recording_id, path, length)``; only the heads of the chunks
     of each file are read. Unreadable ones, and those of more than ``max_seconds``, carry
-    ``error_code``."""
+    ``error_code``. With a column ``offset``, a file is the part of an object that begins there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for rid, path, size in zip(*(batch.column(c).to_pylist() for c in ("recording_id", "path", "length"))):
+        with Opened() as opened:
+            for batch in batches:
+                yield facts_of(batch, opened)
+
+    def facts_of(batch: pa.RecordBatch, opened: Opened) -> pa.RecordBatch:
+        rows = []
+        for rid, path, size, offset in zip(*(batch.column(c).to_pylist() for c in wanted)):
+            facts = None
+            try:
+                facts = _pcm_layout(ObjectPart(opened(path), offset, size), size)
+            except OSError:
                 facts = None
-                try:
-                    with open_object(path) as source:
-                        facts = _pcm_layout(source, size)
-                except OSError:
-                    facts = None
-                if facts is None or facts["channels"] <= 0 or facts["rate"] <= 0:
-                    rows.append((rid, path, *[None] * 6, "undecodable_audio", None))
-                    continue
-                frames = facts["bytes"] // (facts["channels"] * facts["bits"] // 8)
-                error = None
-                if frames <= 0:
-                    error = "undecodable_audio"
-                elif frames > max_seconds * facts["rate"]:
-                    error = "audio_too_long"
-                rows.append((rid, path, facts["channels"], facts["rate"], facts["bits"],
-                             facts["order"], facts["offset"], frames, error, facts["encoding"]))
-            kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(),
-                     pa.int64(), pa.int64(), pa.string(), pa.string()]
-            columns = list(zip(*rows)) or [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(v), type=k) for v, k in zip(columns, kinds)],
-                names=[c.split()[0] for c in _LAYOUT.split(", ")],
-            )
+            if facts is None or facts["channels"] <= 0 or facts["rate"] <= 0:
+                rows.append((rid, path, *[None] * 6, "undecodable_audio", None))
+                continue
+            frames = facts["bytes"] // (facts["channels"] * facts["bits"] // 8)
+            error = None
+            if frames <= 0:
+                error = "undecodable_audio"
+            elif frames > max_seconds * facts["rate"]:
+                error = "audio_too_long"
+            rows.append((rid, path, facts["channels"], facts["rate"], facts["bits"],
+                         facts["order"], offset + facts["offset"], frames, error, facts["encoding"]))
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(),
+                 pa.int64(), pa.int64(), pa.string(), pa.string()]
+        columns = list(zip(*rows)) or [[] for _ in kinds]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(v), type=k) for v, k in zip(columns, kinds)],
+            names=[c.split()[0] for c in _LAYOUT.split(", ")],
+        )
 
-    return files.select("recording_id", "path", "length").mapInArrow(run, _LAYOUT)
+    wanted = ["recording_id", "path", "length", "offset"]
+    if "offset" not in files.columns:
+        files = files.withColumn("offset", F.lit(0).cast("bigint"))
+    return by_place(files.select(*wanted), F.col("offset")).mapInArrow(run, _LAYOUT)
 
 
 def output_samples() -> Column:
@@ -244,42 +308,74 @@ def decode_blocks(
     """16 kHz int16 blocks of readable files. A block is the unit of work: each task seeks to the
     byte ranges it needs, so one long file is decoded in parallel. Channels are averaged, or kept
     apart with ``split_channels``; other rates are resampled (:func:`read_frames`)."""
-    blocks = (
+    names = ["recording_id", "channel", "block_idx", "start_sample", "samples"]
+    kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int16())]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        held = 0
+        with decoding() as decode:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    first = row["block_idx"] * block_samples
+                    count = min(block_samples, row["_n"] - first)
+                    frames = decode(row, first, count)
+                    tracks = (
+                        [(c, frames[:, c]) for c in range(row["channels"])]
+                        if split_channels and row["channels"] > 1
+                        else [(None, frames.mean(axis=1))]
+                    )
+                    for channel, track in tracks:
+                        samples = np.clip(np.rint(track), -32768, 32767).astype(np.int16)
+                        out.append((row["recording_id"], channel, row["block_idx"], first, samples))
+                        held += len(samples)
+                    if held >= BATCH_SAMPLES:
+                        yield column_batch(out, kinds, names)
+                        out, held = [], 0
+                if out:
+                    yield column_batch(out, kinds, names)
+                    out, held = [], 0
+
+    return block_rows(layouts, block_samples).mapInArrow(run, PCM_BLOCKS)
+
+
+def column_batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
+    """Rows as they were gathered by a task."""
+    columns = list(zip(*rows)) or [[] for _ in kinds]
+    return pa.RecordBatch.from_arrays([pa.array(list(v), type=k) for v, k in zip(columns, kinds)], names=names)
+
+
+def block_rows(layouts: DataFrame, block_samples: int) -> DataFrame:
+    """A row with ``block_idx`` and ``_n`` (the file's output samples) for every block of readable files, dealt by
+    where in their objects the blocks lie."""
+    last = F.ceil(F.col("_n") / block_samples).cast("int") - 1
+    rows = (
         layouts.where(F.col("error_code").isNull())
         .withColumn("_n", output_samples())
         .where(F.col("_n") > 0)
-        .withColumn("block_idx", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / block_samples).cast("int") - 1)))
-        .repartition("path", "block_idx")
+        .withColumn("block_idx", F.explode(F.sequence(F.lit(0), last)))
     )
+    return by_place(rows, sample_place(F.col("block_idx").cast("bigint") * block_samples))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                first = row["block_idx"] * block_samples
-                count = min(block_samples, row["_n"] - first)
-                frames = read_frames(row, first, count)
-                tracks = (
-                    [(c, frames[:, c]) for c in range(row["channels"])]
-                    if split_channels and row["channels"] > 1
-                    else [(None, frames.mean(axis=1))]
-                )
-                for channel, track in tracks:
-                    samples = np.clip(np.rint(track), -32768, 32767).astype(np.int16)
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array([row["recording_id"]]),
-                            pa.array([channel], type=pa.int32()),
-                            pa.array([row["block_idx"]], type=pa.int32()),
-                            pa.array([first], type=pa.int64()),
-                            pa.array([samples], type=pa.list_(pa.int16())),
-                        ],
-                        names=["recording_id", "channel", "block_idx", "start_sample", "samples"],
-                    )
 
-    return blocks.mapInArrow(run, PCM_BLOCKS)
+def sample_place(sample: Column) -> Column:
+    """Where an output sample of a layout's file lies in its object, in bytes. A decoder of one's own may have files
+    whose headers don't say it; there it need only grow with the sample."""
+    width = F.coalesce(F.col("rate") * F.col("channels") * F.col("bits") / (8 * SAMPLE_RATE), F.lit(2.0))
+    return F.coalesce("data_offset", F.lit(0).cast("bigint")) + F.floor(sample * width)
+
+
+@contextmanager
+def decoding(decoder: Callable | None = None):
+    """What one task decodes with: :func:`read_frames`, keeping its object open, or a decoder of one's own."""
+    if decoder is None or decoder is read_frames:
+        with Opened() as opened:
+            yield partial(read_frames, opened=opened)
+    else:
+        yield decoder
 
 
-def read_frames(row: dict, first: int, count: int) -> np.ndarray:
+def read_frames(row: dict, first: int, count: int, opened: Opened | None = None) -> np.ndarray:
     """Output samples ``[first, first + count)`` as float64, shape (count, channels).
 
     Other rates than 16 kHz go through a windowed sinc filter, whose halo before and behind the range
@@ -290,9 +386,9 @@ def read_frames(row: dict, first: int, count: int) -> np.ndarray:
     halo = 0 if rate == SAMPLE_RATE else _half_taps(rate)
     low = max(0, first * rate // SAMPLE_RATE - halo)
     high = min(row["frames"], (first + count - 1) * rate // SAMPLE_RATE + halo + 1)
-    with open_object(row["path"]) as source:
-        source.seek(row["data_offset"] + low * channels * width)
-        data = source.read((high - low) * channels * width)
+    with nullcontext(opened) if opened else Opened() as held:
+        start = row["data_offset"] + low * channels * width
+        data = held(row["path"]).read_at(max(0, high - low) * channels * width, start)
     if row["encoding"] == "float":
         values = np.frombuffer(data[: len(data) // width * width], f"{row['byte_order']}f{width}")
         # As far over full scale as a sample may be, it is clipped later; what is no number is silence.
@@ -361,12 +457,13 @@ def _as_int16_scale(data: bytes, width: int, order: str) -> np.ndarray:
     return values if width == 2 else values / 65536.0
 
 
-def durations(blocks: DataFrame, *, max_seconds: int = MAX_SECONDS) -> DataFrame:
-    """True length per track from decoded samples, with the error code of empty or overlong."""
+def durations(blocks: DataFrame, *more: Column, max_seconds: int = MAX_SECONDS) -> DataFrame:
+    """True length per track from decoded samples, with the error code of empty or overlong. ``more`` are further
+    aggregates over the blocks of a track, found in the same pass."""
     samples = F.sum(F.size("samples").cast("bigint"))
     return (
         blocks.groupBy("recording_id", "channel")
-        .agg(samples.alias("audio_samples"))
+        .agg(samples.alias("audio_samples"), *more)
         .withColumn("duration_s", F.col("audio_samples") / F.lit(float(SAMPLE_RATE)))
         .withColumn(
             "error_code",

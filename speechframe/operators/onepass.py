@@ -21,7 +21,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from speechframe.operators import chunks as plans
-from speechframe.operators.audio import BLOCK_SAMPLES, Scorer, energy_scorer, output_samples, read_frames
+from speechframe.operators.audio import (
+    BLOCK_SAMPLES, Scorer, block_rows, by_place, column_batch, decoding, energy_scorer, read_frames,
+    sample_place,
+)
 from speechframe.operators.ordered import HOT_ROWS, Hot, cut_lineage, null_safe
 from speechframe.operators.regions import close_gaps
 from speechframe.schema import SAMPLE_RATE
@@ -33,6 +36,8 @@ Decoder = Callable[[dict, int, int], np.ndarray]
 FRAME = SAMPLE_RATE // 50
 PAD_MS = 200
 SILENCE_MS = 500
+#: Cells and runs that a task gives back at a time, or little more.
+BATCH_CELLS = 1 << 17
 
 SCAN = (
     "recording_id string, channel int, block_idx int, start_sample bigint, samples bigint, "
@@ -77,47 +82,43 @@ def scan_blocks(
     if block_samples % frame or block_samples % cell:
         raise ValueError("blocks must be whole frames and cells")
     decide = scorer or energy_scorer(0.01)
-    last = F.ceil(F.col("_n") / block_samples).cast("int") - 1
-    ranges = (
-        layouts.where(F.col("error_code").isNull())
-        .withColumn("_n", output_samples())
-        .where(F.col("_n") > 0)
-        .withColumn("block_idx", F.explode(F.sequence(F.lit(0), last)))
-        .repartition("path", "block_idx")
-    )
     schema = T.StructType.fromDDL(SCAN)
     kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                first = row["block_idx"] * block_samples
-                end = min(first + block_samples, row["_n"])
-                low = max(0, first - halo * frame)
-                high = min(row["_n"], end + halo * frame)
-                frames = decoder(row, low, high - low)
-                out: list[list] = [[] for _ in kinds]
-                for channel, samples in tracks_of(frames, split_channels):
-                    padded = np.zeros(-(-len(samples) // frame) * frame, dtype=samples.dtype)
-                    padded[: len(samples)] = samples
-                    active = np.asarray(decide(padded.reshape(-1, frame)), dtype=np.int8)
-                    skip = (first - low) // frame
-                    active = active[skip : skip + -(-(end - first) // frame)]
-                    edges = np.flatnonzero(np.diff(np.concatenate(([0], active, [0]))))
-                    runs = [
-                        {"start": first + a * frame, "end": min(first + b * frame, end)}
-                        for a, b in edges.reshape(-1, 2).tolist()
-                    ]
-                    square = np.square(samples[first - low : end - low].astype(np.int64))
-                    cells = np.add.reduceat(square, np.arange(0, len(square), cell))
-                    values = (row["recording_id"], channel, row["block_idx"], first, end - first, runs, cells)
-                    for column, value in zip(out, values):
-                        column.append(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(v, type=k) for v, k in zip(out, kinds)], names=schema.names
-                )
-
-    return ranges.mapInArrow(run, schema)
+        out: list[tuple] = []
+        held = 0
+        with decoding(decoder) as decode:
+            for batch in batches:
+                for row in batch.to_pylist():
+                    first = row["block_idx"] * block_samples
+                    end = min(first + block_samples, row["_n"])
+                    low = max(0, first - halo * frame)
+                    high = min(row["_n"], end + halo * frame)
+                    frames = decode(row, low, high - low)
+                    for channel, samples in tracks_of(frames, split_channels):
+                        padded = np.zeros(-(-len(samples) // frame) * frame, dtype=samples.dtype)
+                        padded[: len(samples)] = samples
+                        active = np.asarray(decide(padded.reshape(-1, frame)), dtype=np.int8)
+                        skip = (first - low) // frame
+                        active = active[skip : skip + -(-(end - first) // frame)]
+                        edges = np.flatnonzero(np.diff(np.concatenate(([0], active, [0]))))
+                        runs = [
+                            {"start": first + a * frame, "end": min(first + b * frame, end)}
+                            for a, b in edges.reshape(-1, 2).tolist()
+                        ]
+                        square = np.square(samples[first - low : end - low].astype(np.int64))
+                        cells = np.add.reduceat(square, np.arange(0, len(square), cell))
+                        out.append((row["recording_id"], channel, row["block_idx"], first, end - first, runs, cells))
+                        held += len(cells) + len(runs)
+                    if held >= BATCH_CELLS:
+                        yield column_batch(out, kinds, schema.names)
+                        out, held = [], 0
+                if out:
+                    yield column_batch(out, kinds, schema.names)
+                    out, held = [], 0
+
+    return block_rows(layouts, block_samples).mapInArrow(run, schema)
 
 
 def scanned_lengths(scans: DataFrame) -> DataFrame:
@@ -259,18 +260,16 @@ def span_energy(spans: DataFrame, layouts: DataFrame, keys: Sequence[str], decod
     kinds = [to_arrow_type(f.dataType) for f in schema]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                samples = read_span(row, decoder).astype(np.int64)
-                out.append((*[row[k] for k in keys], len(samples), int(np.square(samples).sum())))
-            columns = list(zip(*out)) or [[] for _ in kinds]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(v), type=k) for v, k in zip(columns, kinds)], names=schema.names
-            )
+        with decoding(decoder) as decode:
+            for batch in batches:
+                out: list[tuple] = []
+                for row in batch.to_pylist():
+                    samples = read_span(row, decode).astype(np.int64)
+                    out.append((*[row[k] for k in keys], len(samples), int(np.square(samples).sum())))
+                yield column_batch(out, kinds, schema.names)
 
     wanted = list(dict.fromkeys([*keys, "channel", "start", "end", *LAYOUT]))
-    return rows.select(*wanted).mapInArrow(run, schema)
+    return by_place(rows.select(*wanted), sample_place(F.col("start"))).mapInArrow(run, schema)
 
 
 def scan_regions(

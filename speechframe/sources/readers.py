@@ -8,9 +8,10 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from speechframe.functions.ids import parse_object_key
-from speechframe.operators.audio import audio_info, open_object
+from speechframe.operators.audio import Opened, audio_info, by_place
 from speechframe.schema import CLIPS, DLQ, PROBE, RESPONSE
 
 
@@ -27,35 +28,48 @@ def audio_objects(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
 def object_digests(objects: DataFrame, *, piece_bytes: int = 1 << 20) -> DataFrame:
     """``(path, length, sha256)`` of listed objects, whatever their size: a task reads an object in
     pieces and holds one of them. The bytes are counted as they are read, so ``length`` is that of
-    what was hashed; both are NULL for objects that can't be read."""
+    what was hashed; both are NULL for objects that can't be read. With columns ``recording_id``, ``offset`` and ``length``
+    they are parts of objects: ``(recording_id, path, offset, length, sha256)``."""
+    parts = "offset" in objects.columns
+    kept = ["recording_id", "path", "offset"] if parts else ["path"]
+    wanted = objects.select(*kept, "length") if parts else objects.select(
+        "path", F.lit(0).cast("bigint").alias("offset"), F.lit(None).cast("bigint").alias("length")
+    )
+    schema = T.StructType([wanted.schema[c] for c in kept])
+    schema = schema.add("length", T.LongType()).add("sha256", T.StringType())
 
-    def digest(path: str | None) -> tuple[int | None, str | None]:
+    def digest(path: str | None, offset: int, length: int | None, opened: Opened) -> tuple[int | None, str | None]:
         total, state = 0, hashlib.sha256()
         try:
             if path is None:
                 return None, None
-            with open_object(path) as source:
-                while piece := source.read(piece_bytes):
-                    total += len(piece)
-                    state.update(piece)
+            source = opened(path)
+            while length is None or total < length:
+                count = piece_bytes if length is None else min(piece_bytes, length - total)
+                piece = source.read_at(count, offset + total)
+                if not piece:
+                    break
+                total += len(piece)
+                state.update(piece)
         except OSError:
             return None, None
         return total, state.hexdigest()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            paths = batch.column("path").to_pylist()
-            found = [digest(path) for path in paths]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(paths, pa.string()),
-                    pa.array([size for size, _ in found], pa.int64()),
-                    pa.array([value for _, value in found], pa.string()),
-                ],
-                names=["path", "length", "sha256"],
-            )
-
-    return objects.select("path").mapInArrow(run, "path string, length bigint, sha256 string")
+        with Opened() as opened:
+            for batch in batches:
+                places = zip(*(batch.column(c).to_pylist() for c in ("path", "offset", "length")))
+                found = [digest(*place, opened) for place in places]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *[batch.column(c) for c in kept],
+                        pa.array([size for size, _ in found], pa.int64()),
+                        pa.array([value for _, value in found], pa.string()),
+                    ],
+                    names=schema.names,
+                )
+
+    return by_place(wanted, F.col("offset")).mapInArrow(run, schema)
 
 
 def owned_objects(objects: DataFrame, prefix: str) -> DataFrame:
