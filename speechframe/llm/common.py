@@ -171,17 +171,41 @@ def runs(batches: Iterator[pd.DataFrame], keys: Sequence[str]) -> Iterator[pd.Da
         yield held[0] if len(held) == 1 else pd.concat(held)
 
 
+#: How a worker drops what the tasks of a module keep for each other, by module.
+_KEPT: dict[str, Callable[[], bool]] = {}
+
+
+def keeps(module: str, drop: Callable[[], bool]) -> None:
+    """``drop`` drops what tasks of ``module`` leave in a worker for the next ones, and says whether there was any."""
+    _KEPT[module] = drop
+
+
+def let_go(owner: str | None = None) -> None:
+    """Drops what tasks of modules other than ``owner`` have left in this worker: workers serve one stage after the
+    other, and the memory of an earlier one would stand beside that of the task that begins."""
+    dropped = [drop() for module, drop in _KEPT.items() if module != owner]
+    if any(dropped):
+        release()
+
+
+def release() -> None:
+    """Freed memory goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # only GNU's library has it
+        pass
+
+
 def tidy(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A task's function that gives freed memory back to the system when its rows are done. Python
-    workers are kept for later tasks, and idle ones would hold their peak."""
+    """A task's function that drops what other operators have left in its worker, and gives freed memory back to the
+    system when its rows are done. Python workers are kept for later tasks, and idle ones would hold their peak."""
+    owner = task.__module__
 
     @wraps(task)
     def run(batches: Iterator) -> Iterator:
+        let_go(owner)
         yield from task(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except AttributeError:  # only GNU's library has it
-            pass
+        release()
 
     return run

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from speechframe.llm.common import components, cut, label_roots, number_rows, runs, small, tidy
+from speechframe.llm.common import components, cut, label_roots, let_go, number_rows, runs, small, tidy
 
 SKETCH = 64
 #: Retained values that two sets of similarity 0.8 share at least, when both sets are larger than
@@ -404,6 +404,7 @@ def keep_one(docs: DataFrame, *, width: int = 5, similarity: float = 0.8) -> Dat
 
     @F.pandas_udf("binary")
     def print_of(texts: pd.Series) -> pd.Series:
+        let_go()
         own = Shingler(width)
         return pd.Series([xxhash.xxh3_128_digest(own.shingles(t).tobytes()) for t in texts])
 

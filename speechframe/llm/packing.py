@@ -147,10 +147,19 @@ class WordEncoder:
 
 @lru_cache(maxsize=2)
 def word_encoder(path: str) -> WordEncoder:
-    """One encoder for each worker process."""
+    """One encoder for each worker process, for as long as it packs."""
     return WordEncoder(path)
 
 
+def _drop_encoders() -> bool:
+    held = word_encoder.cache_info().currsize > 0
+    word_encoder.cache_clear()
+    return held
+
+
+common.keeps(__name__, _drop_encoders)
+
+
 def cut_pieces(
     docs: DataFrame,
     tokenizer: str,

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from speechframe.llm.common import cut, small
+from speechframe.llm.common import cut, let_go, small, tidy
 
 #: Bound of the labelled sample the text model is fitted on.
 SAMPLE_ROWS = 20_000
@@ -120,7 +120,7 @@ def fit_text_model(docs: DataFrame, labels: DataFrame, *, rows: int = SAMPLE_ROW
 
     # The sample is bounded by ``rows``.
     texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
-    found = texts.mapInPandas(features, "doc_id long, label int, x array<double>").toPandas()
+    found = texts.mapInPandas(tidy(features), "doc_id long, label int, x array<double>").toPandas()
     found = found.sort_values("doc_id", kind="stable").head(2 * rows)
     x = np.array(found["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
     return TextModel(x, found["label"].to_numpy(float))
@@ -131,6 +131,7 @@ def log_odds(text: Column | str, model: TextModel) -> Column:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
+        let_go()
         return pd.Series(model.log_odds(texts.tolist()))
 
     return score(text)
