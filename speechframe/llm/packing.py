@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, Str
 from speechframe.llm import common
 from speechframe.llm.common import number_rows, tidy
 
-#: Words a worker remembers with their ids, those used last (results don't depend on it).
+#: Words a task remembers with their ids, those used last (results don't depend on it).
 MEMO_WORDS = 1_000_000
 #: Words above this length are encoded each time.
 MEMO_CHARS = 48
@@ -63,6 +63,10 @@ class WordEncoder:
         self.old: dict[str, bytes] = {}
         self.long: set[str] = set()
 
+    def forget(self) -> None:
+        """Drops the words, at the end of a task: several workers take turns, and idle ones would hold theirs."""
+        self.new, self.old = {}, {}
+
     def _whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.asarray(ids, dtype="<u4").tobytes()
@@ -202,6 +206,7 @@ def cut_pieces(
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * ids, *["packed"] * packed]
             out = pd.DataFrame(rows, columns=names)
             yield out.assign(doc_id=out["doc_id"].astype("Int64"))
+        encoder.forget()
 
     schema += ", ids array<int>" * ids + ", packed binary" * packed
     return docs.select("doc_id", "text").mapInPandas(tidy(cut), schema)

@@ -44,3 +44,15 @@ def test_workers_of_a_later_stage_hold_no_encoder(spark, stage):
 
     found = docs.mapInPandas(encoders, "held int").collect()
     assert {r.held for r in found} <= {0}
+
+
+def test_words_go_with_their_task(spark):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), "id").alias("text")).repartition(1)
+    packing.cut_pieces(docs, TOKENIZER, ids=False).collect()
+
+    def words(batches):
+        for batch in batches:
+            own = packing.word_encoder(TOKENIZER)
+            yield pd.DataFrame({"held": [len(own.new) + len(own.old)] * len(batch)})
+
+    assert {r.held for r in docs.mapInPandas(words, "held int").collect()} == {0}
